@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyframe.llm.common import batch, binary, ranges, slices
+from storyframe.llm.common import batch, ranges, slices
 
 Q, BUDGET, PROBE_WORDS, STRIDE, LEAST_WORDS = 8, 0.1, 12, 6, 6
 _OUT = pa.schema([("doc_id", pa.int64()), ("contaminated", pa.bool_()), ("n_items", pa.int64()), ("n_probes", pa.int64()), ("least_edits", pa.int64()), ("items", pa.string())])
@@ -28,21 +28,21 @@ _MIX, _BITS, _BASE = np.uint64(0x9E3779B97F4A7C15), 22, 0x100000001B3
 _GAP = 0x200000
 
 
-def normalised(text: bytes) -> bytes:
-    return b" ".join(text.lower().split())
+def normalised(text: str) -> str:
+    return " ".join(text.lower().split())
 
 
-def probes(text: bytes, probe_words: int = PROBE_WORDS, stride: int = STRIDE, least_words: int = LEAST_WORDS) -> list[bytes]:
+def probes(text: str, probe_words: int = PROBE_WORDS, stride: int = STRIDE, least_words: int = LEAST_WORDS) -> list[str]:
     """Overlapping windows of an item's words; none for fewer than `least_words` words."""
     words = text.lower().split()
     if len(words) < least_words:
         return []
     last = max(0, len(words) - probe_words)
-    return [b" ".join(words[i : i + probe_words]) for i in sorted({*range(0, last, stride), last})]
+    return [" ".join(words[i : i + probe_words]) for i in sorted({*range(0, last, stride), last})]
 
 
-def _points(text: bytes) -> np.ndarray:
-    return np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def _grams(points: np.ndarray, q: int) -> np.ndarray:
@@ -59,7 +59,7 @@ def _grams(points: np.ndarray, q: int) -> np.ndarray:
 class Index:
     """The q-grams of a block of probes."""
 
-    def __init__(self, items: list[tuple[int, bytes]], q: int, budget: float, **cut) -> None:
+    def __init__(self, items: list[tuple[int, str]], q: int, budget: float, **cut) -> None:
         self.q = q
         texts = [(i, _points(p)) for i, t in items for p in probes(t, **cut)]
         texts = [(i, p) for i, p in texts if len(p) >= q]
@@ -142,27 +142,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = Q, budget: flo
     """One row for each row of docs(doc_id, text) against benchmark(item_id, text): doc_id, contaminated, n_items,
     n_probes, least_edits (null if clean), items (their ids, sorted and joined by commas).
 
-    Texts are compared with A-Z in lower case and ASCII white space as single blanks. A probe counts once however often
+    Texts are compared in lower case with white space as single blanks. A probe counts once however often
     it occurs. Items of fewer than `least_words` words (null and empty ones too) are no evidence and are not looked for; items
     with a null item_id count as item -1. Null or empty documents are clean; repeated rows are judged alike. Other
     columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), F.col("text").cast("string").cast("binary").alias("text")).filter("text is not null").distinct()
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-2 * total // block_chars))
     cut = {"probe_words": probe_words, "stride": stride, "least_words": least_words}
     shared = []
     for b in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()  # about block_chars / 2 characters
-        shared.append(spark.sparkContext.broadcast(sorted((r[0], bytes(r[1])) for r in rows)))
+        shared.append(spark.sparkContext.broadcast(sorted((r[0], r[1]) for r in rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[Index] = []
         for rows in batches:
             if not kept:
                 kept = [Index(x.value, q, budget, **cut) for x in shared]
-            texts, ids = [normalised(t) for t in binary(rows["text"])], rows["doc_id"].to_pylist()
+            texts, ids = [normalised(t or "") for t in rows["text"].to_pylist()], rows["doc_id"].to_pylist()
             for a, b in slices(texts):
                 parts = [_points(t) for t in texts[a:b]]
                 # no region within its budget reaches over a gap
