@@ -11,7 +11,9 @@ from storyframe.llm.chat import CONTROL, END, TURN, conversation_digests
 from storyframe.llm.common import documents
 from storyframe.llm.decontaminate import decontaminate
 from storyframe.llm.exact_dedup import exact_dedup
+from storyframe.llm.language_id import language_id
 from storyframe.llm.line_dedup import line_dedup
+from storyframe.llm.pii import find_pii
 from storyframe.llm.secrets import secret_scan
 from storyframe.llm.simhash import simhash_dedup
 
@@ -39,16 +41,24 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(documents(spark, sf_dir))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(documents(spark, sf_dir))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "source", "n_chars", "block", "slot", "start_char", "in_target")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(documents(spark, sf_dir))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secrets, op3_exact_dedup, op4_chat, op5_line_dedup, op6_simhash, op8_mixing, op10_decontamination)
+    own = (op1_secrets, op3_exact_dedup, op4_chat, op5_line_dedup, op6_simhash, op7_pii, op8_mixing, op9_language, op10_decontamination)
     return {f.__name__: f for f in own}
 
 
