@@ -138,6 +138,41 @@ class Index:
         return end, out
 
 
+def _shared(benchmark: DataFrame, block_chars: int) -> list:
+    """The items, broadcast in blocks of about half of block_chars."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-2 * total // block_chars))
+    shared = []
+    for b in range(blocks):
+        rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()  # about block_chars / 2 characters
+        shared.append(spark.sparkContext.broadcast(sorted((r[0], r[1]) for r in rows)))
+
+    return shared
+
+
+def _found(texts: list[str], kept: list[Index]) -> Iterator[tuple[int, int, list[dict]]]:
+    """Of row ranges (begin, end): for each row {probe: (least edits, item)}."""
+    texts = [normalised(t) for t in texts]
+    for a, b in slices(texts):
+        parts = [_points(t) for t in texts[a:b]]
+        # no region within its budget reaches over a gap
+        gap = 1 + max((int(i.edits.max(initial=0)) for i in kept), default=0)
+        ends = np.cumsum([len(p) + gap for p in parts])
+        whole = np.full(int(ends[-1]), _GAP, np.uint32)
+        for p, e in zip(parts, ends):
+            whole[e - gap - len(p) : e - gap] = p
+        found: list[dict] = [{} for _ in parts]
+        for n, index in enumerate(kept):
+            if len(index.grams):
+                probe, middle, edits = index.search(whole)
+                owner = np.searchsorted(ends, middle, side="right")
+                for p, o, e in zip(probe.tolist(), owner.tolist(), edits.tolist()):
+                    found[o][n, p] = (min(e, found[o].get((n, p), (e,))[0]), int(index.item[p]))
+        yield a, b, found
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = Q, budget: float = BUDGET, probe_words: int = PROBE_WORDS, stride: int = STRIDE, least_words: int = LEAST_WORDS, block_chars: int = 4 << 20) -> DataFrame:
     """One row for each row of docs(doc_id, text) against benchmark(item_id, text): doc_id, contaminated, n_items,
     n_probes, least_edits (null if clean), items (their ids, sorted and joined by commas).
@@ -147,37 +182,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = Q, budget: flo
     with a null item_id count as item -1. Null or empty documents are clean; repeated rows are judged alike. Other
     columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-2 * total // block_chars))
     cut = {"probe_words": probe_words, "stride": stride, "least_words": least_words}
-    shared = []
-    for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()  # about block_chars / 2 characters
-        shared.append(spark.sparkContext.broadcast(sorted((r[0], r[1]) for r in rows)))
+    shared = _shared(benchmark, block_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[Index] = []
+        kept = [Index(x.value, q, budget, **cut) for x in shared]
         for rows in batches:
-            if not kept:
-                kept = [Index(x.value, q, budget, **cut) for x in shared]
-            texts, ids = [normalised(t or "") for t in rows["text"].to_pylist()], rows["doc_id"].to_pylist()
-            for a, b in slices(texts):
-                parts = [_points(t) for t in texts[a:b]]
-                # no region within its budget reaches over a gap
-                gap = 1 + max((int(i.edits.max(initial=0)) for i in kept), default=0)
-                ends = np.cumsum([len(p) + gap for p in parts])
-                whole = np.full(int(ends[-1]), _GAP, np.uint32)
-                for p, e in zip(parts, ends):
-                    whole[e - gap - len(p) : e - gap] = p
-                found: list[dict] = [{} for _ in parts]
-                for n, index in enumerate(kept):
-                    if len(index.grams):
-                        probe, middle, edits = index.search(whole)
-                        owner = np.searchsorted(ends, middle, side="right")
-                        for p, o, e in zip(probe.tolist(), owner.tolist(), edits.tolist()):
-                            found[o][n, p] = (min(e, found[o].get((n, p), (e,))[0]), int(index.item[p]))
+            ids = rows["doc_id"].to_pylist()
+            for a, b, found in _found([t or "" for t in rows["text"].to_pylist()], kept):
                 names = [sorted({i for _, i in f.values()}) for f in found]
                 yield batch(
                     _OUT,
@@ -190,3 +202,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = Q, budget: flo
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _OUT_DDL)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, budget: float = BUDGET, block_chars: int = 4 << 20) -> DataFrame:
+    """The rows of docs(text, ...) that decontaminate() calls clean. All columns pass unchanged, whatever their names."""
+    shared = _shared(benchmark, block_chars)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [Index(x.value, q, budget) for x in shared]
+        for rows in batches:
+            clean = [not f for _, _, found in _found([t or "" for t in rows.column(at).to_pylist()], kept) for f in found]
+            yield rows.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

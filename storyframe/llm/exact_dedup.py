@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyframe.llm.common import batch, binary
 
@@ -94,3 +95,21 @@ def exact_dedup(docs: DataFrame, salts: int = 16) -> DataFrame:
     one = known.filter("stays").withColumn("kept", F.row_number().over(Window.partitionBy("digest", "keep_id").orderBy("doc_id")) == 1)
     rest = known.filter("not stays").withColumn("kept", F.lit(False))
     return one.unionByName(rest).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def keep_distinct(docs: DataFrame, salts: int = 16) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) that exact_dedup() keeps. All columns pass unchanged, whatever their names."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", F.col("row.doc_id").cast("long").alias("doc_id"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("digest", T.BinaryType())])
+    at = docs.columns.index("text")
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = binary(b.column(0).field(at))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([hashlib.sha256(t.lower()).digest() for t in texts], pa.binary())], names=["row", "doc_id", "digest"])
+
+    kept = exact_dedup(docs, salts).filter("kept").select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_digest"))
+    rows = rows.mapInArrow(digests, schema)
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["kept_id"]) & (rows["digest"] == kept["kept_digest"]), "left_semi")
+    # rows that repeat both doc_id and text
+    return rows.dropDuplicates(["doc_id", "digest"]).select("row.*")

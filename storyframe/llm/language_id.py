@@ -116,3 +116,19 @@ def language_id(docs: DataFrame, trained_on: DataFrame | None = None, per_langua
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, _OUT_DDL)
+
+
+def keep_known_language(docs: DataFrame, least: float = 0.3, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """The rows of docs(doc_id, text, lang, ...) whose language is not `und` and has a score of `least` or more.
+
+    All columns pass unchanged, whatever their names. The model learns from docs as in language_id().
+    """
+    model = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs, per_language)))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            found = model.value.predict(binary(rows.column(at)))
+            yield rows.filter(pa.array([f[0] != UNDETERMINED and f[1] >= least for f in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

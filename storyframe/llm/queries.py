@@ -38,7 +38,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_dedup(documents(spark, sf_dir))
+    return simhash_dedup(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

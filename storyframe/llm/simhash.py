@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyframe.llm.common import batch, binary, checkpoint, ranges
 from storyframe.llm.components import connected_components
@@ -230,11 +231,11 @@ def simhash_links(prints: DataFrame, threshold: int = THRESHOLD, most_members: i
 
 
 def simhash_dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """One row for each row of docs(doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
+    """One row for each row of docs(doc_id, text): doc_id, fingerprint (16 hex digits), component_id, component.
 
     Texts are lower-cased (A-Z) and cut into words at ASCII white space; a fingerprint bit is 1 if set in over half of
     the XXH64 values (seed 42) of all 4-word shingles. component_id is the smallest doc_id that links reach; null only
-    if all doc_ids reached are null. A null or empty text has fingerprint zero and links like any other. Repeated rows
+    if all doc_ids reached are null. component is the group's smallest fingerprint, as a signed number. A null or empty text has fingerprint zero and links like any other. Repeated rows
     share a fingerprint. Other columns are ignored; an empty table gives no rows.
     """
     prints = checkpoint(fingerprints(docs))
@@ -242,5 +243,23 @@ def simhash_dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     links = connected_components(simhash_links(classes.select("fp"), threshold))
     classes = classes.join(links, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("class"), F.coalesce("component", "fp").alias("component"), "rep")
     lowest = classes.groupBy("component").agg(F.min("rep").alias("component_id")).withColumnRenamed("component", "c")
-    named = classes.join(lowest, F.col("component") == F.col("c")).select("class", "component_id")
-    return prints.join(named, F.col("fp") == F.col("class")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = classes.join(lowest, F.col("component") == F.col("c")).select("class", "component_id", "component")
+    return prints.join(named, F.col("fp") == F.col("class")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component")
+
+
+def keep_one_of_each(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Of each group of simhash_dedup() one row of docs(doc_id, text, ...), of the smallest doc_id. All columns pass unchanged."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", F.col("row.doc_id").cast("long").alias("doc_id"))
+    at = docs.columns.index("text")
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [fingerprint(t.lower()) for t in binary(b.column(0).field(at))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.int64())], names=["row", "doc_id", "fp"])
+
+    first = simhash_dedup(docs, threshold).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = first.groupBy("component").agg(F.min(F.struct("fingerprint", "doc_id")).alias("f")).select(F.col("f.doc_id").alias("kept_id"), F.col("f.fingerprint").alias("kept_fp"))
+    rows = rows.mapInArrow(prints, T.StructType([*rows.schema.fields, T.StructField("fp", T.LongType())])).withColumn("fp", F.lower(F.lpad(F.hex("fp"), 16, "0")))
+    rows = rows.join(first, rows["doc_id"].eqNullSafe(first["kept_id"]) & (rows["fp"] == first["kept_fp"]), "left_semi")
+    # rows that repeat both doc_id and fingerprint
+    return rows.dropDuplicates(["doc_id", "fp"]).select("row.*")
