@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from storyframe.llm import mixing
+from storyframe.llm.brown import brown_scores
 from storyframe.llm.chat import CONTROL, END, TURN, conversation_digests
 from storyframe.llm.common import documents
 from storyframe.llm.decontaminate import decontaminate
@@ -22,6 +23,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(documents(spark, sf_dir))
 
 
+def op2_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_scores(documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -58,7 +63,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secrets, op3_exact_dedup, op4_chat, op5_line_dedup, op6_simhash, op7_pii, op8_mixing, op9_language, op10_decontamination)
+    own = (op1_secrets, op2_brown, op3_exact_dedup, op4_chat, op5_line_dedup, op6_simhash, op7_pii, op8_mixing, op9_language, op10_decontamination)
     return {f.__name__: f for f in own}
 
 
