@@ -58,11 +58,27 @@ def reader_for(path: str) -> Reader:
     return _READERS[s]
 
 
+def _hidden_folders(spark: SparkSession, root: str) -> list[str]:
+    """Folders that Spark's listing leaves out, as names that begin with a dot or an underline."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    found: set[str] = set()
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+    while files.hasNext():
+        folder = files.next().getPath().getParent()
+        while folder is not None and folder.depth() > at.depth():
+            if folder.getName()[:1] in (".", "_"):
+                found.add(folder.toString())
+            folder = folder.getParent()
+    return sorted(found)
+
+
 def find_books(spark: SparkSession, root: str, search_hidden: bool = False, max_depth: int = MAX_DEPTH, suffixes: list[str] | None = None) -> DataFrame:
     """Files (path, mtime, length, content) under root by suffix in any case, up to a depth, without hidden folders."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.lit(re.sub(r"^file:/+|/+$", "", root.rstrip("/")).strip("/"))
-    below = F.substring_index(F.regexp_replace("path", r"^\w+:/+", ""), F.concat(base, F.lit("/")), -1)
+    roots = [root, *(_hidden_folders(spark, root) if search_hidden else [])]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)
+    base = re.sub(r"^\w+:/+", "", root).strip("/")
+    below = F.substring(F.regexp_replace("path", r"^\w+:/+", ""), len(base) + 2, 1 << 20)
     folders = F.slice(F.split(below, "/"), 1, F.size(F.split(below, "/")) - 1)
     hit = F.size(folders) <= max_depth
     if not search_hidden:

@@ -61,15 +61,20 @@ def chapter_rates(progress: DataFrame) -> DataFrame:
     return sums.select("job_id", F.when(F.col("seconds") < 1, 0.0).when(F.col("mean").isNull(), live).otherwise(LIVE_SHARE * live + (1 - LIVE_SHARE) * F.col("mean")).alias("rate"))
 
 
+def _watermarked(events: DataFrame, late: str) -> DataFrame:
+    """Watermarks need a timestamp with a zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def event_windows(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Counts and sums of events(ts, event_type, value) in tumbling windows of event time."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _watermarked(events, late)
     out = rows.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Sessions of users: runs of events with less than `gap` between them."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _watermarked(events, late)
     out = rows.groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return out.select("user_id", F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
