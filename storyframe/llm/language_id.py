@@ -36,7 +36,7 @@ class LanguageModel:
         if not self.languages:
             return out
         for a, b in slices(texts, 1 << 19):
-            part = texts[a:b]
+            part = [t.lower() for t in texts[a:b]]  # A-Z only
             flat = np.frombuffer(b"".join(part), np.uint8).astype(np.int16)
             lengths = np.array([len(t) for t in part])
             sums = np.zeros((len(part), len(self.languages)))
@@ -62,7 +62,7 @@ class LanguageModel:
 
 def train(rows: list[tuple[str, bytes]], seed: int = 11, batches: int = BATCHES) -> LanguageModel:
     """From (language, text). Windows are drawn evenly over languages."""
-    rows = sorted((lang, text) for lang, text in rows if text)
+    rows = sorted((lang, text.lower()) for lang, text in rows if text)
     languages = sorted({lang for lang, _ in rows})
     if not languages:
         return LanguageModel([], None)
