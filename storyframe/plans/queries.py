@@ -586,7 +586,7 @@ def w13_conflicts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""with {X.CHARACTERS}, {_POOLS}, t as (select book_id, case pronoun when 'he/him' then 'm' else 'f' end as g, row_number() over (partition by book_id order by prominence desc, ord) as r from fx4 where pronoun in ('he/him', 'she/her'))
-    select book_id, case when g = 'f' then fn[1] else mn[1] end as voice from t, mp, fp where r = 1""")
+    select b.book_id, case when g = 'f' then fn[1] else mn[1] end as voice from (select distinct book_id from fx4) b left join t on t.book_id = b.book_id and r = 1, mp, fp""")
 def a10_dominant_voice(spark: SparkSession, sf: str) -> DataFrame:
     v = _voices(spark, sf).filter("source = 'builtin' and gender is not null and voice_ord < 60").withColumn("name", F.concat_ws("-", "name", "voice_ord"))
     return voices.dominant_voice(X.characters(spark, sf), v, "none")
