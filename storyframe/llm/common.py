@@ -52,6 +52,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def key_of(doc_id: Column | str) -> Column:
+    """doc_id as text; the empty text for null."""
+    return F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit(""))
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, modulo n; a null doc_id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyframe.llm.common import batch, binary
+from storyframe.llm.common import batch, binary, key_of
 
 _WINNERS = pa.schema([("digest", pa.binary()), ("content", pa.binary()), ("local_id", pa.int64()), ("n", pa.int64())])
 _MEMBERS = pa.schema([("digest", pa.binary()), ("doc_id", pa.int64()), ("local_id", pa.int64()), ("first", pa.bool_())])
@@ -108,8 +108,9 @@ def keep_distinct(docs: DataFrame, salts: int = 16) -> DataFrame:
             texts = binary(b.column(0).field(at))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([hashlib.sha256(t.lower()).digest() for t in texts], pa.binary())], names=["row", "doc_id", "digest"])
 
-    kept = exact_dedup(docs, salts).filter("kept").select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_digest"))
-    rows = rows.mapInArrow(digests, schema)
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["kept_id"]) & (rows["digest"] == kept["kept_digest"]), "left_semi")
+    # a key without nulls, so that the join and the removal of repeated rows share one shuffle
+    kept = exact_dedup(docs, salts).filter("kept").select(key_of("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_digest"))
+    rows = rows.mapInArrow(digests, schema).withColumn("doc_id", key_of("doc_id"))
+    rows = rows.join(kept, (rows["doc_id"] == kept["kept_id"]) & (rows["digest"] == kept["kept_digest"]), "left_semi")
     # rows that repeat both doc_id and text
     return rows.dropDuplicates(["doc_id", "digest"]).select("row.*")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyframe.llm.common import batch, binary, checkpoint, ranges
+from storyframe.llm.common import batch, binary, checkpoint, key_of, ranges
 from storyframe.llm.components import connected_components
 
 THRESHOLD, SHINGLE = 4, 4
@@ -258,8 +258,8 @@ def keep_one_of_each(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.int64())], names=["row", "doc_id", "fp"])
 
     first = simhash_dedup(docs, threshold).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = first.groupBy("component").agg(F.min(F.struct("fingerprint", "doc_id")).alias("f")).select(F.col("f.doc_id").alias("kept_id"), F.col("f.fingerprint").alias("kept_fp"))
-    rows = rows.mapInArrow(prints, T.StructType([*rows.schema.fields, T.StructField("fp", T.LongType())])).withColumn("fp", F.lower(F.lpad(F.hex("fp"), 16, "0")))
-    rows = rows.join(first, rows["doc_id"].eqNullSafe(first["kept_id"]) & (rows["fp"] == first["kept_fp"]), "left_semi")
+    first = first.groupBy("component").agg(F.min(F.struct("fingerprint", "doc_id")).alias("f")).select(key_of(F.col("f.doc_id")).alias("kept_id"), F.col("f.fingerprint").alias("kept_fp"))
+    rows = rows.mapInArrow(prints, T.StructType([*rows.schema.fields, T.StructField("fp", T.LongType())])).withColumn("fp", F.lower(F.lpad(F.hex("fp"), 16, "0"))).withColumn("doc_id", key_of("doc_id"))
+    rows = rows.join(first, (rows["doc_id"] == first["kept_id"]) & (rows["fp"] == first["kept_fp"]), "left_semi")
     # rows that repeat both doc_id and fingerprint
     return rows.dropDuplicates(["doc_id", "fp"]).select("row.*")
