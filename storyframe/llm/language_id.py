@@ -1,5 +1,5 @@
 """Language ID: a bidirectional gated recurrent network over bytes labels every position; a document's probabilities are
-the means over its letters.
+the means over its letters. A-Z are read in lower case.
 
 Trained in numpy by backpropagation through time on windows of a bounded sample: at most `per_language` labelled
 documents of each language and `batches` batches of windows. Prediction reads every byte of every text.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from storyframe.llm.common import batch, binary, remainder, slices
 from storyframe.llm.recurrent import Adam, Gru, Tagger, cut, windows
 
-SIZE, WINDOW, PER_LANGUAGE, BATCHES, BATCH = 8, 96, 300, 160, 256
+SIZE, WINDOW, PER_LANGUAGE, MOST_LANGUAGES, BATCHES, BATCH = 8, 96, 300, 200, 160, 256
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that count as letters: A-Z, a-z and all bytes of characters beyond ASCII; not the padding.
 _IS_LETTER = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)] + [False])
@@ -91,11 +91,20 @@ def train(rows: list[tuple[str, bytes]], seed: int = 11, batches: int = BATCHES)
 
 
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, bytes]]:
-    """At most `per_language` documents of each language, those with the smallest hash of doc_id; crc32 mod 4 = 2 is left out."""
+    """At most `per_language` documents of each of the MOST_LANGUAGES commonest languages; crc32 mod 4 = 2 is left out.
+
+    Those with the smallest hashes of doc_id. Counts set a bound on the hash that about four times as many pass, so texts of no more
+    than those are shuffled and ranked.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.filter("lang is not null and text is not null and text <> ''").filter(remainder(F.col("doc_id"), 4) != 2)
-    ranked = rows.select("lang", F.xxhash64("doc_id").alias("h"), "text")
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))).filter(F.col("rank") <= per_language)
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    if not sizes:
+        return []
+    share = docs.sparkSession.createDataFrame([(lang, min(1.0, 4 * per_language / n)) for lang, n in sizes], "known string, share double")
+    rows = rows.withColumn("h", F.xxhash64("doc_id", F.lit("sample"))).join(F.broadcast(share), F.col("lang") == F.col("known"))
+    rows = rows.filter(F.pmod("h", F.lit(1 << 32)) < F.col("share") * (1 << 32)).withColumn("low", F.pmod("h", F.lit(1 << 32)))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("low", "h", F.xxhash64("text")))).filter(F.col("rank") <= per_language)
     return [(r[0], bytes(r[1])) for r in ranked.select("lang", F.col("text").cast("binary")).collect()]
 
 
