@@ -7,25 +7,32 @@ from pyspark.sql import functions as F
 
 from storyframe.llm.common import checkpoint
 
+SALTS = 8
+
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """For edges(a long, b long): node, component (the smallest node that can be reached); only nodes with an edge.
 
-    Each round joins nodes to their smallest neighbour, so hubs are met by a join that AQE can split, never by one group.
+    Each round joins nodes to their smallest neighbour. The neighbours of a hub are dealt by salts, and smallest neighbours
+    are combined before they are shuffled, so no task sees a whole hub.
     """
 
     def smallest(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
 
+    def meet(pairs: DataFrame, low: DataFrame) -> DataFrame:
+        low = low.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(low, (F.col("u") == F.col("w")) & (F.col("salt") == F.col("s")))
+
     def large(star: DataFrame) -> DataFrame:
         both = star.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v")
         low = smallest(both).select("w", F.least("w", "m").alias("m"))
-        return both.filter("v > u").join(low, F.col("u") == F.col("w")).filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        return meet(both.filter("v > u"), low).filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
     def small(star: DataFrame) -> DataFrame:
         down = star.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         low = smallest(down)
-        others = down.join(low, F.col("u") == F.col("w")).filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        others = meet(down, low).filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
         return others.unionByName(low.select(F.col("w").alias("a"), F.col("m").alias("b"))).distinct()
 
     star, before = checkpoint(edges.select("a", "b").filter("a <> b").distinct()), None
