@@ -20,9 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyframe.llm.common import batch, binary
+from storyframe.llm.common import batch, binary, written
 
-MIN_CHARS, MIN_DOCS = 20, 3
+MIN_CHARS, MIN_DOCS, SALTS = 20, 3, 32
 _SHARD_BITS = 1 << 20
 _SKETCH = pa.schema([("shard", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
 _MERGED = pa.schema([("shard", pa.int32()), ("twice", pa.binary())])
@@ -154,7 +154,13 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 
     held = source.mapInArrow(pairs, "key binary, doc_id long")
     sure = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).filter(F.col("n") >= min_docs)
-    lost = held.join(sure.select(F.col("key").alias("k"), "last"), F.col("key") == F.col("k")).filter(~F.col("doc_id").eqNullSafe(F.col("last")))
+    sure = written(sure, "repeated-lines")
+    # at most a thousand keys can have a thousandth of the lines: those are marked by a broadcast and dealt by salts
+    hot = max(1000, (sure.agg(F.sum("n")).first()[0] or 0) // 1000)
+    marks = F.broadcast(sure.filter(F.col("n") >= hot).select(F.col("key").alias("hot_key")))
+    held = held.join(marks, F.col("key") == F.col("hot_key"), "left").withColumn("salt", F.when(F.col("hot_key").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(0))
+    sure = sure.select(F.col("key").alias("k"), "last", F.explode(F.when(F.col("n") >= hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("s"))
+    lost = held.join(sure, (F.col("key") == F.col("k")) & (F.col("salt") == F.col("s"))).filter(~F.col("doc_id").eqNullSafe(F.col("last")))
     lists = lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys")).withColumnRenamed("doc_id", "d")
     texts = source.mapInArrow(doubtful, "doc_id long, text binary")
     joined = texts.join(lists, texts["doc_id"].eqNullSafe(lists["d"]), "left").select("doc_id", "text", "keys")
