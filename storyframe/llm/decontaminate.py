@@ -1,16 +1,18 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Items are cut into probes of `probe_words` words. A probe of m characters may differ from a region of a document by
+A probe of `probe_words` words starts at every word of an item. A probe of m characters may differ from a region of a document by
 k = min(m * budget, (m - q) / q) edits. By the q-gram lemma such a region shares at least m - q + 1 - k * q character q-grams with the
-probe, on at most k + 1 neighbouring diagonals (place in the document less place in the probe). Shared q-grams are
-counted in bands of 2 (k + 1) diagonals that overlap by half; bands that reach the bound are verified by a banded
-alignment. So every region within the budget is found, and none beyond it.
+probe, on at most k + 1 neighbouring diagonals (place in the document less place in the item). Shared q-grams are
+counted for whole items in bands of 2 (k + 1) diagonals that overlap by half, then for the probes of a band; those that reach the
+bound are verified by a banded alignment. So every region within the budget is found, and none beyond it. q-grams are kept once for an
+item, however many probes hold them.
 
 Items are sent to the executors in blocks of at most `block_chars` characters; a document is read once for all blocks.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,10 @@ from pyspark.sql import functions as F
 
 from storyframe.llm.common import batch, ranges, slices
 
-Q, BUDGET, PROBE_WORDS, STRIDE, LEAST_WORDS = 8, 0.1, 12, 6, 6
+Q, BUDGET, PROBE_WORDS, STRIDE, LEAST_WORDS, LEAST_CHARS = 8, 0.1, 12, 1, 6, 30
+#: Thai to Myanmar, Khmer, kana, Han: scripts without blanks, in which a character counts as half a word. So does each of a longer run without blanks.
+_BLANKLESS, _LONG = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff", 30
+_UNITS = re.compile(f"[{_BLANKLESS}]|[^ {_BLANKLESS}]+")
 _OUT = pa.schema([("doc_id", pa.int64()), ("contaminated", pa.bool_()), ("n_items", pa.int64()), ("n_probes", pa.int64()), ("least_edits", pa.int64()), ("items", pa.string())])
 _OUT_DDL = "doc_id long, contaminated boolean, n_items long, n_probes long, least_edits long, items string"
 _MIX, _BITS, _BASE = np.uint64(0x9E3779B97F4A7C15), 22, 0x100000001B3
@@ -32,13 +37,31 @@ def normalised(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def probes(text: str, probe_words: int = PROBE_WORDS, stride: int = STRIDE, least_words: int = LEAST_WORDS) -> list[str]:
-    """Overlapping windows of an item's words; none for fewer than `least_words` words."""
-    words = text.lower().split()
-    if len(words) < least_words:
+def _spans(text: str, probe_words: int, stride: int, least_words: int) -> list[tuple[int, int]]:
+    """Where the probes of a normalised text begin and end."""
+    at: list[tuple[int, int, int]] = []  # begin, end, half words
+    for m in _UNITS.finditer(text):
+        a, b = m.span()
+        if b - a > _LONG:
+            at += [(i, i + 1, 1) for i in range(a, b)]
+        else:
+            at.append((a, b, 1 if re.match(f"[{_BLANKLESS}]", m[0]) else 2))
+    if not at:
+        return []
+    begins, ends = [x[0] for x in at], [x[1] for x in at]
+    halves = np.cumsum([0, *(x[2] for x in at)])
+    if halves[-1] < 2 * least_words and len(text) < LEAST_CHARS:
         return []
-    last = max(0, len(words) - probe_words)
-    return [" ".join(words[i : i + probe_words]) for i in sorted({*range(0, last, stride), last})]
+    last = max(0, int(np.searchsorted(halves, halves[-1] - 2 * probe_words, side="right")) - 1)
+    starts = sorted({*range(0, last, stride), last})
+    stops = np.minimum(np.searchsorted(halves, halves[starts] + 2 * probe_words), len(at)) - 1
+    return sorted({*((begins[i], ends[j]) for i, j in zip(starts, stops.tolist())), (begins[last], ends[-1])})
+
+
+def probes(text: str, probe_words: int = PROBE_WORDS, stride: int = STRIDE, least_words: int = LEAST_WORDS) -> list[str]:
+    """Overlapping windows of an item's words; none for one of fewer than `least_words` words and LEAST_CHARS characters."""
+    text = normalised(text)
+    return [text[a:b] for a, b in _spans(text, probe_words, stride, least_words)]
 
 
 def _points(text: str) -> np.ndarray:
@@ -57,20 +80,28 @@ def _grams(points: np.ndarray, q: int) -> np.ndarray:
 
 
 class Index:
-    """The q-grams of a block of probes."""
+    """The q-grams of a block of items, and the probes of each item in order of their place."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int, budget: float, **cut) -> None:
+    def __init__(self, items: list[tuple[int, str]], q: int, budget: float, probe_words: int = PROBE_WORDS, stride: int = STRIDE, least_words: int = LEAST_WORDS) -> None:
         self.q = q
-        texts = [(i, _points(p)) for i, t in items for p in probes(t, **cut)]
-        texts = [(i, p) for i, p in texts if len(p) >= q]
-        self.item = np.array([i for i, _ in texts], np.int64)
-        self.size = np.array([len(p) for _, p in texts], np.int64)
+        texts = [(i, t, [(a, b) for a, b in _spans(t, probe_words, stride, least_words) if b - a >= q]) for i, t in ((i, normalised(t)) for i, t in items)]
+        texts = [x for x in texts if x[2]]
+        points = [_points(t) for _, t, _ in texts]
+        base = np.cumsum([0, *map(len, points)])
+        self.points = np.concatenate([*points, np.zeros(1, np.uint32)])
+        n = [len(x) for _, _, x in texts]
+        self.row = np.repeat(np.arange(len(texts)), n)
+        self.item = np.repeat(np.array([i for i, _, _ in texts], np.int64), n)
+        span = np.array([x for _, _, s in texts for x in s], np.int64).reshape(-1, 2)
+        self.begin, self.size = span[:, 0], span[:, 1] - span[:, 0]
+        self.base = base[self.row] + self.begin
+        self.key = (self.row << 32) + self.begin
         self.edits = np.minimum((self.size * budget + 1e-9).astype(np.int64), (self.size - q) // q)
         self.least = self.size - q + 1 - self.edits * q
-        self.points = np.zeros((len(texts), int(self.size.max(initial=0))), np.uint32)
-        for row, (_, p) in zip(self.points, texts):
-            row[: len(p)] = p
-        grams = [_grams(p, q) for _, p in texts]
+        # of each item: diagonals to a band, the least q-grams and the most places of a probe
+        first = np.cumsum([0, *n])[:-1]
+        self.step, self.low, self.reach = (f.reduceat(x, first) if n else np.zeros(0, np.int64) for f, x in ((np.maximum, self.edits + 1), (np.minimum, self.least), (np.maximum, self.size - q)))
+        grams = [_grams(p, q) for p in points]
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(texts)), [len(g) for g in grams])
         place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
@@ -92,22 +123,43 @@ class Index:
         hit, rank = hit[real], rank[real]
         n = self.count[rank]
         entry = ranges(self.first[rank], n)
-        probe, diagonal = self.owner[entry], np.repeat(hit, n) - self.place[entry]
-        step = self.edits[probe] + 1
-        band = np.floor_divide(diagonal, step)
-        # all of a probe's bands in order; + 2^31 as a band can be below zero
-        key, have = np.unique((probe << 33) + band + (1 << 31), return_counts=True)
+        row, place = self.owner[entry], self.place[entry]
+        # all of an item's bands in order; + 2^31 as a band can be below zero
+        each = (row << 33) + np.floor_divide(np.repeat(hit, n) - place, self.step[row]) + (1 << 31)
+        order = np.argsort(each, kind="stable")
+        place = place[order]
+        key, first, have = np.unique(each[order], return_index=True, return_counts=True)
         both = have.copy()
         if len(key) > 1:
             both[:-1] += np.where(np.diff(key) == 1, have[1:], 0)
-        probe = key >> 33
-        band = (key & ((1 << 33) - 1)) - (1 << 31)
+        low = self.low[key >> 33]
         # a band begins at its own diagonals or one step before them
-        start = np.concatenate([key[both >= self.least[probe]], key[have >= self.least[probe]] - 1])
-        start = np.unique(start)
+        start = np.unique(np.concatenate([key[both >= low], key[have >= low] - 1]))
         if not len(start):
             return none, none, none
-        probe, band = start >> 33, (start & ((1 << 33) - 1)) - (1 << 31)
+        # places of the q-grams of each band, in order
+        who, at = [], []
+        for more in (0, 1):
+            i = np.minimum(np.searchsorted(key, start + more), len(key) - 1)
+            m = np.where(key[i] == start + more, have[i], 0)
+            who.append(np.repeat(np.arange(len(start)), m))
+            at.append(place[ranges(first[i], m)])
+        held = np.unique((np.concatenate(who) << 32) + np.concatenate(at))
+        who, at = held >> 32, held & 0xFFFFFFFF
+        row = start[who] >> 33
+        # probes whose first shared q-gram is this one, where enough others follow
+        enough = np.searchsorted(held, held + self.reach[row], side="right") - np.arange(len(held)) >= self.low[row]
+        before = np.concatenate([[-1], np.where(np.diff(who) == 0, at[:-1], -1)])
+        after = np.maximum(before + 1, np.maximum(at - self.reach[row], 0))
+        who, at, row, after = who[enough], at[enough], row[enough], after[enough]
+        a, b = np.searchsorted(self.key, (row << 32) + after), np.searchsorted(self.key, (row << 32) + at, side="right")
+        probe, who = ranges(a, b - a), np.repeat(who, b - a)
+        begin = (who << 32) + self.begin[probe]
+        shared = np.searchsorted(held, begin + self.size[probe] - self.q, side="right") - np.searchsorted(held, begin)
+        good = shared >= self.least[probe]
+        probe, band = probe[good], (start[who[good]] & ((1 << 33) - 1)) - (1 << 31)
+        if not len(probe):
+            return none, none, none
         found = [self._align(points, probe[a : a + 4096], band[a : a + 4096]) for a in range(0, len(probe), 4096)]
         end, edits = (np.concatenate(x) for x in zip(*found))
         near = edits <= self.edits[probe]
@@ -115,26 +167,31 @@ class Index:
 
     def _align(self, points: np.ndarray, probe: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least edits between each whole probe and a region that begins and ends on the band's diagonals."""
-        width = 2 * (self.edits[probe] + 1)
-        start = band * (self.edits[probe] + 1)
-        across = np.arange(int(width.max()))
-        beyond = across >= width[:, None]
-        far = np.int64(1 << 20)
-        cost = np.where(beyond, far, 0)
-        out, end = np.full(len(probe), far), np.zeros(len(probe), np.int64)
-        for i in range(int(self.size[probe].max())):
-            at = start[:, None] + across + i
-            inside = (at >= 0) & (at < len(points))
-            text = np.where(inside, points[np.clip(at, 0, len(points) - 1)], _GAP)
-            now = cost + (text != self.points[probe, i][:, None])
-            now[:, :-1] = np.minimum(now[:, :-1], cost[:, 1:] + 1)
-            cost = np.minimum.accumulate(now - across, axis=1) + across
+        step = self.step[self.row[probe]]
+        start = band * step + self.begin[probe]
+        across = np.arange(int(2 * step.max()), dtype=np.int32)[:, None]
+        beyond = across >= 2 * step
+        far = np.int32(1 << 20)
+        cost = np.where(beyond, far, np.int32(0))
+        out, end = np.full(len(probe), 1 << 20, np.int64), np.zeros(len(probe), np.int64)
+        size, base, row = self.size[probe], self.base[probe], np.arange(len(probe))
+        for i in range(int(size.max())):
+            at = start + across + i
+            text = np.where((at >= 0) & (at < len(points)), points[np.clip(at, 0, len(points) - 1)], _GAP)
+            now = cost + (text != self.points[base + i])
+            now[:-1] = np.minimum(now[:-1], cost[1:] + 1)
+            cost = np.minimum.accumulate(now - across, axis=0) + across
             cost[beyond] = far
-            done = self.size[probe] == i + 1
+            done = size == i + 1
             if done.any():
-                best = cost[done].argmin(axis=1)
-                out[done] = cost[done, :].min(axis=1)
-                end[done] = start[done] + best + i + 1
+                out[row[done]] = cost[:, done].min(axis=0)
+                end[row[done]] = start[done] + cost[:, done].argmin(axis=0) + i + 1
+            # the least of a row never falls: those beyond the budget and those at their end go
+            if done.any() or i % 8 == 7:
+                on = ~done & (cost.min(axis=0) <= self.edits[probe[row]])
+                start, size, base, row, cost, beyond = start[on], size[on], base[on], row[on], cost[:, on], beyond[:, on]
+                if not len(row):
+                    break
         return end, out
 
 
@@ -178,8 +235,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = Q, budget: flo
     n_probes, least_edits (null if clean), items (their ids, sorted and joined by commas).
 
     Texts are compared in lower case with white space as single blanks. A probe counts once however often
-    it occurs. Items of fewer than `least_words` words (null and empty ones too) are no evidence and are not looked for; items
-    with a null item_id count as item -1. Null or empty documents are clean; repeated rows are judged alike. Other
+    it occurs. Items of fewer than `least_words` words and fewer than LEAST_CHARS characters (null and empty ones too) are no evidence
+    and are not looked for. A character of a script without blanks counts as half a word. Items with a null item_id count as item -1. Null or empty documents are clean; repeated rows are judged alike. Other
     columns are ignored; an empty table gives no rows.
     """
     cut = {"probe_words": probe_words, "stride": stride, "least_words": least_words}

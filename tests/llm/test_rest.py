@@ -133,6 +133,27 @@ def test_decontamination_against_full_alignment(spark):
         assert r["least_edits"] == min((e for e, _ in hits), default=None)
 
 
+def test_every_window_of_an_item_is_found(spark):
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdefghij"), int(rng.integers(3, 9)))) for _ in range(400)]
+    han = "".join(chr(0x4E00 + int(i)) for i in rng.integers(0, 3000, 60))
+    item = words[:40]
+    bench = [(0, " ".join(item)), (1, han), (2, "internationalisation responsibilities telecommunications")]
+    docs = [(i, " ".join([*words[100:130], *item[i : i + 12], *words[200 + i : 230]])) for i in range(29)]
+    docs += [(100 + i, "".join(chr(0x7000 + int(x)) for x in rng.integers(0, 2000, 30)) + han[i : i + 24] + "\u3002") for i in range(37)]
+    docs += [(200, "see Internationalisation responsibilities telecommunications now"), (300, " ".join(words[100:300]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    out = decontaminate.decontaminate(df, spark.createDataFrame(bench, "item_id long, text string")).collect()
+    found = {r["doc_id"]: r["items"] for r in out}
+    expected = {d: "" if d == 300 else str(d // 100) for d, _ in docs}
+    assert found == expected
+    # each window of 12 words aligned with each document
+    windows = [" ".join(item[i : i + 12]) for i in range(29)]
+    for d, text in docs[:4]:
+        near = sum(slow_edits(w, text) <= min(int(len(w) * decontaminate.BUDGET + 1e-9), (len(w) - 8) // 8) for w in windows)
+        assert near == next(r["n_probes"] for r in out if r["doc_id"] == d)
+
+
 def test_decontamination_on_tables(spark, odd, none):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     assert decontaminate.decontaminate(odd, bench).count() == len(rows())
