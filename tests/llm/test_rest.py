@@ -85,6 +85,24 @@ def test_mixed_prefix_has_the_weights(spark):
         assert np.abs(lag).max() < 1.01
 
 
+def test_many_sources_have_their_weights(spark):
+    base = "select id as doc_id, if(id % 3 = 0, 'hot', concat('s', id % 5000)) as source, repeat('x', 100) as text from range(60000)"
+    few = spark.sql(base.replace("5000", "1999"))
+    names = sorted(r[0] for r in few.select("source").distinct().collect())
+    weights = {x: 0.8 if x == "hot" else 0.2 / (len(names) - 1) for x in names}
+    out = mixing.mix(few, weights=weights, block_chars=100).select("source", "slot", "in_target").collect()
+    assert len(out) == 60000
+    for most in (1000, 5000, 10_000):
+        read = [r["source"] == "hot" for r in out if r["slot"] < most]
+        assert abs(len(read) - most) < 150 and abs(sum(read) / len(read) - 0.8) < 0.02
+    assert all(r["in_target"] for r in out if r["slot"] < 5000)
+    # more sources than a hyperperiod holds
+    assert mixing.mix(spark.sql(base), block_chars=100).filter("slot is not null").count() == 60000
+    # a source without a weight comes last
+    out = mixing.mix(few.limit(3000), weights={"hot": 1.0}, block_chars=100).collect()
+    assert max(r["slot"] for r in out if r["source"] == "hot") < min(r["slot"] for r in out if r["source"] != "hot")
+
+
 def slow_edits(probe: str, text: str) -> int:
     """Least edits between the whole probe and any part of the text."""
     row = [0] * (len(text) + 1)
