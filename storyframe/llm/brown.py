@@ -14,6 +14,10 @@ each smoothed by adding a half, so unseen words and transitions have a probabili
 
 Counts of words above a count that at most `head_words` words reach are broadcast; all other words of a text meet their counts
 in a join, so the vocabulary may grow without bound.
+
+With `every_word` groups serve only to cluster the head and for words not seen in training. Every other training word has a class of its own:
+the one under which its neighbours' classes, counted over all training text, are most likely. Class bigrams are then
+counted anew over all words, and log P(w | before) = log P(k(w) | k(before)) + log P(w | k(w)).
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from storyframe.llm.common import batch, binary, remainder, slices, written
 
 HEAD_WORDS, CLUSTER_WORDS, CLASSES, SWEEPS, GROUPS = 100_000, 1500, 48, 4, 64
 END = b""
+UNKNOWN = 255
 _FLUSH = 300_000
 _COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 _PAIRS = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
@@ -42,6 +47,16 @@ _PARTS = pa.schema([
 _PARTS_DDL = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, words array<binary>, times array<int>"
 
 
+_NEAR = pa.schema([("word", pa.binary()), ("slots", pa.list_(pa.int16())), ("times", pa.list_(pa.int32()))])
+_CLASSED = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("k", pa.int32())])
+_SEQUENCES = pa.schema([
+    ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()),
+    ("classes", pa.binary()), ("which", pa.list_(pa.int32())), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int32())), ("guess", pa.list_(pa.int32())),
+])
+_SEQUENCES_DDL = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, classes binary, which array<int>, words array<binary>, times array<int>, guess array<int>"
+_SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+
+
 def tokens(text: bytes) -> list[bytes]:
     words = text.lower().split()
     words.append(END)
@@ -159,6 +174,7 @@ class Model:
         self.rest = np.zeros(len(member))
         self.rest[vocabulary.own :] = -np.log10(group_tokens + 0.5 * (group_words + 1))
         self.log_count = np.log10(vocabulary.counts + 0.5)
+        self.grid, self.classes = grid, classes
 
 
 def _totals(counts: DataFrame) -> tuple[int, int]:
@@ -217,7 +233,9 @@ def fit(train: DataFrame, counts: DataFrame, head_words: int, cluster_words: int
     group = np.zeros(2 * GROUPS)
     for i, n in grouped:
         group[i] = n
-    return Model(vocabulary, exchange(matrix, classes, sweeps), matrix, group[:GROUPS], group[GROUPS:])
+    model = Model(vocabulary, exchange(matrix, classes, sweeps), matrix, group[:GROUPS], group[GROUPS:])
+    model.head = least
+    return model
 
 
 def _parts(shared):
@@ -260,11 +278,189 @@ def _parts(shared):
     return run
 
 
-def brown_scores(docs: DataFrame, head_words: int = HEAD_WORDS, cluster_words: int = CLUSTER_WORDS, classes: int = CLASSES, sweeps: int = SWEEPS) -> DataFrame:
+def _neighbours(shared):
+    """(word, slots, times) of words that are no symbols: slot k is class k before the word, classes + k after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        v, wide = model.vocabulary, 2 * model.classes
+        index = v.index()
+        number: dict[bytes, int] = {}
+        keys: list[np.ndarray] = []
+        held = 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            key, n = np.unique(np.concatenate(keys), return_counts=True)
+            words, begin = list(number), np.searchsorted(key, np.arange(len(number) + 1) * wide)
+            for a in range(0, len(words), 1 << 16):
+                b = min(len(words), a + (1 << 16))
+                low, high, at = begin[a], begin[b], pa.array(begin[a : b + 1] - begin[a], pa.int32())
+                lists = [pa.ListArray.from_arrays(at, pa.array(x[low:high].astype(t))) for x, t in ((key % wide, np.int16), (n, np.int32))]
+                yield batch(_NEAR, word=words[a:b], slots=lists[0], times=lists[1])
+
+        for rows in batches:
+            texts = binary(rows["text"])
+            for a, b in slices(texts):
+                flat = [END]
+                for t in texts[a:b]:
+                    flat += tokens(t)
+                flat.append(END)
+                _, symbol, _ = v.look(flat, index)
+                k = model.member[symbol]
+                at = np.flatnonzero(symbol[:-1] >= v.own)
+                at = at[at > 0]
+                if len(at):
+                    who = np.array([number.setdefault(flat[i], len(number)) for i in at.tolist()], np.int64) * wide
+                    keys += [who + k[at - 1], who + model.classes + k[at + 1]]
+                    held += len(at)
+                if len(number) > _FLUSH or held > 4 * _FLUSH:
+                    yield from told()
+                    number, keys, held = {}, [], 0
+        if number:
+            yield from told()
+
+    return run
+
+
+def best_classes(near: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """For rows of neighbour-class counts (before, then after): the class, other than that of the end, that makes them most likely."""
+    size = len(grid)
+    before = np.log((grid + 0.5) / (grid.sum(axis=0) + 0.5 * size))
+    after = np.log((grid.T + 0.5) / (grid.sum(axis=1) + 0.5 * size))
+    gain = near @ np.concatenate([before, after])
+    gain[:, 0] = -np.inf
+    return gain.argmax(axis=1)
+
+
+def _assign(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        wide = 2 * model.classes
+        for rows in batches:
+            slots, times = rows["slots"], rows["times"]
+            n = slots.value_lengths().to_numpy(zero_copy_only=False)
+            key = np.repeat(np.arange(len(n)) * wide, n) + slots.flatten().to_numpy(zero_copy_only=False)
+            near = np.bincount(key, times.flatten().to_numpy(zero_copy_only=False), len(n) * wide).reshape(-1, wide)
+            yield batch(_CLASSED, word=rows["word"].cast(pa.binary()), c=near[:, : model.classes].sum(axis=1).astype(np.int64), k=best_classes(near, model.grid))
+
+    return run
+
+
+def _sequences(shared):
+    """Each text's classes, beginning with that of the end token before it; UNKNOWN where one of `words` stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, own = shared.value
+        v = model.vocabulary
+        index = v.index()
+        for rows in batches:
+            texts, ids, held, row = binary(rows["text"]), rows["doc_id"].to_pylist(), rows["held_out"].to_pylist(), rows["row"].to_pylist()
+            for a, b in slices(texts):
+                for r in range(a, b):
+                    flat = [END, *tokens(texts[r])]
+                    place, symbol, away = v.look(flat, index)
+                    k = np.append(own, UNKNOWN)[place].astype(np.uint8)
+                    if place[0] < 0:
+                        k[0] = model.member[symbol[0]]
+                    number: dict[bytes, int] = {}
+                    which = [number.setdefault(flat[i], len(number)) for i in away.tolist() if i]
+                    guess = np.zeros(len(number), np.int32)
+                    guess[which] = model.member[symbol[away[away > 0]]]
+                    out = {"row": row[r], "doc_id": ids[r], "held_out": held[r], "n_tokens": len(flat) - 1, "known": int((place[1:] >= 0).sum())}
+                    out |= {"base": float(np.append(model.log_count, 0.0)[place[1:]].sum()), "classes": k.tobytes(), "which": which, "words": list(number), "times": np.bincount(which, minlength=len(number)).tolist() if which else []}
+                    pending.append(out | {"guess": guess.tolist()})
+                yield pa.RecordBatch.from_pylist(pending, schema=_SEQUENCES)
+                pending.clear()
+
+    pending: list[dict] = []
+    return run
+
+
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Puts the classes of words that met their counts in a join into their places."""
+    for rows in batches:
+        out = []
+        for line, which, guess, found in zip(*(rows[c].to_pylist() for c in ("classes", "which", "guess", "found"))):
+            if which:
+                k = np.array(guess)
+                for x in found or ():
+                    k[x["no"]] = x["k"]
+                line = np.frombuffer(line, np.uint8).copy()
+                line[np.flatnonzero(line == UNKNOWN)] = k[which]
+                line = line.tobytes()
+            out.append(line)
+        keep = [rows[c] for c in ("doc_id", "held_out", "n_tokens", "known", "base")]
+        yield pa.RecordBatch.from_arrays([*keep, pa.array(out, pa.binary())], names=["doc_id", "held_out", "n_tokens", "known", "base", "classes"])
+
+
+def _every_word(source: DataFrame, train: DataFrame, model: Model, head: float, n: int, v: int) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base and score with a class for every training word; counts above `head` are broadcast."""
+    sc = source.sparkSession.sparkContext
+    first = sc.broadcast(model)
+    near = train.select("text").mapInArrow(_neighbours(first), "word binary, slots array<short>, times array<int>")
+    near = near.groupBy("word").agg(F.flatten(F.collect_list("slots")).alias("slots"), F.flatten(F.collect_list("times")).alias("times"))
+    classed = written(near.mapInArrow(_assign(first), "word binary, c long, k int"), "word-classes")
+    vocabulary = model.vocabulary
+    own = np.zeros(len(vocabulary.words), np.int64)
+    own[: vocabulary.own] = model.member[: vocabulary.own]
+    index = vocabulary.index()
+    for word, k in classed.filter(F.floor(F.log2("c") * 16) >= head).select("word", "k").collect():  # head_words at most
+        own[index[bytes(word)]] = k
+    # tokens and words of each class
+    size = model.classes
+    mass = np.bincount(own[: vocabulary.own], vocabulary.counts[: vocabulary.own], size) + 0.5 * (np.bincount(own[: vocabulary.own], minlength=size) + 1)
+    for k, t, w in classed.groupBy("k").agg(F.sum("c"), F.count(F.lit(1))).collect():
+        mass[k] += t + 0.5 * w
+    shared = sc.broadcast((model, own))
+    lines = written(source.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_sequences(shared), _SEQUENCES_DDL), "text-classes")
+    rare = lines.select("row", F.posexplode(F.arrays_zip("words", "times")).alias("no", "w")).select("row", "no", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    counted = rare.join(classed.withColumnRenamed("word", "known_word"), F.col("word") == F.col("known_word"), "left")
+    sums = counted.groupBy(F.col("row").alias("r")).agg(
+        F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rest"),
+        F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("rest_known"),
+        F.collect_list(F.when(F.col("k").isNotNull(), F.struct("no", "k"))).alias("found"),
+    )
+    both = lines.drop("words", "times").join(sums, F.col("row") == F.col("r"), "left")
+    both = both.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rest_known", F.lit(0))).alias("known"), (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base"), "classes", "which", "guess", "found")
+    both = written(both.mapInArrow(_resolved, "doc_id long, held_out boolean, n_tokens long, known long, base double, classes binary"), "text-all-classes")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, np.int64)
+        for rows in batches:
+            for line in binary(rows["classes"]):
+                k = np.frombuffer(line, np.uint8).astype(np.int64)
+                total += np.bincount(k[:-1] * size + k[1:], minlength=size * size)
+        yield batch(_PAIRS, pair=np.arange(size * size), n=total)
+
+    grid = np.zeros(size * size)
+    for i, t in both.filter("not held_out").select("classes").mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n")).collect():
+        grid[i] = t
+    grid = grid.reshape(size, size)
+    step = np.log10(grid + 0.5) - np.log10(grid.sum(axis=1, keepdims=True) + 0.5 * size) - np.log10(mass)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            lines = [np.frombuffer(x, np.uint8) for x in binary(rows["classes"])]
+            score = rows["base"].to_numpy(zero_copy_only=False) + np.array([step[k[:-1], k[1:]].sum() for k in lines])
+            yield batch(_SCORES, **{c: rows[c] for c in ("doc_id", "held_out", "n_tokens", "known", "base")}, score=score)
+
+    return both.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double").select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        F.col("known").alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * math.log10(n + 0.5 * (v + 1))).alias("base_score"),
+        "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
+    )
+
+
+def brown_scores(docs: DataFrame, head_words: int = HEAD_WORDS, cluster_words: int = CLUSTER_WORDS, classes: int = CLASSES, sweeps: int = SWEEPS, every_word: bool = False) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     base_score: sum over tokens of log10((c + 0.5) / (N + 0.5 (V + 1))) with the training counts c, their sum N and number
-    V. score: the log10 probability of the text under the class model. Null texts count as empty, one end token. A null
+    V. score: the log10 probability of the text under the class model, with `every_word` that in which each training word has a class. Null texts count as empty, one end token. A null
     doc_id counts as the empty text for the split. Repeated rows count as so many documents. If no row is for training, all
     counts are 0. Other columns are ignored; an empty table gives no rows.
     """
@@ -274,6 +470,8 @@ def brown_scores(docs: DataFrame, head_words: int = HEAD_WORDS, cluster_words: i
     counts = written(counts, "word-counts")
     n, v = _totals(counts)
     model = fit(train, counts, head_words, cluster_words, classes, sweeps)
+    if every_word:
+        return _every_word(source, train, model, model.head, n, v)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     parts = source.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_parts(shared), _PARTS_DDL)
     parts = written(parts, "text-scores")

@@ -24,7 +24,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return brown_scores(documents(spark, sf_dir))
+    return brown_scores(documents(spark, sf_dir), every_word=True)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,6 +136,58 @@ def test_scores_against_a_plain_model(spark, none):
     assert brown.brown_scores(none).count() == 0
 
 
+def brute_every_word(table, cluster_words, classes, sweeps):
+    """Each training word in a class by its neighbours, a token at a time."""
+    texts = [(i, (t or "").encode()) for i, t in table]
+    train = [[brown.END, *brown.tokens(t)] for i, t in texts if crc(i, 5) != 1]
+    count = Counter(w for t in train for w in t[1:])
+    own = [brown.END] + sorted((w for w in count if w != brown.END), key=lambda w: (-count[w], w))[:cluster_words]
+    place = {w: i for i, w in enumerate(own)}
+    symbol = lambda w: place[w] if w in place else len(own) + int(brown.groups_of([w])[0])
+    grid = np.zeros((len(own) + brown.GROUPS,) * 2)
+    for t in train:
+        for x, y in zip(t, t[1:]):
+            grid[symbol(x), symbol(y)] += 1
+    member = brown.exchange(grid, classes, sweeps)
+    size = member.max() + 1
+    one = np.eye(size)[member]
+    first = one.T @ grid @ one
+    near = {w: np.zeros(2 * size) for w in count if w not in place}
+    for t in train:
+        for x, w, y in zip(t, t[1:], t[2:]):
+            if w in near:
+                near[w][member[symbol(x)]] += 1
+                near[w][size + member[symbol(y)]] += 1
+    kinds = {w: int(member[place[w]]) for w in own} | {w: int(brown.best_classes(x[None], first)[0]) for w, x in near.items()}
+    kind = lambda w: kinds.get(w, int(member[symbol(w)]))
+    step, mass = np.zeros((size, size)), np.full(size, 0.5)
+    for t in train:
+        for x, y in zip(t, t[1:]):
+            step[kind(x), kind(y)] += 1
+    for w, c in count.items():
+        mass[kind(w)] += c + 0.5
+    out = {}
+    for i, t in texts:
+        t = [brown.END, *brown.tokens(t)]
+        out[i] = sum(math.log10((step[kind(x), kind(y)] + 0.5) / (step[kind(x)].sum() + 0.5 * size) * (count[y] + 0.5) / mass[kind(y)]) for x, y in zip(t, t[1:]))
+    return out
+
+
+def test_every_training_word_has_a_class(spark, odd, none):
+    table = duckdb.sql("select doc_id, text from '/root/testdata/sf0.001/documents.parquet' where length(text) < 800 order by doc_id limit 40").fetchall() + [(900001, None), (900002, ""), (900003, "zzz qqq")]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    expected = brute_every_word(table, 20, 6, 3)
+    for head in (60, 100_000):
+        found = brown.brown_scores(df, head_words=head, cluster_words=20, classes=6, sweeps=3, every_word=True).collect()
+        plain = {r["doc_id"]: r for r in brown.brown_scores(df, head_words=head, cluster_words=20, classes=6, sweeps=3).collect()}
+        assert len(found) == len(table)
+        for r in found:
+            assert abs(r["score"] - expected[r["doc_id"]]) < 1e-6
+            assert r["n_known"] == plain[r["doc_id"]]["n_known"] and abs(r["base_score"] - plain[r["doc_id"]]["base_score"]) < 1e-6
+    assert len(brown.brown_scores(odd, cluster_words=5, classes=3, every_word=True).collect()) == len(rows())
+    assert brown.brown_scores(none, every_word=True).count() == 0
+
+
 def test_scores_on_odd_rows(odd):
     found = brown.brown_scores(odd, cluster_words=5, classes=3).collect()
     assert len(found) == len(rows())
