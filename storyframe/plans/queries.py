@@ -395,7 +395,7 @@ def c1_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def c3_roster(spark: SparkSession, sf: str) -> DataFrame:
-    texts = X.table(spark, sf, "documents").filter("lang = 'en'").select(F.col("source").alias("book_id"), "text")
+    texts = X.table(spark, sf, "documents").select(F.col("source").alias("book_id"), "text")
     out = roster.roster(roster.cluster_names(roster.extract_names(texts)))
     return out.select("book_id", "canonical", F.array_join("aliases", "|").alias("aliases"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from storyframe.functions import text as T
 from storyframe.operators import attribution, batching, chapters, jobs, quotes, roster, series, voices
+from storyframe.plans import queries
 from storyframe.sources import books, html, tables
 from storyframe.streaming import jobs as streams
 
@@ -150,6 +151,14 @@ def test_pauses_and_frames(spark):
     assert one(spark, batching.frames_after_eos(F.repeat(F.lit("x"), F.lit(1000)))) == 6
 
 
+def test_roster_reads_every_language(spark, tmp_path):
+    said = "Then {0} Weber said it. We saw {0} Weber there. And {0} Weber went home."
+    rows = [(i, said.format(name), lang, "s") for i, (name, lang) in enumerate([("Anna", "en"), ("Karl", "de"), ("Luis", "es"), ("Jean", "fr"), ("Olga", None)])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = " ".join(r["canonical"] + "|" + r["aliases"] for r in queries.c3_roster(spark, str(tmp_path)).collect())
+    assert all(f"{name} Weber" in found for name in ("Anna", "Karl", "Luis", "Jean", "Olga")), found
+
+
 def test_clusters_and_roster(spark):
     names = ["Harry Potter", "Harry", "Mr. Potter", "Hermione Granger", "Hermione", "Ron", "Lord Dark"]
     df = spark.createDataFrame([("b", n) for n in names], "book_id string, name string")
