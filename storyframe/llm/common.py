@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+import weakref
 import zlib
 from collections.abc import Iterator
 
@@ -17,11 +19,17 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_LIVE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests, one machine) a temporary one."""
+    """The folder named in spark.checkpoint.dir. Where that is unset on one machine (tests), a temporary one; on a cluster an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="storyframe-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -34,22 +42,63 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    if path in _LIVE:
+        _LIVE.remove(path)
+    try:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has ended before
+        pass
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again. It is removed when the driver's Python ends."""
+    """Writes a table to the shared folder and reads it again. It goes when it is dropped(), at the latest when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-
-    def remove() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session has ended before
-            pass
-
-    atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+    _LIVE.append(path)
+    atexit.register(_remove, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that written() made and nothing reads any more."""
+    for t in tables:
+        if path := _PATHS.get(t):
+            _remove(t.sparkSession, path)
+
+
+def live() -> int:
+    """A mark for dropped_since()."""
+    return len(_LIVE)
+
+
+def dropped_since(mark: int, kept: DataFrame) -> None:
+    """Removes the tables that written() made since the mark, all but one."""
+    for path in _LIVE[mark:]:
+        if path != _PATHS.get(kept):
+            _remove(kept.sparkSession, path)
+
+
+def matched(left: DataFrame, key: str, right: DataFrame, n: str, most: int = 1 << 19) -> DataFrame:
+    """left with the columns of right, null where it has no row with the key.
+
+    right is a written table of one row a key, with the number n of rows in left that have it. Up to `most` rows are broadcast. Of a larger
+    table only keys with a thousandth of these rows are, of which there are a thousand at most; all other rows are shuffled.
+    """
+    right = right.withColumnRenamed(key, "_key")
+    same = F.col(key) == F.col("_key")
+    rows, total = right.agg(F.count(F.lit(1)), F.sum(n)).first()
+    if rows <= most:
+        return left.join(F.broadcast(right), same, "left").drop("_key")
+    hot = F.col(n) >= max(1000, (total or 0) // 1000)
+    near = left.join(F.broadcast(right.filter(hot)), same)
+    far = left.join(F.broadcast(right.filter(hot).select("_key")), same, "left_anti").join(right.filter(~hot), same, "left")
+    return near.unionByName(far).drop("_key")
 
 
 def key_of(doc_id: Column | str) -> Column:

@@ -1,14 +1,15 @@
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import regex
 import xxhash
+from pyspark.sql import functions as F
 
-from storyframe.llm.common import documents
+from storyframe.llm.common import documents, matched, written
 from storyframe.llm.components import connected_components
 from storyframe.llm.exact_dedup import exact_dedup, keep_distinct
 from storyframe.llm.line_dedup import line_dedup
@@ -48,6 +49,59 @@ def test_keep_distinct_passes_all_columns(odd):
     assert len(texts) == len(set(texts)) == len({lower(r[1] or "") for r in rows()})
 
 
+def brute_exact(table: list[tuple]) -> list[tuple]:
+    groups = defaultdict(list)
+    for i, text, *_ in table:
+        groups[lower(text or "")].append(i)
+    out = []
+    for text, ids in groups.items():
+        keep = max(ids, key=low)
+        top = [i for i in ids if i == keep]
+        digest = hashlib.sha256(text.encode()).hexdigest()
+        out += [(i, keep, len(ids), False, digest) for i in ids if i != keep] + [(keep, keep, len(ids), n == 0, digest) for n in range(len(top))]
+    return sorted(out, key=lambda r: (low(r[0]), r[4], r[3]))
+
+
+def test_exact_dedup_whatever_the_order(spark):
+    """The input is dealt anew at each read, in another order; a hot text stands in every batch."""
+    table = [(i, f"Text {i % 4000}" if i % 3 else "HOT text") for i in range(24_000)] + [(7, "hot TEXT")] * 500 + [(23_997, "hot text")] * 400
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(16).withColumn("r", F.rand()).repartition(8, "r").sortWithinPartitions("r").select("doc_id", "text")
+    for most in (1 << 22, 10):
+        found = sorted((tuple(r) for r in exact_dedup(df, most_marks=most).collect()), key=lambda r: (low(r[0]), r[4], r[3]))
+        assert found == brute_exact(table)
+    assert sorted(lower(r["text"]) for r in keep_distinct(df).collect()) == sorted({lower(t) for _, t in table})
+
+
+def test_exact_dedup_compares_contents(spark):
+    """Digests of two bits clash all the time; equal texts are still told from others at every stage."""
+    table = [(i % 301, f"text {i % 90}") for i in range(900)]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(5)
+    weak = lambda t: bytes([hashlib.sha256(t).digest()[0] & 3])
+    for most in (1 << 22, 1):
+        found = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup(df, digest=weak, most_marks=most).collect())
+        assert found == Counter(r[:4] for r in brute_exact(table))
+    assert sorted(r["text"] for r in keep_distinct(df, digest=weak).collect()) == sorted({t for _, t in table})
+
+
+def test_matched_with_a_hot_key(spark):
+    table = [(0 if i % 2 else i, i) for i in range(6000)]
+    left = spark.createDataFrame(table, "k long, v long").repartition(4)
+    right = written(left.filter("k % 3 = 0").groupBy("k").agg(F.count(F.lit(1)).alias("n")), "test")
+    expected = sorted((k, v, (3001 if k == 0 else 1) if k % 3 == 0 else None) for k, v in table)
+    for most in (1 << 19, 5):
+        assert sorted(tuple(r) for r in matched(left, "k", right, "n", most).select("k", "v", "n").collect()) == expected
+
+
+def test_line_dedup_counts_documents(spark):
+    line = "a line that is long enough to count"
+    table = [(1, line), (1, line), (2, line), (3, f"x\n{line}"), (3, line.upper()), (None, line)]
+    two = spark.createDataFrame(table[:3], "doc_id long, text string")
+    assert not line_dedup(two).filter("n_dropped > 0").count()
+    found = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in line_dedup(spark.createDataFrame(table, "doc_id long, text string")).collect()), key=lambda r: (low(r[0]), r[1:]))
+    assert found == brute_lines(table)
+    assert sum(r[2] for r in found) == 4
+
+
 def brute_lines(table: list[tuple]) -> list[tuple]:
     white = " \t\n\x0b\x0c\r"
     key = lambda line: lower(line.strip(white))
@@ -55,6 +109,7 @@ def brute_lines(table: list[tuple]) -> list[tuple]:
     for i, text, *_ in table:
         for k in {key(x) for x in (text or "").split("\n")}:
             holders[k].append(i)
+    holders = {k: set(v) for k, v in holders.items()}
     out = []
     for i, text, *_ in table:
         lines = (text or "").split("\n")
