@@ -114,10 +114,10 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     """One row for each row of docs(doc_id, text): doc_id, text (what is kept), n_lines, n_dropped, kept_sha256.
 
     Lines are split at \\n; a null or empty text is one empty line. A key is the line without ASCII white space at both
-    ends, A-Z in lower case. Keys of at least `min_chars` code points in at least `min_docs` rows lose all their lines
-    but those in the largest doc_id that holds them; a null doc_id is below all others. Repeated rows count as so many
-    documents, and rows that share the largest doc_id all keep the line. If all lines go, the text is empty. Other
-    columns are ignored; an empty table gives no rows.
+    ends, A-Z in lower case. A document is a doc_id: rows that share one are one document, and so are those with a null doc_id,
+    which is below all others. Keys of at least `min_chars` code points in at least `min_docs` documents lose all their lines
+    but those in the largest doc_id that holds them, in all of its rows. If all lines go, the text is empty. Lines and texts
+    may have any length. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -152,7 +152,8 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
         for rows in batches:
             yield _result(rows["doc_id"].to_pylist(), binary(rows["text"]), [set(k or ()) for k in rows["keys"].to_pylist()])
 
-    held = source.mapInArrow(pairs, "key binary, doc_id long")
+    # each document once; this deals the holders of a hot line, too
+    held = written(source.mapInArrow(pairs, "key binary, doc_id long").distinct(), "suspected-lines")
     sure = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).filter(F.col("n") >= min_docs)
     sure = written(sure, "repeated-lines")
     # at most a thousand keys can have a thousandth of the lines: those are marked by a broadcast and dealt by salts

@@ -133,8 +133,8 @@ _ORACLES = {
         with parts as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
         l as (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as pos from parts),
         k as (select doc_id, line, pos, {_LOWER.format("regexp_replace(line, '^[ \\t-\\r]+|[ \\t-\\r]+$', '', 'g')")} as key from l),
-        r as (select key, max(doc_id) as last from k where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
-        m as (select k.doc_id, k.line, k.pos, r.last is not null and r.last <> k.doc_id as gone from k left join r on k.key = r.key)
+        r as (select key, max(doc_id) as last from k where length(key) >= 20 group by key having count(distinct coalesce(doc_id::varchar, '')) >= 3),
+        m as (select k.doc_id, k.line, k.pos, r.key is not null and r.last is distinct from k.doc_id as gone from k left join r on k.key = r.key)
         select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
                sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
         from m group by doc_id
