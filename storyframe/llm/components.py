@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyframe.llm.common import checkpoint
+from storyframe.llm.common import dropped, written
 
 SALTS = 8
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """For edges(a long, b long): node, component (the smallest node that can be reached); only nodes with an edge.
+    """For edges(a long, b long): node, component (the smallest node that can be reached) of nodes with an edge, but not of the smallest node itself.
 
     Each round joins nodes to their smallest neighbour. The neighbours of a hub are dealt by salts, and smallest neighbours
     are combined before they are shuffled, so no task sees a whole hub.
@@ -35,9 +35,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         others = meet(down, low).filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
         return others.unionByName(low.select(F.col("w").alias("a"), F.col("m").alias("b"))).distinct()
 
-    star, before = checkpoint(edges.select("a", "b").filter("a <> b").distinct()), None
+    star, before = written(edges.select("a", "b").filter("a <> b").distinct(), "links"), None
     for _ in range(most_rounds):
-        star = checkpoint(small(large(star)))
+        last, star = star, written(small(large(star)), "stars")
+        dropped(last)
         now = tuple(star.agg(F.count(F.lit(1)), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             return star.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyframe.llm.common import batch, binary, checkpoint, key_of, ranges
-from storyframe.llm.components import connected_components
+from storyframe.llm.common import batch, binary, key_of, matched, ranges, written
+from storyframe.llm.components import SALTS, connected_components
 
 THRESHOLD, SHINGLE = 4, 4
 #: First bit and width of the three parts.
@@ -238,13 +238,20 @@ def simhash_dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     if all doc_ids reached are null. component is the group's smallest fingerprint, as a signed number. A null or empty text has fingerprint zero and links like any other. Repeated rows
     share a fingerprint. Other columns are ignored; an empty table gives no rows.
     """
-    prints = checkpoint(fingerprints(docs))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    prints = written(fingerprints(docs), "fingerprints")
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     links = connected_components(simhash_links(classes.select("fp"), threshold))
-    classes = classes.join(links, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("class"), F.coalesce("component", "fp").alias("component"), "rep")
-    lowest = classes.groupBy("component").agg(F.min("rep").alias("component_id")).withColumnRenamed("component", "c")
-    named = classes.join(lowest, F.col("component") == F.col("c")).select("class", "component_id", "component")
-    return prints.join(named, F.col("fp") == F.col("class")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component")
+    links = links.unionByName(links.select("component").distinct().withColumn("node", F.col("component")))  # the least node has no row of its own
+    linked = classes.join(links, F.col("fp") == F.col("node"))
+    # a component may hold a large share of all classes: they meet its least doc_id by salts
+    lowest = linked.groupBy("component").agg(F.min("rep").alias("component_id")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("component", "c")
+    salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")
+    named = linked.join(lowest, (F.col("component") == F.col("c")) & (salt == F.col("s"))).select("fp", "n", "component", "component_id")
+    named = written(named, "linked-classes")
+    alone = classes.select("fp", "rep", F.col("n").alias("rows"))
+    known = matched(matched(prints, "fp", alone, "rows"), "fp", named, "n")
+    own = F.col("component").isNull()
+    return known.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(own, F.col("rep")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("component", "fp").alias("component"))
 
 
 def keep_one_of_each(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
