@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +25,17 @@ from storyframe.llm.common import batch, slices
 from storyframe.llm.recurrent import Adam, Lstm, Tagger, cut, windows
 
 KINDS = ("email", "ip", "card", "phone")
-_PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
-    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
-}
-#: A text without this string has no match of the kind.
-_NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
+#: Characters of an address before its @, and what follows; the whole of four or more dotted numbers.
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-SIZE, WINDOW, OVERLAP, BATCHES, BATCH, SAMPLE = 8, 256, 32, 180, 128, 400
+SIZE, WINDOW, OVERLAP, BATCHES, BATCH, SAMPLE, SAMPLE_CHARS = 8, 256, 32, 180, 128, 400, 4096
+#: An address has at most 254 characters; room for blanks and brackets in it.
+MOST_ADDRESS = 400
 _SYMBOLS = 129  # ASCII, and one for all else
 
 
@@ -49,24 +51,47 @@ def _digits(text: str) -> str:
     return "".join(_DIGIT.findall(text))
 
 
-def _passes(kind: str, found: str) -> bool:
-    if kind == "email":
-        return True
-    if kind == "ip":
-        return all(int(x) <= 255 for x in found.split("."))
-    digits = _digits(found)
-    return 16 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 8 <= len(digits) <= 15
+def _byte(number: str) -> bool:
+    """0 to 255, with any number of zeros before."""
+    number = number.lstrip("0")
+    return len(number) <= 3 and int(number or "0") <= 255
 
 
 Span = tuple[str, int, int]
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Each @ ends one run of local characters, which begins after the match before; so a text is read once, however long its runs are."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        begin = done + len(text[done:at].rstrip(_LOCAL))
+        if begin < at and (m := _DOMAIN.match(text, at)):
+            yield begin, m.end()
+            done = m.end()
+        else:
+            done = at + 1
+        at = text.find("@", done)
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Dotted numbers, four at a time."""
+    for m in _DOTTED.finditer(text):
+        parts, begin = m[0].split("."), m.start()
+        for i in range(0, len(parts) - 3, 4):
+            end = begin + sum(map(len, parts[i : i + 4])) + 3
+            if all(map(_byte, parts[i : i + 4])):
+                yield begin, end
+            begin = end + 1
+
+
 def base_spans(text: str) -> list[Span]:
     """(kind, start, end) by kind, then start; leftmost, not overlapping within a kind."""
-    out = []
-    for kind, pattern in _PATTERNS.items():
-        if _NEEDS[kind] in text:
-            out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if _passes(kind, m[0])]
+    out = [("email", a, b) for a, b in _emails(text)]
+    out += [("ip", a, b) for a, b in _addresses(text)]
+    # 19 digits with a sign between each two have 37 characters
+    out += [("card", m.start(), m.end()) for m in _CARD.finditer(text) if 16 <= m.end() - m.start() <= 37 and 16 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
+    if "+" in text:
+        out += [("phone", m.start(), m.end()) for m in _PHONE.finditer(text) if 8 <= len(_digits(m[0])) <= 15]
     return out
 
 
@@ -75,12 +100,14 @@ _SPACED_AT = re.compile(r"^[\w.%+-]+(?:@|\x20?[\[(]\x20?at\x20?[\])]\x20?|\x20at
 
 def plausible(kind: str, found: str) -> bool:
     """The make-up that a span of the network must have."""
+    if len(found) > MOST_ADDRESS:
+        return False
     digits = _digits(found)
     if kind == "email":
         return bool(_SPACED_AT.match(found))
     if kind == "ip":
         parts = re.split(r"[^0-9]+", found)
-        return len(parts) == 4 and all(p and int(p) <= 255 for p in parts) and not re.search(r"[A-Za-z]", found)
+        return len(parts) == 4 and all(p and _byte(p) for p in parts) and not re.search(r"[A-Za-z]", found)
     if re.search(r"[^0-9\x20().+/_-]", found):
         return False
     return 16 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 8 <= len(digits) <= 15 and bool(re.match(r"^(\+|00|\()", found))
@@ -190,13 +217,17 @@ class PiiModel:
             return []
         cuts = np.flatnonzero(np.diff(tags, prepend=0, append=0))
         out = []
+        # base spans by start, and the farthest end up to each
+        order = sorted((s, e) for _, s, e in base)
+        starts, ends = [s for s, _ in order], list(accumulate((e for _, e in order), max))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if tag := int(tags[a]):
                 found = text[a:b]
                 a += len(found) - len(found.lstrip(" ,;:.\n"))
                 found = found.strip(" ,;:.\n")
                 b = a + len(found)
-                if plausible(KINDS[tag - 1], found) and not any(a < e and s < b for _, s, e in base):
+                before = bisect_left(starts, b)
+                if (not before or ends[before - 1] <= a) and plausible(KINDS[tag - 1], found):
                     out.append((KINDS[tag - 1], a, b))
         return out
 
@@ -273,10 +304,15 @@ def train(lines: list[str], seed: int = 5, batches: int = BATCHES, width: int =
     return PiiModel(tagger, params["trans"])
 
 
-def training_lines(docs: DataFrame, sample: int = SAMPLE) -> list[str]:
-    """Lines without base spans of at most `sample` documents, those with the smallest hash of doc_id."""
+def training_lines(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[str]:
+    """Lines without base spans of at most `sample` documents, those with the smallest hash of doc_id.
+
+    Of a longer text a window of `chars` characters is taken, at a place given by the hash, so the driver gets a bounded sample.
+    """
     ids = docs.filter("text is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample).collect()
+    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id", F.lit("window")))
+    begin = F.pmod("h", F.greatest(F.lit(1), F.length("text") - chars + 1)).cast("int") + 1
+    rows = rows.select("doc_id", F.substring("text", begin, F.lit(chars)).alias("text")).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample).collect()
     lines = [x for r in rows for x in r[1].split("\n") if x.strip()]
     return [x for x in lines if not base_spans(x)]
 
@@ -293,8 +329,8 @@ def find_pii(docs: DataFrame, model: PiiModel | None = None) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, n_email, n_ip, n_card, n_phone (base), n_added, base_sha256, spans.
 
     spans: kind:start:end in code points (end exclusive), base and added, by kind and start, joined by commas. Null
-    texts count as empty and have no spans; repeated rows are judged alike. Other columns are ignored; an empty table
-    gives no rows.
+    texts count as empty and have no spans; repeated rows are judged alike. Base spans take time in proportion to a text's length, whatever runs
+    it holds, and so do added ones. Other columns are ignored; an empty table gives no rows.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model or train(training_lines(source)))
