@@ -27,6 +27,8 @@ from storyframe.llm.common import batch, binary, key_of, matched, ranges, writte
 from storyframe.llm.components import SALTS, connected_components
 
 THRESHOLD, SHINGLE = 4, 4
+#: Classes that are broadcast; more are shuffled.
+MOST_SENT = 1 << 16
 #: First bit and width of the three parts.
 PARTS = ((0, 21), (21, 21), (42, 22))
 _CODE = 15
@@ -249,7 +251,7 @@ def simhash_dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     named = linked.join(lowest, (F.col("component") == F.col("c")) & (salt == F.col("s"))).select("fp", "n", "component", "component_id")
     named = written(named, "linked-classes")
     alone = classes.select("fp", "rep", F.col("n").alias("rows"))
-    known = matched(matched(prints, "fp", alone, "rows"), "fp", named, "n")
+    known = matched(matched(prints, "fp", alone, "rows", MOST_SENT), "fp", named, "n", MOST_SENT)
     own = F.col("component").isNull()
     return known.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(own, F.col("rep")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("component", "fp").alias("component"))
 
