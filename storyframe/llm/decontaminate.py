@@ -7,7 +7,11 @@ counted for whole items in bands of 2 (k + 1) diagonals that overlap by half, th
 bound are verified by a banded alignment. So every region within the budget is found, and none beyond it. q-grams are kept once for an
 item, however many probes hold them.
 
-Items are sent to the executors in blocks of at most `block_chars` characters; a document is read once for all blocks.
+Items too short for a probe are looked for as whole word sequences without an edit, by one automaton.
+
+Items are sent to the executors in blocks of at most `block_chars` characters; a document is read once for all blocks. A worker holds the indexes of all
+blocks, so its memory grows with the benchmark (about 60 bytes a character), not with the documents: shared q-grams are worked off in
+pieces of a text.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +31,9 @@ Q, BUDGET, PROBE_WORDS, STRIDE, LEAST_WORDS, LEAST_CHARS = 8, 0.1, 12, 1, 6, 30
 #: Thai to Myanmar, Khmer, kana, Han: scripts without blanks, in which a character counts as half a word. So does each of a longer run without blanks.
 _BLANKLESS, _LONG = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff", 30
 _UNITS = re.compile(f"[{_BLANKLESS}]|[^ {_BLANKLESS}]+")
+_IS_BLANKLESS = re.compile(f"[{_BLANKLESS}]")
+#: Shared q-grams that are worked on at once.
+_HELD = 1 << 20
 _OUT = pa.schema([("doc_id", pa.int64()), ("contaminated", pa.bool_()), ("n_items", pa.int64()), ("n_probes", pa.int64()), ("least_edits", pa.int64()), ("items", pa.string())])
 _OUT_DDL = "doc_id long, contaminated boolean, n_items long, n_probes long, least_edits long, items string"
 _MIX, _BITS, _BASE = np.uint64(0x9E3779B97F4A7C15), 22, 0x100000001B3
@@ -59,11 +67,40 @@ def _spans(text: str, probe_words: int, stride: int, least_words: int) -> list[t
 
 
 def probes(text: str, probe_words: int = PROBE_WORDS, stride: int = STRIDE, least_words: int = LEAST_WORDS) -> list[str]:
-    """Overlapping windows of an item's words; none for one of fewer than `least_words` words and LEAST_CHARS characters."""
+    """Overlapping windows of an item's words; none for one of fewer than `least_words` words and LEAST_CHARS characters, which is short."""
     text = normalised(text)
     return [text[a:b] for a, b in _spans(text, probe_words, stride, least_words)]
 
 
+class Short:
+    """Items without a probe, found as whole word sequences."""
+
+    def __init__(self, items: list[tuple[int, str]], probe_words: int, stride: int, least_words: int) -> None:
+        owners: dict[str, set[int]] = {}
+        for i, t in ((i, normalised(t)) for i, t in items):
+            if t and not _spans(t, probe_words, stride, least_words):
+                owners.setdefault(t, set()).add(i)
+        self.automaton = ahocorasick.Automaton()
+        for n, (t, ids) in enumerate(owners.items()):
+            self.automaton.add_word(t, (n, t, sorted(ids)))
+        self.some = bool(owners)
+        if self.some:
+            self.automaton.make_automaton()
+
+    def search(self, text: str) -> Iterator[tuple[int, list[int]]]:
+        """(number, items) of every short item that stands in a normalised text."""
+        seen: set[int] = set()
+        for last, (n, t, ids) in self.automaton.iter(text) if self.some else ():
+            if n not in seen and _apart(text, last - len(t)) and _apart(text, last):
+                seen.add(n)
+                yield n, ids
+
+
+def _apart(text: str, i: int) -> bool:
+    """Whether a word may end with character i and the next begin after it."""
+    return i < 0 or i + 1 >= len(text) or " " in text[i : i + 2] or bool(_IS_BLANKLESS.search(text[i : i + 2]))
+
+
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -121,6 +158,24 @@ class Index:
         rank = np.minimum(np.searchsorted(self.grams, grams[hit]), len(self.grams) - 1)
         real = self.grams[rank] == grams[hit]
         hit, rank = hit[real], rank[real]
+        if not len(hit):
+            return none, none, none
+        found = [self._search(points, hit[a:b], rank[a:b]) for a, b in self._pieces(hit, self.count[rank])]
+        probe, middle, edits = (np.concatenate(x) for x in zip(*found))
+        return probe, middle, edits
+
+    def _pieces(self, hit: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Ranges of hits with about _HELD entries that overlap by a whole region, so that each region lies in one of them."""
+        sums, region, a = np.cumsum(n), int((self.size + self.edits).max()), 0
+        while True:
+            b = max(int(np.searchsorted(sums, (sums[a - 1] if a else 0) + _HELD, side="right")), int(np.searchsorted(hit, hit[a] + 2 * region)))
+            yield a, b
+            if b >= len(hit):
+                return
+            a = int(np.searchsorted(hit, hit[b] - region))
+
+    def _search(self, points: np.ndarray, hit: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
         n = self.count[rank]
         entry = ranges(self.first[rank], n)
         row, place = self.owner[entry], self.place[entry]
@@ -209,8 +264,17 @@ def _shared(benchmark: DataFrame, block_chars: int) -> list:
     return shared
 
 
-def _found(texts: list[str], kept: list[Index]) -> Iterator[tuple[int, int, list[dict]]]:
-    """Of row ranges (begin, end): for each row {probe: (least edits, item)}."""
+class Indexes:
+    """All blocks of items."""
+
+    def __init__(self, blocks: list[list[tuple[int, str]]], q: int, budget: float, probe_words: int = PROBE_WORDS, stride: int = STRIDE, least_words: int = LEAST_WORDS) -> None:
+        self.long = [Index(x, q, budget, probe_words, stride, least_words) for x in blocks]
+        self.short = Short([i for x in blocks for i in x], probe_words, stride, least_words)
+
+
+def _found(texts: list[str], indexes: Indexes) -> Iterator[tuple[int, int, list[dict]]]:
+    """Of row ranges (begin, end): for each row {probe: (least edits, item)}; a short item is its own probe."""
+    kept = indexes.long
     texts = [normalised(t) for t in texts]
     for a, b in slices(texts):
         parts = [_points(t) for t in texts[a:b]]
@@ -227,6 +291,10 @@ def _found(texts: list[str], kept: list[Index]) -> Iterator[tuple[int, int, list
                 owner = np.searchsorted(ends, middle, side="right")
                 for p, o, e in zip(probe.tolist(), owner.tolist(), edits.tolist()):
                     found[o][n, p] = (min(e, found[o].get((n, p), (e,))[0]), int(index.item[p]))
+        for row, text in zip(found, texts[a:b]):
+            for n, ids in indexes.short.search(text):
+                for i in ids:
+                    row[-1 - n, i] = (0, i)
         yield a, b, found
 
 
@@ -235,15 +303,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = Q, budget: flo
     n_probes, least_edits (null if clean), items (their ids, sorted and joined by commas).
 
     Texts are compared in lower case with white space as single blanks. A probe counts once however often
-    it occurs. Items of fewer than `least_words` words and fewer than LEAST_CHARS characters (null and empty ones too) are no evidence
-    and are not looked for. A character of a script without blanks counts as half a word. Items with a null item_id count as item -1. Null or empty documents are clean; repeated rows are judged alike. Other
+    it occurs. Items of fewer than `least_words` words and fewer than LEAST_CHARS characters are looked for as whole word sequences, without
+    edits; null and empty items are not looked for. Texts of any length are read whole. A character of a script without blanks counts as half a word. Items with a null item_id count as item -1. Null or empty documents are clean; repeated rows are judged alike. Other
     columns are ignored; an empty table gives no rows.
     """
     cut = {"probe_words": probe_words, "stride": stride, "least_words": least_words}
     shared = _shared(benchmark, block_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [Index(x.value, q, budget, **cut) for x in shared]
+        kept = Indexes([x.value for x in shared], q, budget, **cut)
         for rows in batches:
             ids = rows["doc_id"].to_pylist()
             for a, b, found in _found([t or "" for t in rows["text"].to_pylist()], kept):
@@ -262,12 +330,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = Q, budget: flo
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, budget: float = BUDGET, block_chars: int = 4 << 20) -> DataFrame:
-    """The rows of docs(text, ...) that decontaminate() calls clean. All columns pass unchanged, whatever their names."""
+    """The rows of docs(text, ...) that decontaminate() calls clean. All columns pass unchanged, whatever their names.
+
+    Null and empty texts are clean; repeated rows stay or go together; an empty table or benchmark is no error.
+    """
     shared = _shared(benchmark, block_chars)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [Index(x.value, q, budget) for x in shared]
+        kept = Indexes([x.value for x in shared], q, budget)
         for rows in batches:
             clean = [not f for _, _, found in _found([t or "" for t in rows.column(at).to_pylist()], kept) for f in found]
             yield rows.filter(pa.array(clean, pa.bool_()))
