@@ -3,7 +3,7 @@
 A log has events of conversations: `open` starts a message (role, text), `delta` adds text, `edit` replaces the text,
 `regenerate` empties the message and drops every message opened after it, `delete` drops the message. Logs are partitioned by
 conversation and sorted by sequence; one pass folds the events into final messages, renders them and, for the query,
-reads the rendered text back. The passes stream: a task holds the messages of one conversation, never a whole partition.
+reads the rendered text back. The passes stream: a task holds the messages of one conversation and one batch, never a whole partition.
 
 A turn is rendered as <|turn|>role, newline, text, <|end|>, newline. In texts and roles a backslash is doubled and a
 control string gets \\e after its first character, so it cannot end or start a turn and the text comes back
@@ -17,7 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyframe.llm.common import batch
@@ -44,49 +44,76 @@ def unescape(text: str) -> str:
     return re.sub(r"\\([\\en])", lambda m: {"\\": "\\", "e": "", "n": "\n"}[m[1]], text)
 
 
-def fold(events: Iterator[tuple]) -> list[tuple[str, str]]:
-    """(role, text) of the messages that stand after (event, msg, role, text) in order."""
-    messages: dict = {}
-    for event, msg, role, text in events:
-        text = text or ""
+class Fold:
+    """The messages of a conversation, as its events come in order."""
+
+    def __init__(self) -> None:
+        self.messages: dict = {}
+
+    def take(self, event: str, msg: int | None, role: str | None, text: str | None) -> None:
+        messages, text = self.messages, text or ""
         if event == "delete":
             messages.pop(msg, None)
-            continue
+            return
         if msg not in messages:
             messages[msg] = [role or "", []]
         if event == "regenerate":
-            keys = list(messages)
-            for later in keys[keys.index(msg) + 1 :]:
-                del messages[later]
+            while next(reversed(messages)) != msg:
+                messages.popitem()
         if event in ("edit", "regenerate", "open"):
             messages[msg][1] = [text]
         elif event == "delta":
             messages[msg][1].append(text)
         else:
             raise ValueError(f"unknown event {event!r}")
-    return [(role, "".join(parts)) for role, parts in messages.values()]
 
+    def done(self) -> list[tuple[str, str]]:
+        return [(role, "".join(parts)) for role, parts in self.messages.values()]
 
-_NONE = object()
 
+def fold(events: Iterator[tuple]) -> list[tuple[str, str]]:
+    """(role, text) of the messages that stand after (event, msg, role, text) in order."""
+    out = Fold()
+    for e in events:
+        out.take(*e)
+    return out.done()
 
-def _fold_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by conversation."""
 
-    def done(conv: int | None, events: list[tuple]) -> pa.RecordBatch:
-        messages = fold(iter(events))
-        return batch(_MESSAGE, conv_id=[conv] * len(messages), position=range(len(messages)), role=[m[0] for m in messages], text=[m[1] for m in messages])
+_NONE = object()
+#: Messages and characters that fill a batch.
+_ROWS, _CHARS = 2000, 4 << 20
 
-    conv, events = _NONE, []
+
+def _fold_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by conversation; batches hold the messages of many short ones, or a part of a long one's."""
+    held: list[tuple] = []
+    size = 0
+
+    def full() -> pa.RecordBatch:
+        return batch(_MESSAGE, **{c: [m[i] for m in held] for i, c in enumerate(("conv_id", "position", "role", "text"))})
+
+    def ended(conv: int | None, state: Fold) -> Iterator[pa.RecordBatch]:
+        nonlocal size
+        for position, (role, text) in enumerate(state.done()):
+            held.append((conv, position, role, text))
+            size += len(text)
+            if len(held) >= _ROWS or size >= _CHARS:
+                yield full()
+                held.clear()
+                size = 0
+
+    conv, state = _NONE, Fold()
     for rows in batches:
         for c, *event in zip(*(rows[x].to_pylist() for x in ("conv_id", "event", "msg", "role", "text"))):
-            if c != conv and conv is not _NONE:
-                yield done(conv, events)
-                events = []
-            conv = c
-            events.append(tuple(event))
+            if c != conv:
+                if conv is not _NONE:
+                    yield from ended(conv, state)
+                conv, state = c, Fold()
+            state.take(*event)
     if conv is not _NONE:
-        yield done(conv, events)
+        yield from ended(conv, state)
+    if held:
+        yield full()
 
 
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,18 +128,22 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of rendered conversations, whose pieces come in order; holds one piece and two hashes."""
+    """Digests of rendered conversations, whose pieces come in order; holds one batch of pieces and two hashes."""
     conv, held = _NONE, []
+    out: list[tuple] = []
 
-    def out() -> pa.RecordBatch:
+    def ended() -> None:
         turns, n, loss, chars, size = held
-        return batch(_DIGEST, conv_id=[conv], n_turns=[n], turns_sha256=[turns.hexdigest()], loss_chars=[chars], loss_sha256=[loss.hexdigest()], formatted_chars=[size])
+        out.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), size))
+
+    def full() -> pa.RecordBatch:
+        return batch(_DIGEST, **{f.name: [r[i] for r in out] for i, f in enumerate(_DIGEST)})
 
     for rows in batches:
         for c, piece, start, end in zip(*(rows[x].to_pylist() for x in ("conv_id", "formatted", "loss_start", "loss_end"))):
             if c != conv:
                 if conv is not _NONE:
-                    yield out()
+                    ended()
                 conv, held = c, [hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
             for m in _READ.finditer(piece):
                 held[0].update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode("utf-8", "surrogatepass"))
@@ -122,55 +153,86 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held[2].update(masked.encode("utf-8", "surrogatepass"))
                 held[3] += len(masked)
             held[4] += len(piece)
+        if len(out) >= _ROWS:
+            yield full()
+            out.clear()
     if conv is not _NONE:
-        yield out()
+        ended()
+    if out:
+        yield full()
+
+
+def _dealt(log: DataFrame, order: list[str]) -> DataFrame:
+    """Conversations side by side in a partition, their events in order."""
+    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = ["conv_id", "event", "msg", "role", "text"]
+    rows = log.select(*kept, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]).repartition(parts, "conv_id")
+    return rows.sortWithinPartitions("conv_id", *[f"_o{i}" for i in range(len(order))], "msg", "event", "role", "text").select(*kept)
 
 
 def chat_messages(log: DataFrame, order: list[str]) -> DataFrame:
     """Final messages (conv_id, position, role, text) of log(conv_id, event, msg, role, text and the order columns).
 
     Rows of a conversation stay together and in order. Null roles and texts count as empty, a null conv_id is a
-    conversation of its own, null order values come first; events that tie in all order columns have no defined order.
-    A conversation whose messages are all deleted has no rows, and neither has an empty log. Other columns are ignored.
+    conversation of its own, null order values come first; events that tie in all order columns are taken by msg, event, role and text.
+    A repeated event counts as often as it stands there. A conversation whose messages are all deleted has no rows, and neither has an empty
+    log. Other columns are ignored. A conversation's messages are held by one task, as every later event may change any of them.
     """
-    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = log.select("conv_id", "event", "msg", "role", "text", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
-    dealt = dealt.repartition(parts, "conv_id").sortWithinPartitions("conv_id", *[f"_o{i}" for i in range(len(order))])
-    return dealt.select("conv_id", "event", "msg", "role", "text").mapInArrow(_fold_all, MESSAGE_DDL)
+    return _dealt(log, order).mapInArrow(_fold_all, MESSAGE_DDL)
 
 
 def format_chat(messages: DataFrame) -> DataFrame:
     """Rendered turns (conv_id, position, formatted, loss_start, loss_end) of chat_messages(); joined in order they are the text.
 
-    The loss mask covers the text of assistant turns, in code points of the piece; other turns have null.
+    The loss mask covers the text of assistant turns, in code points of the piece; other turns have null. Roles and texts, never null after
+    chat_messages(), may be empty and of any length; repeated rows are rendered alike; no rows give none.
     """
     return messages.mapInArrow(_render, PIECE_DDL)
 
 
 def chat_digests(pieces: DataFrame) -> DataFrame:
-    """What reading format_chat() back gives, one row for each conversation."""
+    """What reading format_chat() back gives, one row for each conversation; its pieces must stand together and in order. No pieces give no row."""
     return pieces.mapInArrow(_read_back, DIGEST_DDL)
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """An event log of stored turns: each is opened empty and streamed in two deltas."""
+    """An event log of stored turns whose fold gives them again: conv_id, turn, tie, base, part, msg, event, role, text.
+
+    Each turn is opened empty and streamed in two deltas. One in four is streamed wrongly first, answered, and regenerated; one in four is streamed too far and
+    edited; before one in four another message is opened, which is deleted halfway. Null texts and roles are empty; a null turn is streamed
+    only; rows that are alike are turns of their own; an empty table gives an empty log.
+    """
     text, half = F.coalesce(F.col("text"), F.lit("")), F.expr("int(length(coalesce(text, '')) / 2)")
-    turns = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
-        F.col("turn").cast("long").alias("turn"),
+    begin, end = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+    nothing, wrong = F.lit(""), F.lit("\u2026")
+
+    def log(*events: tuple) -> Column:
+        return F.array(*[F.struct(F.lit(i).alias("part"), F.lit(event).alias("event"), F.lit(other).alias("other"), said.alias("text")) for i, (event, other, said) in enumerate(events)])
+
+    kind = F.pmod("turn", F.lit(4))
+    streamed = log(("open", 0, nothing), ("delta", 0, begin), ("delta", 0, end))
+    again = log(("open", 0, nothing), ("delta", 0, wrong), ("open", 1, wrong), ("regenerate", 0, nothing), ("delta", 0, begin), ("delta", 0, end))
+    edited = log(("open", 0, nothing), ("delta", 0, begin), ("delta", 0, wrong), ("edit", 0, begin), ("delta", 0, end))
+    deleted = log(("open", 1, wrong), ("open", 0, nothing), ("delta", 0, begin), ("delete", 1, nothing), ("delta", 0, end))
+    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    turns = turns.select(
+        "conv_id",
+        "turn",
         F.xxhash64("role", "text").alias("tie"),
-        F.monotonically_increasing_id().alias("msg"),
+        F.monotonically_increasing_id().alias("base"),
         F.coalesce("role", F.lit("")).alias("role"),
-        F.array(
-            F.struct(F.lit(0).alias("part"), F.lit("open").alias("event"), F.lit("").alias("text")),
-            F.struct(F.lit(1).alias("part"), F.lit("delta").alias("event"), F.substring(text, F.lit(1), half).alias("text")),
-            F.struct(F.lit(2).alias("part"), F.lit("delta").alias("event"), F.substring(text, half + 1, F.length(text)).alias("text")),
-        ).alias("events"),
+        F.when(kind == 1, again).when(kind == 2, edited).when(kind == 3, deleted).otherwise(streamed).alias("events"),
     )
-    return turns.select("conv_id", "turn", "tie", "msg", "role", F.explode("events").alias("e")).select("conv_id", "turn", "tie", "msg", "role", "e.part", "e.event", "e.text")
+    # one id a turn: taken before its events are laid out
+    turns = turns.select("conv_id", "turn", "tie", "base", "role", F.explode("events").alias("e"))
+    return turns.select("conv_id", "turn", "tie", "base", "e.part", (F.col("base") * 2 + F.col("e.other")).alias("msg"), "e.event", "role", "e.text")
 
 
 def conversation_digests(conversations: DataFrame) -> DataFrame:
-    """Digests of stored conversations(conv_id, turn, role, text), put through log, fold, template and back."""
-    log = events_of(conversations)
-    return chat_digests(format_chat(chat_messages(log, ["turn", "tie", "msg", "part"])))
+    """Digests of stored conversations(conv_id, turn, role, text), put through log, fold, template and back in one stage.
+
+    One row for each conv_id, null among them. Nulls, empty and long texts, ties and repeated rows as in events_of(); other columns are
+    ignored; an empty table gives no rows.
+    """
+    log = _dealt(events_of(conversations), ["turn", "tie", "base", "part"])
+    return log.mapInArrow(lambda batches: _read_back(_render(_fold_all(batches))), DIGEST_DDL)
