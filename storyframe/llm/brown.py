@@ -346,6 +346,15 @@ def _assign(shared):
     return run
 
 
+def _lists(values: pa.Array, bounds: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
+
+
+def _lines(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Bytes cut at bounds, as a binary array."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds, np.int32)), pa.py_buffer(np.ascontiguousarray(flat, np.uint8))])
+
+
 def _sequences(shared):
     """Each text's classes, beginning with that of the end token before it; UNKNOWN where one of `words` stands."""
 
@@ -353,44 +362,68 @@ def _sequences(shared):
         model, own = shared.value
         v = model.vocabulary
         index = v.index()
+        class_of = np.append(own, UNKNOWN).astype(np.uint8)  # the last is for place -1
+        end = int(own[0]) if v.words[:1] == [END] else int(model.member[v.own + groups_of([END])[0]])
         for rows in batches:
-            texts, ids, held, row = binary(rows["text"]), rows["doc_id"].to_pylist(), rows["held_out"].to_pylist(), rows["row"].to_pylist()
+            texts = binary(rows["text"])
             for a, b in slices(texts):
-                for r in range(a, b):
-                    flat = [END, *tokens(texts[r])]
-                    place, symbol, away = v.look(flat, index)
-                    k = np.append(own, UNKNOWN)[place].astype(np.uint8)
-                    if place[0] < 0:
-                        k[0] = model.member[symbol[0]]
-                    number: dict[bytes, int] = {}
-                    which = [number.setdefault(flat[i], len(number)) for i in away.tolist() if i]
-                    guess = np.zeros(len(number), np.int32)
-                    guess[which] = model.member[symbol[away[away > 0]]]
-                    out = {"row": row[r], "doc_id": ids[r], "held_out": held[r], "n_tokens": len(flat) - 1, "known": int((place[1:] >= 0).sum())}
-                    out |= {"base": float(np.append(model.log_count, 0.0)[place[1:]].sum()), "classes": k.tobytes(), "which": which, "words": list(number), "times": np.bincount(which, minlength=len(number)).tolist() if which else []}
-                    pending.append(out | {"guess": guess.tolist()})
-                yield pa.RecordBatch.from_pylist(pending, schema=_SEQUENCES)
-                pending.clear()
-
-    pending: list[dict] = []
+                flat: list[bytes] = []
+                ends = [0]
+                for t in texts[a:b]:
+                    flat += tokens(t)
+                    ends.append(len(flat))
+                bounds = np.array(ends)
+                place, symbol, away = v.look(flat, index)
+                known = place >= 0
+                number: dict[bytes, int] = {}
+                word = np.array([number.setdefault(flat[i], len(number)) for i in away.tolist()], np.int64)
+                owner = np.searchsorted(bounds, away, side="right") - 1
+                # the different words of each text that are not broadcast
+                pairs, which, times = np.unique(owner * max(1, len(number)) + word, return_inverse=True, return_counts=True)
+                first = np.searchsorted(pairs, np.arange(b - a + 1) * max(1, len(number)))
+                guess = np.zeros(max(1, len(number)), np.int32)
+                guess[word] = model.member[symbol[away]]
+                mine = pairs % max(1, len(number))
+                tokens_at = np.searchsorted(away, bounds)
+                yield batch(
+                    _SEQUENCES,
+                    row=rows["row"].slice(a, b - a),
+                    doc_id=rows["doc_id"].slice(a, b - a),
+                    held_out=rows["held_out"].slice(a, b - a),
+                    n_tokens=np.diff(bounds),
+                    known=np.add.reduceat(known.astype(np.int64), bounds[:-1]),
+                    base=np.add.reduceat(np.append(model.log_count, 0.0)[place], bounds[:-1]),
+                    classes=_lines(np.insert(class_of[place], bounds[:-1], end), bounds + np.arange(b - a + 1)),
+                    which=_lists(pa.array(which - first[owner], pa.int32()), tokens_at),
+                    words=_lists(pa.array(list(number), pa.binary()).take(pa.array(mine)), first),
+                    times=_lists(pa.array(times, pa.int32()), first),
+                    guess=_lists(pa.array(guess[mine], pa.int32()), first),
+                )
+
     return run
 
 
+def _flat(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """Values and bounds; null is an empty list."""
+    n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return lists.flatten(), np.concatenate([[0], np.cumsum(n)])
+
+
 def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Puts the classes of words that met their counts in a join into their places."""
     for rows in batches:
-        out = []
-        for line, which, guess, found in zip(*(rows[c].to_pylist() for c in ("classes", "which", "guess", "found"))):
-            if which:
-                k = np.array(guess)
-                for x in found or ():
-                    k[x["no"]] = x["k"]
-                line = np.frombuffer(line, np.uint8).copy()
-                line[np.flatnonzero(line == UNKNOWN)] = k[which]
-                line = line.tobytes()
-            out.append(line)
+        lines = binary(rows["classes"])
+        bounds = np.cumsum([0, *map(len, lines)])
+        k = np.frombuffer(b"".join(lines), np.uint8).copy()
+        (guess, first), (which, at), (found, had) = (_flat(rows[c]) for c in ("guess", "which", "found"))
+        best = guess.to_numpy(zero_copy_only=False).astype(np.uint8)
+        if len(found):
+            no, new = (found.field(c).to_numpy(zero_copy_only=False) for c in ("no", "k"))
+            best[np.repeat(first[:-1], np.diff(had)) + no] = new
+        if len(which):
+            k[np.flatnonzero(k == UNKNOWN)] = best[np.repeat(first[:-1], np.diff(at)) + which.to_numpy(zero_copy_only=False)]
         keep = [rows[c] for c in ("doc_id", "held_out", "n_tokens", "known", "base")]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(out, pa.binary())], names=["doc_id", "held_out", "n_tokens", "known", "base", "classes"])
+        yield pa.RecordBatch.from_arrays([*keep, _lines(k, bounds)], names=["doc_id", "held_out", "n_tokens", "known", "base", "classes"])
 
 
 def _every_word(source: DataFrame, train: DataFrame, model: Model, head: float, n: int, v: int) -> DataFrame:
@@ -427,9 +460,12 @@ def _every_word(source: DataFrame, train: DataFrame, model: Model, head: float,
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
         for rows in batches:
-            for line in binary(rows["classes"]):
-                k = np.frombuffer(line, np.uint8).astype(np.int64)
-                total += np.bincount(k[:-1] * size + k[1:], minlength=size * size)
+            lines = binary(rows["classes"])
+            k = np.frombuffer(b"".join(lines), np.uint8).astype(np.int64)
+            step_of = k[:-1] * size + k[1:]
+            total += np.bincount(step_of, minlength=size * size)
+            # from the end of a text to the token before the next
+            total -= np.bincount(step_of[np.cumsum([*map(len, lines)])[:-1] - 1], minlength=size * size)
         yield batch(_PAIRS, pair=np.arange(size * size), n=total)
 
     grid = np.zeros(size * size)
@@ -440,8 +476,12 @@ def _every_word(source: DataFrame, train: DataFrame, model: Model, head: float,
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            lines = [np.frombuffer(x, np.uint8) for x in binary(rows["classes"])]
-            score = rows["base"].to_numpy(zero_copy_only=False) + np.array([step[k[:-1], k[1:]].sum() for k in lines])
+            lines = binary(rows["classes"])
+            k = np.frombuffer(b"".join(lines), np.uint8)
+            first = np.cumsum([0, *map(len, lines)])[:-1]
+            gain = np.append(step[k[:-1], k[1:]], 0.0)
+            gain[first[1:] - 1] = 0.0  # from the end of a text to the token before the next
+            score = rows["base"].to_numpy(zero_copy_only=False) + (np.add.reduceat(gain, first) if len(lines) else 0.0)
             yield batch(_SCORES, **{c: rows[c] for c in ("doc_id", "held_out", "n_tokens", "known", "base")}, score=score)
 
     return both.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double").select(
