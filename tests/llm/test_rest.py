@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from storyframe.llm import chat, decontaminate, mixing, queries
@@ -118,7 +119,7 @@ def test_decontamination_against_full_alignment(spark):
     rng = np.random.default_rng(8)
     words = ["the", "cat", "sat", "upon", "a", "mat", "with", "hats", "and", "bats", "ünder", "stars"]
     say = lambda n: " ".join(words[i] for i in rng.integers(0, len(words), n))
-    bench = [(i, say(int(rng.integers(5, 30)))) for i in range(8)] + [(8, None), (9, ""), (None, say(14))]
+    bench = [(i, say(int(rng.integers(5, 30)))) for i in range(8)] + [(8, None), (9, ""), (None, say(14)), (10, "cat  SAT"), (11, "stars"), (12, "tar")]
     docs = []
     for d in range(60):
         text = say(int(rng.integers(0, 40)))
@@ -139,6 +140,9 @@ def test_decontamination_against_full_alignment(spark):
     for d, text in docs:
         hits = []
         for i, item in bench:
+            if (short := decontaminate.normalised(item or "")) and not decontaminate.probes(item):
+                if f" {short} " in f" {decontaminate.normalised(text or '')} ":
+                    hits.append((0, -1 if i is None else i))
             for p in decontaminate.probes(item or ""):
                 k = min(int(len(p) * decontaminate.BUDGET + 1e-9), (len(p) - decontaminate.Q) // decontaminate.Q)
                 e = slow_edits(p, decontaminate.normalised(text or ""))
@@ -172,6 +176,76 @@ def test_every_window_of_an_item_is_found(spark):
         assert near == next(r["n_probes"] for r in out if r["doc_id"] == d)
 
 
+def test_short_items(spark):
+    bench = spark.createDataFrame([(1, "Zebra crossing"), (2, "\u732b\u304c"), (3, "zebra crossing"), (4, "q")], "item_id long, text string")
+    docs = [(1, "the ZEBRA\ncrossing here"), (2, "zebra crossings"), (3, "a zebra crossing."), (4, "\u9ed2\u732b\u304c\u5c45\u308b"), (5, "aq q"), (6, "aq")]
+    found = {r["doc_id"]: r["items"] for r in decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert found == {1: "1,3", 2: "", 3: "", 4: "2", 5: "4", 6: ""}
+
+
+def test_pieces_of_a_repetitive_text(spark, monkeypatch):
+    """A text that shares its q-grams with many items at many places is worked off in pieces, with the same results."""
+    phrase = "the quick brown fox jumps over the lazy dog and runs away from it all today "
+    bench = [(i, phrase + f"tail number {i} of many") for i in range(30)]
+    text = phrase * 300 + "tail number 7 of many " + "something else entirely " * 50 + phrase
+    blocks = [decontaminate.Index(bench, decontaminate.Q, decontaminate.BUDGET)]
+    points = decontaminate._points(decontaminate.normalised(text))
+    whole = {(int(p), int(e)) for p, _, e in zip(*blocks[0].search(points))}
+    monkeypatch.setattr(decontaminate, "_HELD", 500)
+    assert {(int(p), int(e)) for p, _, e in zip(*blocks[0].search(points))} == whole and whole
+
+
+LONG = ["1" * 10**6, "a" * 10**6, "." * 10**6, "+" * 10**6, "a@" * 500_000, "1." * 500_000, "1" * 5000 + ".1.1.1", "@" * 10**6, "\n" * 10**6, "<|turn|>" * 100_000, "a b " * 250_000]
+
+
+def test_long_unbroken_runs_in_all_operators(spark):
+    """Texts of a megabyte without the breaks that operators look for are read whole, each within seconds."""
+    import time
+
+    from storyframe.llm import brown, exact_dedup, language_id, line_dedup, pii, secrets, simhash
+
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(LONG)], "doc_id long, text string, lang string, source string").repartition(4).cache()
+    bench = spark.createDataFrame([(1, "a b " * 20), (2, "one two three four five six seven eight")], "item_id long, text string")
+    talk = docs.select(F.col("doc_id").alias("conv_id"), F.lit(1).alias("turn"), F.lit("assistant").alias("role"), "text")
+    model = pii.train(["some words of text"], batches=3)
+    runs = {
+        "op1": lambda: secrets.secret_scan(docs), "op2": lambda: brown.brown_scores(docs, cluster_words=20, classes=4, every_word=True), "op3": lambda: exact_dedup.exact_dedup(docs), "op4": lambda: chat.conversation_digests(talk),
+        "op5": lambda: line_dedup.line_dedup(docs), "op6": lambda: simhash.simhash_dedup(docs), "op7": lambda: pii.find_pii(docs, model), "op8": lambda: mixing.mix(docs), "op9": lambda: language_id.language_id(docs, per_language=5),
+        "op10": lambda: decontaminate.decontaminate(docs, bench),
+    }
+    for name, run in runs.items():
+        begin = time.time()
+        assert run().count() == len(LONG), name
+        assert time.time() - begin < 60, name
+
+
+def test_events_hold_edits_and_their_fold_the_turns(spark):
+    table = [(c, t, "user" if t % 2 else "assistant", f"said {c} {t} \u00e9\n" * (t % 3)) for c in range(4) for t in range(9)]
+    df = spark.createDataFrame(table, "conv_id long, turn long, role string, text string").repartition(3)
+    log = chat.events_of(df)
+    assert {r["event"] for r in log.select("event").distinct().collect()} == {"open", "delta", "edit", "regenerate", "delete"}
+    found = {(r["conv_id"], r["position"]): (r["role"], r["text"]) for r in chat.chat_messages(log, ["turn", "tie", "base", "part"]).collect()}
+    assert found == {(c, t): (r, x) for c, t, r, x in table}
+
+
+def test_ties_in_the_order_are_taken_by_their_values(spark):
+    log = spark.createDataFrame([(1, 0, "delta", 5, "u", "b"), (1, 0, "delta", 5, "u", "a"), (1, 0, "delta", 4, "u", "z")], "conv_id long, o int, event string, msg int, role string, text string")
+    assert [(r["position"], r["text"]) for r in chat.chat_messages(log.repartition(2), ["o"]).orderBy("position").collect()] == [(0, "z"), (1, "ab")]
+
+
+def test_mix_with_documents_longer_than_a_block(spark):
+    """Read by slot, each source is within a block and its longest document of its weight, in characters."""
+    table = [(i, "x" * (10 if i % 7 else 950), "ab"[i % 2]) for i in range(2000)]
+    df = spark.createDataFrame(table, "doc_id long, text string, source string")
+    out = sorted(mixing.mix(df, weights={"a": 3, "b": 1}, block_chars=100).filter("in_target").collect(), key=lambda r: (r["slot"], r["start_char"], r["doc_id"]))
+    read = {"a": 0, "b": 0}
+    for r in out:
+        read[r["source"]] += r["n_chars"]
+        total = sum(read.values())
+        assert abs(read["a"] - 0.75 * total) < 2 * (950 + 100) + 950, r
+    assert len({r["doc_id"] for r in out}) == len(out)
+
+
 def test_decontamination_on_tables(spark, odd, none):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     assert decontaminate.decontaminate(odd, bench).count() == len(rows())
@@ -201,6 +275,7 @@ def test_pipeline_stages_on_odd_rows(spark, odd, none, sf):
             out = stage(spark, table, sf)
             assert out.columns == table.columns
             assert out.count() <= len(rows())
+        assert corpus_pipeline.STAGES[-1][1](spark, table, sf).count() == table.count()
 
 
 def test_registered_queries(spark, sf):
