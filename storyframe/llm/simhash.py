@@ -57,13 +57,14 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big", signed=True)
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in batches:
-        yield batch(_PRINTS, doc_id=rows["doc_id"], fp=[fingerprint(t.lower()) for t in binary(rows["text"])])
+def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp) of each row of docs(doc_id, text), by shingles of `width` words. Null and empty texts have 0; texts of any length are read whole."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            yield batch(_PRINTS, doc_id=rows["doc_id"], fp=[fingerprint(t.lower(), width) for t in binary(rows["text"])])
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _syndromes() -> np.ndarray:
@@ -232,15 +233,15 @@ def simhash_links(prints: DataFrame, threshold: int = THRESHOLD, most_members: i
     return dealt.mapInArrow(_compare(threshold), "a long, b long")
 
 
-def simhash_dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def simhash_dedup(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, fingerprint (16 hex digits), component_id, component.
 
     Texts are lower-cased (A-Z) and cut into words at ASCII white space; a fingerprint bit is 1 if set in over half of
-    the XXH64 values (seed 42) of all 4-word shingles. component_id is the smallest doc_id that links reach; null only
+    the XXH64 values (seed 42) of all shingles of `width` words. component_id is the smallest doc_id that links reach; null only
     if all doc_ids reached are null. component is the group's smallest fingerprint, as a signed number. A null or empty text has fingerprint zero and links like any other. Repeated rows
     share a fingerprint. Other columns are ignored; an empty table gives no rows.
     """
-    prints = written(fingerprints(docs), "fingerprints")
+    prints = written(fingerprints(docs, width), "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     links = connected_components(simhash_links(classes.select("fp"), threshold))
     links = links.unionByName(links.select("component").distinct().withColumn("node", F.col("component")))  # the least node has no row of its own
@@ -256,17 +257,21 @@ def simhash_dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return known.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(own, F.col("rep")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("component", "fp").alias("component"))
 
 
-def keep_one_of_each(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Of each group of simhash_dedup() one row of docs(doc_id, text, ...), of the smallest doc_id. All columns pass unchanged."""
+def keep_one_of_each(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE) -> DataFrame:
+    """Of each group of simhash_dedup() one row of docs(doc_id, text, ...), of the smallest doc_id. All columns pass unchanged.
+
+    Null and empty texts are one group; of rows that repeat doc_id and fingerprint any one stays; a null doc_id stays only where its group has
+    no other. An empty table gives no rows. The groups' kept fingerprints meet the rows by doc_id, of which each has few rows.
+    """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", F.col("row.doc_id").cast("long").alias("doc_id"))
     at = docs.columns.index("text")
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [fingerprint(t.lower()) for t in binary(b.column(0).field(at))]
+            found = [fingerprint(t.lower(), width) for t in binary(b.column(0).field(at))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.int64())], names=["row", "doc_id", "fp"])
 
-    first = simhash_dedup(docs, threshold).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = simhash_dedup(docs, threshold, width).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = first.groupBy("component").agg(F.min(F.struct("fingerprint", "doc_id")).alias("f")).select(key_of(F.col("f.doc_id")).alias("kept_id"), F.col("f.fingerprint").alias("kept_fp"))
     rows = rows.mapInArrow(prints, T.StructType([*rows.schema.fields, T.StructField("fp", T.LongType())])).withColumn("fp", F.lower(F.lpad(F.hex("fp"), 16, "0"))).withColumn("doc_id", key_of("doc_id"))
     rows = rows.join(first, (rows["doc_id"] == first["kept_id"]) & (rows["fp"] == first["kept_fp"]), "left_semi")
