@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyframe.llm.common import documents, written
+from storyframe.llm.common import documents, dropped_since, live, written
 from storyframe.llm.decontaminate import drop_contaminated
 from storyframe.llm.exact_dedup import keep_distinct
 from storyframe.llm.language_id import keep_known_language
@@ -13,27 +13,27 @@ from storyframe.llm.simhash import keep_one_of_each
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, or of no language that the model is at all sure of, go."""
+    """Texts without a letter, null and empty ones among them, or of no language that the model is at all sure of, go."""
     return keep_known_language(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest doc_id stays."""
+    """Of equal texts the largest doc_id stays; of rows that repeat doc_id and text, one."""
     return keep_distinct(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates the smallest doc_id stays."""
-    return keep_one_of_each(docs)
+    """Of near duplicates the smallest doc_id stays: five-word shingles, and the most differing bits that three parts surely find."""
+    return keep_one_of_each(docs, threshold=5, width=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item go."""
+    """Documents that hold a passage of a benchmark item go; null and empty texts hold none."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their slot in the mix, to be read by (slot, start_char, doc_id)."""
+    """All documents with their slot in the mix, to be read by (slot, start_char, doc_id); null sources are one source."""
     return mix(docs)
 
 
@@ -45,6 +45,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
+    mark = live()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        dropped_since(mark, docs)  # what the stages before it wrote
     return STAGES[-1][1](spark, docs, sf_dir)
