@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 # Contractions and what they stand for.
 CONTRACTIONS = {
@@ -46,9 +45,13 @@ def strings(values: tuple[str, ...]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+#: White space of Unicode, and the four separators of ASCII.
+SPACE = r"(?U)[\s\x1c-\x1f]"
+
+
 def words(text: Column) -> Column:
-    """Words between ASCII white space."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    """Words between white space."""
+    return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:
@@ -60,7 +63,8 @@ def paragraph_words(paragraphs: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Invalid UTF-8 is replaced, white space becomes single blanks."""
+    return F.trim(F.regexp_replace(F.make_valid_utf8(text), f"{SPACE}+", " "))
 
 
 def sanitize_filename(name: Column) -> Column:
@@ -86,7 +90,8 @@ def expand_contractions(text: Column) -> Column:
 
 
 def is_scene_break(text: Column) -> Column:
-    return F.trim(text).rlike(r"^(\s*|\*[\s*]*\*|[-—]{2,}|#)$")
+    """Blank, two or more asterisks, two or more dashes or a lone #, white space around them."""
+    return text.rlike(rf"{SPACE}*(|\*[\s*]*\*|[-\u2014]{{2,}}|#)[\s\x1c-\x1f]*$".replace("(?U)", "(?U)^", 1))
 
 
 def sentences(text: Column) -> Column:
@@ -95,12 +100,14 @@ def sentences(text: Column) -> Column:
 
 
 def slugify(name: Column) -> Column:
+    # The four patterns.
     s = F.regexp_replace(F.trim(F.lower(name)), r"[^\w\s-]", "")
     s = F.regexp_replace(F.regexp_replace(s, r"[\s_]+", "-"), "-+", "-")
     return F.regexp_replace(s, "^-+|-+$", "")
 
 
 def normalize_bitrate(value: Column, default: str = "96k") -> Column:
+    # The default and the two forms.
     v = F.lower(F.trim(value))
     return (
         F.when(value.isNull() | (v == ""), default)
@@ -110,11 +117,21 @@ def normalize_bitrate(value: Column, default: str = "96k") -> Column:
     )
 
 
+# What stands for each set of pronouns.
+PRONOUN_FORMS = {
+    "he/him": ("he/him", "he", "him", "his", "m", "male", "man"),
+    "she/her": ("she/her", "she", "her", "hers", "f", "female", "woman"),
+    "they/them": ("they/them", "they", "them", "their", "theirs", "nonbinary", "non-binary"),
+}
+
+
 def normalize_pronoun(value: Column) -> Column:
-    """One of he/him, she/her, they/them, or ''."""
+    """One of he/him, she/her, they/them, or ''; the whole value counts."""
     v = F.lower(F.trim(F.coalesce(value, F.lit(""))))
-    first = F.element_at(F.split(v, "/"), 1)
-    return F.when(first.isin("he", "him", "his"), "he/him").when(first.isin("she", "her", "hers"), "she/her").when(first.isin("they", "them", "their", "theirs"), "they/them").otherwise("")
+    out = F.lit("")
+    for pronoun, forms in PRONOUN_FORMS.items():
+        out = F.when(v.isin(*forms), pronoun).otherwise(out)
+    return out
 
 
 def pronoun_gender(pronoun: Column) -> Column:
@@ -129,17 +146,23 @@ def book_hash(path: Column, mtime: Column) -> Column:
 
 
 def eta_text(seconds: Column) -> Column:
-    """1h 02m, 3m 04s, 5s; a dash for nothing left."""
-    h, m, s = F.floor(seconds / 3600), F.floor(F.pmod(seconds, F.lit(3600)) / 60), F.pmod(seconds, F.lit(60))
-    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    """1h 2m, 3m 4s, 5s; a dash for nothing left."""
+    h, m, s = (x.cast("string") for x in (F.floor(seconds / 3600), F.floor(F.pmod(seconds, F.lit(3600)) / 60), F.pmod(seconds, F.lit(60))))
     return (
         F.when(seconds.isNull() | (seconds <= 0), "\u2014")
-        .when(h > 0, F.concat(h.cast("string"), F.lit("h "), two(m), F.lit("m")))
-        .when(m > 0, F.concat(m.cast("string"), F.lit("m "), two(s), F.lit("s")))
-        .otherwise(F.concat(s.cast("string"), F.lit("s")))
+        .when(seconds >= 3600, F.concat(h, F.lit("h "), m, F.lit("m")))
+        .when(seconds >= 60, F.concat(m, F.lit("m "), s, F.lit("s")))
+        .otherwise(F.concat(s, F.lit("s")))
     )
 
 
+def chapters_eta(elapsed_s: Column, done: Column, total: Column) -> Column:
+    """MM:SS for the chapters left at the mean time of those done; null before the first is."""
+    left = F.floor(elapsed_s / done * (total - done)).cast("long")
+    two = lambda x: F.lpad(x.cast("string"), F.greatest(F.lit(2), F.length(x.cast("string"))), F.lit("0"))
+    return F.when(done > 0, F.concat(two(F.floor(left / 60)), F.lit(":"), two(F.pmod(left, F.lit(60)))))
+
+
 def clock(seconds: Column) -> Column:
     """HH:MM:SS, or --:--:-- for null."""
     s = F.floor(seconds).cast("long")
@@ -161,23 +184,82 @@ def phase_progress(phase: Column, value: Column, chunks: Column) -> Column:
     )
 
 
+# What a line of attribution begins with, and what is shown in its place.
+PHASE, PHASE_SHOWN = "[Attribution]", "[yellow]Attribution[/yellow]  "
+
+
 def short_label(text: Column, most: int) -> Column:
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 1), F.lit("\u2026"))).otherwise(text)
+    return F.substring(F.coalesce(text, F.lit("")), 1, most)
+
+
+def progress_label(text: Column) -> Column:
+    """A line of progress: 60 characters, or 80 after the phase's name."""
+    rest = F.regexp_replace(F.substring(text, F.lit(len(PHASE) + 1), F.length(text)), f"^{SPACE}+|{SPACE}+$".replace("(?U)", ""), "")
+    return F.when(text.startswith(PHASE), short_label(F.concat(F.lit(PHASE_SHOWN), rest), 80)).otherwise(short_label(text, 60))
+
+
+def roster_line(name: Column, aliases: Column) -> Column:
+    """A character as a prompt shows it, with the other names it is known by."""
+    others = F.filter(F.coalesce(aliases, F.array().cast("array<string>")), lambda a: a != name)
+    return F.concat(F.lit('- "'), name, F.when(F.size(others) > 0, F.concat(F.lit('"  (also known as: '), F.array_join(others, ", "), F.lit(")"))).otherwise('"'))
+
+
+def name_summary(names: Column, most: int = 8) -> Column:
+    """The first names, and how many more there are."""
+    more = F.size(names) - most
+    return F.concat(F.array_join(F.slice(names, 1, most), ", "), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(" more)"))).otherwise(""))
+
+
+def voice_description(source: Column, gender: Column, accent: Column, dataset: Column) -> Column:
+    """What is known of a voice, by its source."""
+    known = lambda *parts: F.concat_ws(" \u00b7 ", *[F.nullif(p, F.lit("")) for p in parts])
+    shown = lambda text, default: F.when(text != "", text).otherwise(default)
+    return F.when(source == "builtin", shown(known(gender, accent), "Built-in")).when(source == "compiled", shown(known(gender, accent, dataset), "Compiled voice")).otherwise("Custom voice")
+
+
+def voice_label(name: Column, description: Column) -> Column:
+    """The name, filled to 20 characters (never cut), and the description."""
+    return F.concat(F.rpad(name, F.greatest(F.lit(20), F.length(name)), F.lit(" ")), F.lit(" "), description)
+
+
+def now_iso() -> Column:
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def now_epoch() -> Column:
+    return F.unix_micros(F.current_timestamp()) / 1_000_000
+
+
+def without_nulls(value: Column, kind: DataType) -> Column:
+    """The value without null elements and map entries at any depth; to_json() then leaves out its null fields."""
+    if isinstance(kind, StructType):
+        parts = [without_nulls(value[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*parts)) if parts else value
+    if isinstance(kind, ArrayType):
+        return F.transform(F.filter(value, lambda x: x.isNotNull()), lambda x: without_nulls(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(F.map_filter(value, lambda _, x: x.isNotNull()), lambda _, x: without_nulls(x, kind.valueType))
+    return value
+
+
+def to_json_without_nulls(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """A row as JSON without any null."""
+    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    return F.to_json(F.struct(*[without_nulls(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields]))
 
 
 def split_hf_url(url: Column) -> Column:
-    """hf://user/repo/path@revision as a struct; null fields for any other string."""
-    body = F.when(url.startswith("hf://"), F.substring_index(F.substring(url, 6, 4096), "@", 1))
-    parts = F.split(body, "/", 3)
-    return F.struct(
-        F.try_element_at(parts, F.lit(1)).alias("user"),
-        F.try_element_at(parts, F.lit(2)).alias("repo"),
-        F.when(body.isNotNull(), F.coalesce(F.nullif(F.try_element_at(parts, F.lit(3)), F.lit("")), F.lit("voice.safetensors"))).alias("path"),
-    )
+    """hf://user/repo/path as a struct; a path is voice.wav if left out. Null for any other string and without a user."""
+    body = F.regexp_replace(F.substring(url, F.lit(6), F.length(url)), r"[?#].*$", "")
+    user = F.substring_index(body, "/", 1)
+    rest = F.split(F.regexp_replace(F.substring(body, F.length(user) + 2, F.length(body)), "^/+|/+$", ""), "/", 2)
+    path = F.coalesce(F.try_element_at(rest, F.lit(2)), F.lit("voice.wav"))
+    return F.when(url.startswith("hf://") & (user != ""), F.struct(user.alias("user"), F.element_at(rest, 1).alias("repo"), path.alias("path")))
 
 
 def split_anchor(href: Column) -> Column:
-    return F.struct(F.substring_index(href, "#", 1).alias("file"), F.when(F.instr(href, "#") > 0, F.expr("1")).isNotNull().alias("has_anchor"), F.regexp_extract(href, "#(.*)$", 1).alias("anchor"))
+    """File and anchor, cut at the first #; no anchor is null."""
+    return F.struct(F.substring_index(href, "#", 1).alias("file"), F.when(F.instr(href, "#") > 0, F.regexp_extract(href, "(?s)#(.*)$", 1)).alias("anchor"))
 
 
 def is_proper_name(phrase: Column) -> Column:
@@ -228,7 +310,3 @@ def natural_key(name: Column) -> Column:
 def quoted_pattern(text: Column) -> Column:
     """A regular expression that matches the text itself."""
     return F.regexp_replace(text, r"([^\w\s])", r"\\$1")
-
-
-def any_of(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests, F.lit(False))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyframe.functions.text import is_scene_break, sentences, word_count
+from storyframe.functions.text import SPACE, is_scene_break, paragraph_words, sentences, word_count
 
 FIRST_BATCH, NEXT_BATCH = 250, 800
 CHUNK_WORDS, OVERLAP_WORDS = 700, 100
@@ -53,34 +55,30 @@ def batch_limit(is_first: Column) -> Column:
 
 
 def chunk_bounds(counts: Column, target: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS) -> Column:
-    """[begin, end) of overlapping chunks of paragraphs with these word counts.
+    """array<struct<begin,end>>: [begin, end) of overlapping chunks of paragraphs with these word counts.
 
     A chunk ends with the paragraph that brings it to `target` words. The next begins so far back that it repeats `overlap` words, but at
-    least one paragraph on.
+    least one paragraph on. Each begin depends on the chunk before; sums make a step a binary search.
     """
-    n = F.size(counts)
-    prefix = F.aggregate(counts, F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + c)))
-    bounds = "array<struct<begin:int,end:int>>"
 
-    def fold(sums: Column) -> Column:
-        def end_of(s: Column) -> Column:
-            reach = F.filter(F.sequence(s + 1, n), lambda e: F.get(sums, e) - F.get(sums, s) >= target)
-            return F.coalesce(F.array_min(reach), n)
-
-        def step(acc: Column, _: Column) -> Column:
-            s = acc["next"]
-
-            def grown(end: Column) -> Column:
-                back = F.filter(F.sequence(s + 1, end), lambda k: (k < end) & (F.get(sums, end) - F.get(sums, k) >= overlap))
-                following = F.when(end >= n, n).when(end == s + 1, end).otherwise(F.coalesce(F.array_max(back), s + 1))
-                return F.struct(following.alias("next"), F.concat(acc["out"], F.array(F.struct(s.alias("begin"), end.alias("end")))).alias("out"))
-
-            return F.when(s >= n, acc).otherwise(_let(end_of(s), grown))
-
-        start = F.struct(F.lit(0).alias("next"), F.array().cast(bounds).alias("out"))
-        return F.aggregate(counts, start, step, lambda acc: acc["out"])
-
-    return F.when(n > 0, _let(prefix, fold)).otherwise(F.array().cast(bounds))
+    @F.pandas_udf("array<struct<begin:int,end:int>>")
+    def bounds(columns: pd.Series) -> pd.Series:
+        out = []
+        for c in columns:
+            n = 0 if c is None else len(c)
+            sums = np.concatenate([[0], np.cumsum(c)]) if n else np.zeros(1, np.int64)
+            begin, found = 0, []
+            while begin < n:
+                end = min(n, max(begin + 1, int(np.searchsorted(sums, sums[begin] + target))))
+                found.append({"begin": begin, "end": end})
+                if end >= n:
+                    break
+                back = int(np.searchsorted(sums, sums[end] - overlap, side="right")) - 1
+                begin = max(begin + 1, min(back, end - 1))
+            out.append(found)
+        return pd.Series(out)
+
+    return bounds(counts)
 
 
 def chunks(chapters: DataFrame, target: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS) -> DataFrame:
@@ -102,14 +100,13 @@ def chunk_quotes(chunked: DataFrame, quotes: DataFrame) -> DataFrame:
 
 def scene_groups(paragraphs: Column) -> Column:
     """Paragraphs between scene breaks; one empty group if there are none."""
+    n = F.size(paragraphs)
+    places = F.filter(F.transform(paragraphs, lambda p, i: F.when(is_scene_break(p), i)), lambda i: i.isNotNull())
 
-    def add(acc: Column, p: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(last, F.array(p))))
-        opened = F.when(F.size(last) > 0, F.concat(acc, F.array(F.array().cast(_NO_STRINGS)))).otherwise(acc)
-        return F.when(is_scene_break(p), opened).otherwise(joined)
+    def cut(ends: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(ends) - 2), lambda k: F.slice(paragraphs, F.get(ends, k) + 2, F.get(ends, k + 1) - F.get(ends, k) - 1))
 
-    groups = F.aggregate(paragraphs, F.array(F.array().cast(_NO_STRINGS)), add)
+    groups = _let(F.concat(F.array(F.lit(-1)), places, F.array(n)), cut)
     full = F.filter(groups, lambda g: F.size(g) > 0)
     return F.when(F.size(full) > 0, full).otherwise(F.array(F.array().cast(_NO_STRINGS)))
 
@@ -131,22 +128,58 @@ def timeline(durations: DataFrame) -> DataFrame:
     return durations.withColumn("start_ms", start).withColumn("end_ms", F.col("start_ms") + F.col("duration_ms"))
 
 
+# What stands between paragraphs, and between the parts of an excerpt.
+BLANK_LINE, CUT = "\n\n", "\n\n[...]\n\n"
+
+
 def excerpt(paragraphs: Column, target: int = EXCERPT_WORDS, buckets: int = BUCKETS) -> Column:
-    """The first paragraphs of each of `buckets` equal parts, up to a share of `target` words; all if the text is short."""
-    counts = F.transform(paragraphs, word_count)
-    whole = F.aggregate(counts, F.lit(0), lambda a, b: a + b)
-    size = F.greatest(F.lit(1), F.floor(F.size(paragraphs) / buckets).cast("int"))
-
-    def take(acc: Column, i: Column) -> Column:
-        bucket = F.least(F.floor(i / size).cast("int"), F.lit(buckets - 1))
-        used = F.when(bucket == acc["bucket"], acc["used"]).otherwise(0)
-        fits = used < target / buckets
-        return F.struct(
-            bucket.alias("bucket"),
-            F.when(fits, used + F.get(counts, i)).otherwise(used).alias("used"),
-            F.when(fits, F.concat(acc["out"], F.array(F.get(paragraphs, i)))).otherwise(acc["out"]).alias("out"),
-        )
+    """The first paragraphs of each of `buckets` parts of equal number, each up to a share of `target` words; the whole text if it is short.
+
+    Blank paragraphs do not count, and those that the division leaves over belong to no part.
+    """
+    share = max(1, target // buckets)
+
+    def head(part: Column) -> Column:
+        # a paragraph stays while those before it fall short of the share
+        def add(acc: Column, p: Column) -> Column:
+            short = acc["words"] < share
+            return F.struct((acc["words"] + F.when(short, word_count(p)).otherwise(0)).alias("words"), (acc["n"] + F.when(short, 1).otherwise(0)).alias("n"))
+
+        n = F.aggregate(part, F.struct(F.lit(0).alias("words"), F.lit(0).alias("n")), add, lambda acc: acc["n"])
+        return F.array_join(F.slice(part, F.lit(1), n), BLANK_LINE)
+
+    def sampled(full: Column) -> Column:
+        size = F.greatest(F.lit(1), F.floor(F.size(full) / buckets).cast("int"))
+        parts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.slice(full, i * size + 1, size)), lambda part: F.size(part) > 0)
+        return F.array_join(F.transform(parts, head), CUT)
+
+    full = F.filter(paragraphs, lambda p: ~p.rlike(f"{SPACE}*$".replace("(?U)", "(?U)^")))
+    return F.when(paragraph_words(paragraphs) <= target, F.array_join(paragraphs, BLANK_LINE)).otherwise(_let(full, sampled))
+
+
+def batch_info(chapters: DataFrame) -> DataFrame:
+    """Of chapters(book_id, chapter_idx, paragraphs, most): number and characters of the batches, keyed by index as titles repeat."""
+    made = chapters.withColumn("b", batches(F.col("paragraphs"), F.col("most")))
+    return made.select("book_id", "chapter_idx", F.size("b").cast("long").alias("batches"), F.aggregate("b", F.lit(0).cast("long"), lambda a, t: a + F.length(t)).alias("chars"))
+
+
+def segment_info(segments: DataFrame) -> DataFrame:
+    """Of a chapter's segments: each but scene breaks is one batch."""
+    spoken = ~F.col("is_scene_break")
+    return segments.groupBy("book_id", "chapter_idx").agg(F.count_if(spoken).alias("batches"), F.coalesce(F.sum(F.when(spoken, F.length("text"))), F.lit(0)).cast("long").alias("chars"))
+
+
+def reassemble(rendered: DataFrame) -> DataFrame:
+    """Chapters (book_id, chapter_idx, parts, duration_ms) of rendered(book_id, chapter_idx, seg_idx, part, duration_ms), their parts in the order of segments."""
+    ordered = F.array_sort(F.collect_list(F.struct("seg_idx", "part")))
+    return rendered.groupBy("book_id", "chapter_idx").agg(F.transform(ordered, lambda p: p["part"]).alias("parts"), F.sum("duration_ms").cast("long").alias("duration_ms"))
+
+
+def rms(samples: Column) -> Column:
+    return F.sqrt(F.aggregate(samples, F.lit(0.0), lambda a, x: a + x.cast("double") * x) / F.size(samples))
+
 
-    start = F.struct(F.lit(-1).alias("bucket"), F.lit(0).alias("used"), F.array().cast(_NO_STRINGS).alias("out"))
-    order = F.filter(F.sequence(F.lit(0), F.greatest(F.size(paragraphs) - 1, F.lit(0))), lambda i: i < F.size(paragraphs))
-    return F.when(whole <= target, paragraphs).otherwise(F.aggregate(order, start, take, lambda acc: acc["out"]))
+def gain_db(level: Column, target_db: float = -20.0, silence: float = 1e-8, most: float = 24.0) -> Column:
+    """What brings a level to the target, within +-24 dB; silence gets none."""
+    wanted = 20 * F.log10(F.lit(10.0 ** (target_db / 20)) / level)
+    return F.when(level < silence, 0.0).otherwise(F.greatest(F.lit(-most), F.least(F.lit(most), wanted)))

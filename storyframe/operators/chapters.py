@@ -53,7 +53,8 @@ class Classifier:
 
 
 def tag_list(tags: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(tags[f"is_{k}"], k) for k in TAGS]))
+    """Names of the tags that hold, in a fixed order."""
+    return F.array_compact(F.array(*[F.when(tags[f"is_{k}"], k.replace("_", "-")) for k in TAGS]))
 
 
 def with_tags(chapters: DataFrame, classifier: Classifier | None = None) -> DataFrame:
@@ -71,14 +72,34 @@ _PRESETS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def register_preset(name: str, predicate: Callable[[Column], Column]) -> None:
+_HELP = {
+    "all": "every chapter",
+    "none": "no chapter",
+    "content-only": "all but front matter, back matter and title pages",
+    "chapters-only": "chapters without part dividers",
+    "with-parts": "chapters and part dividers",
+}
+
+
+def register_preset(name: str, predicate: Callable[[Column], Column], description: str = "") -> None:
     _PRESETS[name] = predicate
+    _HELP[name] = description
 
 
 def presets() -> list[str]:
     return sorted(_PRESETS)
 
 
+def preset_help() -> str:
+    """A line for each preset, in the order in which they were registered."""
+    return "\n".join(["Available filter presets:", *(f"  {name:15} - {_HELP.get(name, '')}" for name in _PRESETS)])
+
+
+def apply_preset(chapters: DataFrame, name: str) -> DataFrame:
+    """Chapters(tags) that a preset takes; all of them if it is not known."""
+    return chapters.filter(_PRESETS[name](F.col("tags"))) if name in _PRESETS else chapters
+
+
 def _known(name: str) -> None:
     if name not in _PRESETS:
         raise ValueError(f"unknown preset {name!r}; known: {', '.join(presets())}")

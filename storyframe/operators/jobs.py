@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,15 @@ def removable(jobs: DataFrame) -> DataFrame:
     return jobs.filter("status <> 'processing'")
 
 
+def with_status(jobs: DataFrame, *statuses: str) -> DataFrame:
+    """Jobs in one of the states, in the order in which they came."""
+    return jobs.filter(F.col("status").isin(*statuses)).orderBy("first_seq")
+
+
+def without_status(jobs: DataFrame, *statuses: str) -> DataFrame:
+    return jobs.filter(~F.col("status").isin(*statuses)) if statuses else jobs
+
+
 def status_counts(jobs: DataFrame) -> DataFrame:
     """One row with the number of jobs in each state."""
     return jobs.agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATUSES], F.count(F.lit(1)).alias("total"))
@@ -46,10 +57,10 @@ def next_job(jobs: DataFrame) -> DataFrame:
 
 
 def rate(elapsed_s: Column, done_chars: Column, chapter_rates: Column) -> Column:
-    """Characters a second: live, or 0.6 live and 0.4 of the mean over finished chapters; 0 in the first second."""
+    """Characters a second: live, or 0.6 live and 0.4 of the mean over finished chapters; 0 in the first second and before any character."""
     live = done_chars / elapsed_s
     mean = F.aggregate(chapter_rates, F.lit(0.0), lambda a, b: a + b) / F.size(chapter_rates)
-    return F.when(elapsed_s < 1, 0.0).when(F.size(chapter_rates) > 0, LIVE_SHARE * live + (1 - LIVE_SHARE) * mean).otherwise(live)
+    return F.when((elapsed_s < 1) | (done_chars == 0), 0.0).when(F.size(chapter_rates) > 0, LIVE_SHARE * live + (1 - LIVE_SHARE) * mean).otherwise(live)
 
 
 def eta_seconds(total_chars: Column, done_chars: Column, per_second: Column) -> Column:
@@ -74,9 +85,75 @@ def resolve_overrides(jobs: DataFrame, defaults: dict[str, object]) -> DataFrame
     return jobs
 
 
-def unique_names(outputs: DataFrame) -> DataFrame:
-    """File names of outputs(job_id, title, label): `title [label].m4b`, later ones of a name with _1, _2 and so on."""
-    name = F.concat(F.translate("title", '\\/*?:"<>|', ""), F.lit(" ["), F.col("label"), F.lit("]"))
-    n = F.row_number().over(Window.partitionBy("stem").orderBy("job_id")) - 1
-    rows = outputs.withColumn("stem", name).withColumn("n", n)
-    return rows.select("job_id", F.concat("stem", F.when(F.col("n") > 0, F.concat(F.lit("_"), "n")).otherwise(""), F.lit(".m4b")).alias("file_name"))
+def output_label(voice: Column, is_multi: Column) -> Column:
+    """multi-voice, or the voice's name: of a path or address the last part without its extension."""
+    stem = F.regexp_extract(F.regexp_replace(voice, r"/+$", ""), r"([^/]*)$", 1)
+    stem = F.when(stem.rlike(r"^.+\.[^.]+$"), F.regexp_extract(stem, r"^(.+)\.[^.]+$", 1)).otherwise(stem)
+    return F.when(is_multi, "multi-voice").when(voice.rlike(r"[/\\\\]"), stem).otherwise(voice)
+
+
+def output_stem(title: Column, label: Column) -> Column:
+    return F.concat(F.trim(F.translate(title, '\\/*?:"<>|', "")), F.lit(" ["), label, F.lit("]"))
+
+
+def unique_names(outputs: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """File names of outputs(job_id, title, label): `title [label].m4b`; a name that is taken goes on with _1, _2 and so on.
+
+    Outputs take names in the order of job_id, after existing(file_name). All names of a stem are numbered by windows: the k-th output gets the
+    k-th number that is free, the first being the name without one.
+    """
+    rows = outputs.withColumn("stem", output_stem(F.col("title"), F.col("label")))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("stem").orderBy("job_id")))
+    if existing is None:
+        rows = rows.withColumn("n", F.col("k") - 1)
+    else:
+        stem, number = F.regexp_extract("file_name", r"^(.*?)(?:_(\d+))?\.m4b$", 1), F.regexp_extract("file_name", r"^.*?(?:_(\d+))?\.m4b$", 1)
+        taken = existing.filter(F.col("file_name").endswith(".m4b")).select(stem.alias("stem"), F.when(number == "", 0).otherwise(number.cast("long")).alias("n")).distinct()
+        # the k-th free number is k - 1 and the taken ones up to it: those with n - (taken before) < k
+        before = F.row_number().over(Window.partitionBy("stem").orderBy("n")) - 1
+        taken = taken.withColumn("free", F.col("n") - before).groupBy("stem").agg(F.array_sort(F.collect_list("free")).alias("free"))
+        rows = rows.join(taken, "stem", "left").withColumn("n", F.col("k") - 1 + F.coalesce(F.size(F.filter("free", lambda f: f < F.col("k"))), F.lit(0)))
+    return rows.select("job_id", F.concat("stem", F.when(F.col("n") > 0, F.concat(F.lit("_"), F.col("n").cast("string"))).otherwise(""), F.lit(".m4b")).alias("file_name"))
+
+
+def next_free_name(path: str, exists) -> str:
+    """The path itself, or its stem with the next number that does not exist; a number it ends with goes on."""
+    if not exists(path):
+        return path
+    folder, _, name = path.rpartition("/")
+    stem, dot, suffix = name.rpartition(".")
+    stem, suffix = (stem, dot + suffix) if stem else (name, "")
+    m = re.match(r"^(.+)_(\d+)$", stem)
+    stem, n = (m[1], int(m[2]) + 1) if m else (stem, 1)
+    while exists(found := f"{folder + '/' if folder else ''}{stem}_{n}{suffix}"):
+        n += 1
+    return found
+
+
+def progress_by_worker(events: DataFrame) -> DataFrame:
+    """State of workers after events(pid, seq, event, title, total, batches, chars, message) of START, UPDATE, DONE, ERROR, LOG.
+
+    A worker's chapter is that of its last START; current sums its UPDATEs. After DONE the worker is idle: title and total are null.
+    """
+    last = events.filter(F.col("event") == "START").groupBy("pid").agg(F.max("seq").alias("began"))
+    rows = events.join(last, "pid", "left")
+    mine = F.col("began").isNotNull() & (F.col("seq") >= F.col("began"))
+    out = rows.groupBy("pid").agg(
+        F.max_by("title", F.when(mine & (F.col("event") == "START"), F.col("seq"))).alias("title"),
+        F.max_by("total", F.when(mine & (F.col("event") == "START"), F.col("seq"))).alias("total"),
+        F.coalesce(F.sum(F.when(mine & (F.col("event") == "UPDATE"), F.col("batches"))), F.lit(0)).cast("long").alias("current"),
+        F.coalesce(F.max(mine & (F.col("event") == "DONE")), F.lit(False)).alias("idle"),
+        F.coalesce(F.sum(F.when(F.col("event") == "UPDATE", F.col("batches"))), F.lit(0)).cast("long").alias("completed_batches"),
+        F.count_if(F.col("event") == "DONE").alias("completed_chapters"),
+        F.count_if(F.col("event") == "ERROR").alias("errors"),
+    )
+    off = F.col("idle") | F.col("title").isNull()
+    return out.select(
+        "pid", *[F.when(~F.col("idle"), F.col(c)).alias(c) for c in ("title", "total")], F.when(off, 0).otherwise(F.col("current")).cast("long").alias("current"),
+        "completed_batches", "completed_chapters", "errors",
+    )
+
+
+def audio_totals(results: DataFrame) -> DataFrame:
+    """Sums over results(book_id, duration_ms, batches, chars)."""
+    return results.groupBy("book_id").agg(*[F.sum(c).cast("long").alias(f"total_{c}") for c in ("duration_ms", "batches", "chars")])

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyframe.functions.text import is_alias, is_proper_name, quoted_pattern, significant_words, words
+from storyframe.functions.text import is_alias, is_proper_name, normalize_pronoun, quoted_pattern, significant_words, words
+from storyframe.sources.scratch import settled
 
 PRONOUN_WINDOW = 300
 # Pronouns of each set.
@@ -48,34 +49,65 @@ def roster(clustered: DataFrame) -> DataFrame:
     return grouped.select("book_id", "canonical", "group_ord", F.transform("a", lambda x: x["name"]).alias("aliases"))
 
 
+#: One to four capitalised words.
+NAME_RUNS = r"\b([A-Z][a-z]+(?: [A-Z][a-z]+){0,3})\b"
+
+
 def extract_names(texts: DataFrame) -> DataFrame:
     """The default name provider: runs of one to four capitalised words that pass the name test, of texts(book_id, text)."""
-    runs = F.regexp_extract_all(F.col("text"), F.lit(r"\b([A-Z][a-z]+(?: [A-Z][a-z]+){0,3})\b"), F.lit(1))
+    runs = F.regexp_extract_all(F.col("text"), F.lit(NAME_RUNS), F.lit(1))
     return texts.select("book_id", F.explode(F.array_distinct(runs)).alias("name")).distinct().filter(is_proper_name(F.col("name")))
 
 
+def _by_book(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row a book with all its names, so that each text meets them once."""
+    return rows.groupBy("book_id").agg(F.array_sort(F.collect_set(F.struct(*columns))).alias("people"))
+
+
 def mention_counts(aliases: DataFrame, texts: DataFrame) -> DataFrame:
-    """Whole-word mentions, in any case, summed over the aliases of (book_id, canonical, alias) in texts(book_id, text)."""
-    pattern = F.concat(F.lit(r"(?iu)\b"), quoted_pattern(F.col("alias")), F.lit(r"\b"))
-    hits = texts.join(aliases.select("book_id", "canonical", "alias"), "book_id").withColumn("n", F.regexp_count("text", pattern))
-    return hits.groupBy("book_id", "canonical").agg(F.sum("n").cast("long").alias("mention_count"))
+    """Whole-word mentions, in any case, summed over the aliases of (book_id, canonical, alias) in texts(book_id, text).
+
+    An alias within another counts for both. Each text is read once, for all aliases of its book; a canonical that no text names has 0.
+    """
+    named = texts.join(_by_book(aliases, "canonical", "alias"), "book_id")
+
+    def count(p: Column) -> Column:
+        pattern = F.concat(F.lit(r"(?iu)\b"), quoted_pattern(p["alias"]), F.lit(r"\b"))
+        return F.struct(p["canonical"].alias("canonical"), F.regexp_count(F.col("text"), pattern).alias("n"))
+
+    hits = named.select("book_id", F.explode(F.filter(F.transform("people", count), lambda c: c["n"] > 0)).alias("c")).select("book_id", "c.*")
+    sums = hits.groupBy("book_id", "canonical").agg(F.sum("n").alias("n"))
+    everyone = aliases.select("book_id", "canonical").distinct().join(sums, ["book_id", "canonical"], "left")
+    return everyone.select("book_id", "canonical", F.coalesce("n", F.lit(0)).cast("long").alias("mention_count"))
 
 
 def _pronoun_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Needs every place of a match, which no built-in function gives."""
+    """Needs every place of a match, which no built-in function gives. All characters of a book are looked for in each of its texts."""
     tests = {k: re.compile(rf"\b({'|'.join(v)})\b", re.IGNORECASE) for k, v in PRONOUNS.items()}
+    made: dict[tuple, list] = {}
+
+    def patterns(people: list) -> list:
+        key = tuple((p["canonical"], *p["aliases"]) for p in people)
+        if key not in made:
+            made.clear()
+            forms = [(k[0], sorted({n for n in k if n}, key=lambda n: (-len(n), n))) for k in key]
+            made[key] = [(c, [n.casefold() for n in f], re.compile(rf"\b(?:{'|'.join(map(re.escape, f))})\b", re.IGNORECASE)) for c, f in forms if f]
+        return made[key]
+
     for rows in batches:
-        out = {k: [] for k in tests}
-        for names, text in zip(rows["names"], rows["text"]):
-            names = sorted({n for n in names if n}, key=len, reverse=True)
-            n = dict.fromkeys(tests, 0)
-            for m in re.finditer(rf"\b(?:{'|'.join(map(re.escape, names))})\b", text or "", re.IGNORECASE) if names else ():
-                window = text[max(0, m.start() - PRONOUN_WINDOW) : m.end() + PRONOUN_WINDOW]
-                for k, test in tests.items():
-                    n[k] += len(test.findall(window))
-            for k in tests:
-                out[k].append(n[k])
-        yield pd.DataFrame({"book_id": rows["book_id"], "canonical": rows["canonical"], **out})
+        out: dict[tuple, dict] = {}
+        for book, people, text in zip(rows["book_id"], rows["people"], rows["text"]):
+            text = text or ""
+            low = text.casefold()
+            for canonical, forms, pattern in patterns(people):
+                if not any(f in low for f in forms):
+                    continue
+                n = out.setdefault((book, canonical), dict.fromkeys(tests, 0))
+                for m in pattern.finditer(text):
+                    window = text[max(0, m.start() - PRONOUN_WINDOW) : m.end() + PRONOUN_WINDOW]
+                    for k, test in tests.items():
+                        n[k] += len(test.findall(window))
+        yield pd.DataFrame([(b, c, *n.values()) for (b, c), n in out.items()], columns=["book_id", "canonical", *tests])
 
 
 def majority(he: Column, she: Column, they: Column) -> Column:
@@ -88,14 +120,24 @@ def majority(he: Column, she: Column, they: Column) -> Column:
 def infer_pronouns(characters: DataFrame, texts: DataFrame) -> DataFrame:
     """Pronouns within 300 characters of each mention of characters(book_id, canonical, aliases) in texts(book_id, text).
 
-    Windows may overlap and then count twice. Texts are paragraphs or chapters; counts are summed over them.
+    Windows may overlap and then count twice. They end with their text, so texts should be chapters (joined(), below), or whole books;
+    counts are summed over them. A character that no text names has none.
     """
-    rows = texts.join(characters, "book_id").select("book_id", "canonical", F.array_union(F.array("canonical"), "aliases").alias("names"), "text")
-    counts = rows.mapInPandas(_pronoun_counts, rows.selectExpr("book_id", "canonical", "0L as he", "0L as she", "0L as they").schema)
+    named = texts.join(_by_book(characters, "canonical", "aliases"), "book_id").select("book_id", "people", "text")
+    kind = dict(characters.dtypes)
+    counts = named.mapInPandas(_pronoun_counts, f"book_id {kind['book_id']}, canonical string, he long, she long, they long")
     sums = counts.groupBy("book_id", "canonical").agg(*[F.sum(k).alias(k) for k in PRONOUNS])
+    sums = characters.select("book_id", "canonical").distinct().join(sums, ["book_id", "canonical"], "left").fillna(0, list(PRONOUNS))
     return sums.withColumn("pronoun", majority(F.col("he"), F.col("she"), F.col("they")))
 
 
+def joined(paragraphs: DataFrame, *by: str) -> DataFrame:
+    """Texts of paragraphs(book_id, chapter_idx, para_idx, text) joined by blanks, one for each value of `by` (chapters if left out)."""
+    by = by or ("book_id", "chapter_idx")
+    order = F.array_sort(F.collect_list(F.struct("chapter_idx", "para_idx", "text")))
+    return paragraphs.groupBy(*by).agg(F.array_join(F.transform(order, lambda p: p["text"]), " ").alias("text"))
+
+
 def resolve_pronoun(inferred: Column, external: Column) -> Column:
     """What the text shows wins where both speak; else the one that does."""
     return F.coalesce(F.nullif(inferred, F.lit("")), F.nullif(external, F.lit("")), F.lit(""))
@@ -104,18 +146,34 @@ def resolve_pronoun(inferred: Column, external: Column) -> Column:
 def drop_unseen(aliases: DataFrame, texts: DataFrame) -> DataFrame:
     """Aliases (book_id, name) of two letters or more that occur in the book's text in any case; cluster them again after."""
     named = aliases.filter(F.length("name") >= 2)
-    seen = named.join(texts, "book_id").filter(F.contains(F.lower("text"), F.lower("name"))).select("book_id", "name").distinct()
+    low = texts.join(_by_book(named, "name"), "book_id").withColumn("low", F.lower("text"))
+    seen = low.select("book_id", F.explode(F.filter("people", lambda p: F.contains(F.col("low"), F.lower(p["name"])))).alias("p")).select("book_id", F.col("p.name").alias("name")).distinct()
     return aliases.join(seen, ["book_id", "name"], "left_semi")
 
 
+# What an external roster calls the sets of pronouns.
+ARGMAX = {"he/him": ("he/him", "he", "him", "his"), "she/her": ("she/her", "she", "her", "hers"), "they/them": ("they/them", "they", "them", "their")}
+
+
 def external_roster(rows: DataFrame, schema: str = "characters array<struct<id:long,g:struct<argmax:string>,mentions:struct<proper:array<struct<n:string,c:int>>,common:array<struct<n:string,c:int>>>>>") -> DataFrame:
     """Of rows(book_id, json): (book_id, id, pronoun, name, n) for proper mentions that pass the name test; bad JSON gives none."""
     parsed = rows.select("book_id", F.explode(F.from_json("json", schema)["characters"]).alias("c"))
-    names = parsed.select("book_id", F.col("c.id").alias("id"), F.lower(F.col("c.g.argmax")).alias("argmax"), F.explode("c.mentions.proper").alias("m"))
-    out = names.select("book_id", "id", F.when(F.col("argmax").startswith("he"), "he/him").when(F.col("argmax").startswith("she"), "she/her").when(F.col("argmax").startswith("they"), "they/them").otherwise("").alias("pronoun"), F.col("m.n").alias("name"), F.col("m.c").alias("n"))
+    names = parsed.select("book_id", F.col("c.id").alias("id"), F.col("c.g.argmax").alias("argmax"), F.explode("c.mentions.proper").alias("m"))
+    pronoun = F.lit("")
+    for name, forms in ARGMAX.items():
+        pronoun = F.when(F.col("argmax").isin(*forms), name).otherwise(pronoun)
+    out = names.select("book_id", "id", pronoun.alias("pronoun"), F.col("m.n").alias("name"), F.col("m.c").alias("n"))
     return out.filter(is_proper_name(F.col("name")))
 
 
+def external_phrases(rows: DataFrame) -> DataFrame:
+    """Of the same rows: phrases(book_id, ord, phrase, n) of common mentions, in the order of characters and mentions."""
+    schema = "characters array<struct<mentions:struct<common:array<struct<n:string,c:int>>>>>"
+    parsed = rows.select("book_id", F.posexplode(F.from_json("json", schema)["characters"]).alias("i", "c"))
+    said = parsed.select("book_id", "i", F.posexplode("c.mentions.common").alias("j", "m"))
+    return said.select("book_id", (F.col("i").cast("long") * 1_000_000 + F.col("j")).alias("ord"), F.trim("m.n").alias("phrase"), F.col("m.c").alias("n")).filter("phrase <> ''")
+
+
 def common_phrases(phrases: DataFrame, least: int = PHRASE_LEAST) -> DataFrame:
     """Of phrases(book_id, ord, phrase, n): those of `least` mentions or more, once for each lower-case form with its first spelling."""
     return phrases.filter(F.col("n") >= least).groupBy("book_id", F.lower("phrase").alias("key")).agg(F.min_by("phrase", "ord").alias("phrase"), F.sum("n").alias("n"))
@@ -169,18 +227,74 @@ def simplify_canonicals(roster: DataFrame, renames: DataFrame) -> DataFrame:
     return out.withColumn("aliases", aliases).withColumn("canonical", F.coalesce("simple", "canonical")).drop("simple")
 
 
-def build_roster(texts: DataFrame, provider: RosterProvider | None = None) -> DataFrame:
-    """Names of texts(book_id, text), clustered, seen in the text, cleaned by a provider if there is one, with pronouns."""
-    names = drop_unseen(extract_names(texts), texts)
-    groups = roster(cluster_names(names))
-    pronouns = infer_pronouns(groups.select("book_id", "canonical", "aliases"), texts).select("book_id", "canonical", "pronoun")
-    groups = groups.join(pronouns, ["book_id", "canonical"], "left").fillna("", ["pronoun"])
-    for ask, use in ((getattr(provider, "merges", None), merge_groups), (getattr(provider, "epithets", None), add_epithets), (getattr(provider, "short_names", None), simplify_canonicals)):
+def _cleaned(groups: DataFrame, provider: RosterProvider | None, phrases: bool) -> DataFrame:
+    """Merged, with epithets if there are phrases for them, and simplified, as far as the provider answers."""
+    for name, use in (("merges", merge_groups), *((("epithets", add_epithets),) if phrases else ()), ("short_names", simplify_canonicals)):
+        ask = getattr(provider, name, None)
         if ask and (answer := ask(groups)) is not None:
             groups = use(groups, answer)
     return groups
 
 
+def build_roster(texts: DataFrame, provider: RosterProvider | None = None, external: DataFrame | None = None, sampled: DataFrame | None = None) -> DataFrame:
+    """Rosters (book_id, canonical, group_ord, aliases, pronoun) of texts(book_id, text), each book by the first tier that has names for it.
+
+    1. external(book_id, json): names of an external roster, with its pronouns.
+    2. sampled(book_id, name): names that a model gave for a sample of the text; those that the text does not hold are dropped.
+    3. Names that the default provider finds.
+
+    All are clustered and cleaned by the provider; epithets are asked for in the first tier only. A pronoun that the text shows wins.
+    """
+    tiers = []
+    if external is not None:
+        tiers.append(external_roster(external).select("book_id", "name", "pronoun", F.col("id").alias("at")))
+    if sampled is not None:
+        tiers.append(drop_unseen(sampled.select("book_id", "name"), texts).withColumn("pronoun", F.lit("")).withColumn("at", F.lit(0).cast("long")))
+    tiers.append(extract_names(texts).withColumn("pronoun", F.lit("")).withColumn("at", F.lit(0).cast("long")))
+    names, taken = None, None
+    for n, tier in enumerate(tiers):
+        tier = tier if taken is None else tier.join(taken, "book_id", "left_anti")
+        tier = tier.withColumn("tier", F.lit(n))
+        names = tier if names is None else names.unionByName(tier)
+        taken = names.select("book_id").distinct()
+    names = settled(names)
+    clustered = settled(cluster_names(names))
+    said = names.groupBy("book_id", F.trim("name").alias("name")).agg(F.max_by("pronoun", "at").alias("pronoun"), F.max("tier").alias("tier"))
+    members = clustered.join(said, ["book_id", "name"])
+    groups = roster(clustered).join(group_pronoun(members).withColumnRenamed("pronoun", "given"), ["book_id", "canonical"])
+    groups = settled(groups)
+    shown = infer_pronouns(groups.select("book_id", "canonical", "aliases"), texts).select("book_id", "canonical", "pronoun")
+    groups = groups.join(shown, ["book_id", "canonical"]).withColumn("pronoun", resolve_pronoun(F.col("pronoun"), normalize_pronoun(F.col("given")))).drop("given")
+    return _cleaned(settled(groups), provider, external is not None)
+
+
+def fast_scan(paragraphs: DataFrame, provider: RosterProvider | None = None, external: DataFrame | None = None, sampled: DataFrame | None = None) -> DataFrame:
+    """Characters (book_id, canonical, group_ord, aliases, pronoun, mention_count, ord) of paragraphs(book_id, chapter_idx, para_idx, text).
+
+    ord: by mentions, most first, then in the order of the roster.
+    """
+    texts = settled(joined(paragraphs))
+    groups = build_roster(texts, provider, external, sampled)
+    counts = mention_counts(groups.select("book_id", "canonical", F.explode("aliases").alias("alias")), texts)
+    return settled(by_prominence(groups.join(counts, ["book_id", "canonical"]), "mention_count", "group_ord"))
+
+
+def by_prominence(characters: DataFrame, count: str, roster_ord: str) -> DataFrame:
+    """`ord` within a book: the largest count first, in the order of the roster where counts are equal."""
+    return characters.withColumn("ord", F.row_number().over(Window.partitionBy("book_id").orderBy(F.desc(count), roster_ord)) - 1)
+
+
+def with_mentions(result: DataFrame, scanned: DataFrame) -> DataFrame:
+    """The characters of an analysis (book_id, character_id, quote_count, ord) with the mentions of a scan(book_id, canonical, mention_count), 0 if it has none.
+
+    prominence is the mentions, or the quotes if there are none; they are put in its order, on ties in the order they had.
+    """
+    counts = scanned.select("book_id", F.col("canonical").alias("character_id"), "mention_count")
+    out = result.join(counts, ["book_id", "character_id"], "left").withColumn("mention_count", F.coalesce("mention_count", F.lit(0)).cast("long")).withColumnRenamed("ord", "was")
+    out = out.withColumn("prominence", F.when(F.col("mention_count") > 0, F.col("mention_count")).otherwise(F.col("quote_count")))
+    return by_prominence(out, "prominence", "was").drop("was")
+
+
 def alias_join(named: DataFrame, aliases: DataFrame) -> DataFrame:
     """Distinct canonicals of named(book_id, chapter_idx, name) by lower-case alias; of aliases that clash the later one (ord) holds."""
     known = aliases.groupBy("book_id", F.lower("alias").alias("key")).agg(F.max_by("canonical", "ord").alias("canonical"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,23 +48,79 @@ def union_aliases(old: Column, new: Column) -> Column:
     return F.aggregate(F.concat(old, new), F.array().cast("array<string>"), add)
 
 
+def score(mine: set[str], theirs: set[str]) -> float:
+    """name_score() of two sets of lower-case names."""
+
+    def overlap(a: set[str], b: set[str]) -> float:
+        short, long = (a, b) if len(a) <= len(b) else (b, a)
+        return sum(w in long or (len(w) >= 3 and any(v.startswith(w) for v in long)) for w in short) / len(short) if short else 0.0
+
+    return 1.0 if mine & theirs else max((overlap(set(x.split()), set(y.split())) for x in mine for y in theirs), default=0.0)
+
+
+def _keys(names: set[str]) -> set[str]:
+    """Two sets that score over 0 share one of these."""
+    return names | {"\x1f" + w[:3] for n in names for w in n.split()}
+
+
+def _entries_after(entries: list[dict], cast: list[dict], least: float) -> list[dict]:
+    """The fold of one series; entries and newcomers meet by their keys."""
+    out: list[dict] = []
+    by_name: dict[str, int] = {}
+    by_key: dict[str, set[int]] = {}
+
+    def known(i: int) -> None:
+        for k in _keys({x.lower() for x in (out[i]["canonical"], *out[i]["aliases"])}):
+            by_key.setdefault(k, set()).add(i)
+
+    def add(canonical: str, aliases: list[str], voice: str | None) -> None:
+        out.append({"canonical": canonical, "aliases": aliases, "voice": voice})
+        by_name.setdefault(canonical.lower(), len(out) - 1)
+        known(len(out) - 1)
+
+    for e in entries:
+        add(e["canonical"], list(e["aliases"]), e["voice"])
+    for c in cast:
+        aliases = list(c["aliases"])
+        if not c["voice"]:
+            continue
+        if c["pinned"]:
+            if (i := by_name.get(c["character_id"].lower())) is not None:
+                had = {a.lower() for a in out[i]["aliases"]}
+                out[i]["voice"] = c["voice"]
+                out[i]["aliases"] += [a for a in aliases if a.lower() not in had]
+                known(i)
+            continue
+        names = {x.lower() for x in (c["character_id"], *aliases)}
+        near = set().union(*(by_key.get(k, set()) for k in _keys(names)))
+        if not any(score(names, {x.lower() for x in (out[i]["canonical"], *out[i]["aliases"])}) >= least for i in near):
+            add(c["character_id"], aliases, c["voice"])
+    return out
+
+
 def upsert_series(entries: DataFrame, cast: DataFrame, least: float = MATCH) -> DataFrame:
-    """Entries after a book's cast(series, character_id, aliases, voice, pinned, ord).
+    """Entries (series, char_ord, canonical, aliases, voice) after a book's cast(series, character_id, aliases, voice, pinned, ord).
 
-    Pinned characters replace the voice and unite the aliases of the entry with their canonical; others are appended in order unless an
-    entry scores `least` or more.
+    Characters count in the order of ord; those without a voice do not. A pinned one gives its voice to the first entry of its name in any case, and the
+    aliases that the entry lacks in any case; without such an entry nothing happens. Any other is appended unless an entry, old or
+    appended before it, scores `least` or more. So each depends on those before: a series is one group.
     """
+
+    def fold(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        series = (old if len(old) else new)["series"].iloc[0]
+        found = _entries_after(old.sort_values("char_ord").to_dict("records"), new.sort_values(["ord", "character_id"]).to_dict("records"), least)
+        rows = [(series, i, e["canonical"], e["aliases"], e["voice"]) for i, e in enumerate(found)]
+        return pd.DataFrame(rows, columns=["series", "char_ord", "canonical", "aliases", "voice"])
+
     none = F.array().cast("array<string>")
-    pinned = cast.filter("pinned").select("series", F.col("character_id").alias("canonical"), F.col("aliases").alias("more"), F.col("voice").alias("new_voice"))
-    kept = entries.join(pinned, ["series", "canonical"], "left").select(
-        "series", "char_ord", "canonical", union_aliases(F.col("aliases"), F.coalesce("more", none)).alias("aliases"), F.coalesce("new_voice", "voice").alias("voice")
-    )
-    free = cast.filter("not pinned")
-    known = candidates(free, entries).filter(F.col("score") >= least).select("series", "character_id").distinct()
-    fresh = free.join(known, ["series", "character_id"], "left_anti")
-    base = entries.groupBy("series").agg((F.max("char_ord") + 1).alias("base"))
-    fresh = fresh.join(base, "series", "left").select("series", (F.coalesce("base", F.lit(0)) + F.col("ord")).cast("int").alias("char_ord"), F.col("character_id").alias("canonical"), F.coalesce("aliases", none).alias("aliases"), "voice")
-    return kept.unionByName(fresh)
+    old = entries.select("series", "char_ord", "canonical", F.coalesce("aliases", none).alias("aliases"), "voice")
+    new = cast.select("series", "character_id", F.coalesce("aliases", none).alias("aliases"), "voice", "pinned", "ord")
+    return old.groupBy("series").cogroup(new.groupBy("series")).applyInPandas(fold, "series string, char_ord int, canonical string, aliases array<string>, voice string")
+
+
+def ordered_manifests(manifests: DataFrame) -> DataFrame:
+    """Manifests (..., updated_at), the latest first."""
+    return manifests.orderBy(F.desc("updated_at"), "series")
 
 
 def manifest_from(characters: DataFrame, cast: DataFrame) -> DataFrame:

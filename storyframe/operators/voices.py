@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyframe.functions.text import pronoun_gender
+from storyframe.functions.text import pronoun_gender, split_hf_url
 
 NARRATOR = "NARRATOR"
 SOURCES = ("compiled", "builtin", "packaged", "user")
@@ -49,6 +49,9 @@ def resolve_voice(wanted: DataFrame, voices: DataFrame) -> DataFrame:
     return wanted.withColumn("key", key).join(first, "key", "left").select("query", "voice")
 
 
+DEFAULT_VOICE = "alba"
+
+
 def voice_kind(identifier: Column) -> Column:
     """How an identifier is loaded: hub, path, registry name, and so which need a login."""
     return F.when(identifier.startswith("hf://"), "hub").when(identifier.rlike(r"[/\\]|\.(wav|safetensors)$"), "path").otherwise("registry")
@@ -58,13 +61,55 @@ def needs_auth(identifier: Column) -> Column:
     return voice_kind(identifier).isin("hub", "path")
 
 
+def load_voices(wanted: DataFrame, voices: DataFrame, files: DataFrame, downloads: DataFrame, default: str = DEFAULT_VOICE) -> DataFrame:
+    """What wanted(identifier) stands for: (identifier, kind, voice).
+
+    An hf:// address gives the file of downloads(user, repo, path, file), else the default; then a path of files(path) itself; then a name of
+    voices(name, voice_ord, file_path), in any case and without its extension: its file, or its name if it has none; else the identifier.
+    """
+    hub = split_hf_url(F.col("identifier"))
+    rows = wanted.select("identifier").distinct().withColumn("h", hub)
+    got = downloads.select(F.struct("user", "repo", "path").alias("h"), F.col("file").alias("downloaded"))
+    rows = rows.join(got, "h", "left").join(files.select(F.col("path").alias("identifier"), F.lit(True).alias("is_file")).distinct(), "identifier", "left")
+    known = voices.groupBy(F.lower("name").alias("key")).agg(F.min_by(F.coalesce("file_path", "name"), "voice_ord").alias("named"))
+    rows = rows.withColumn("key", F.regexp_replace(F.lower("identifier"), r"\.[^.]*$", "")).join(known, "key", "left")
+    is_hub = F.col("identifier").startswith("hf://")
+    kind = F.when(is_hub & F.col("downloaded").isNotNull(), "hub").when(is_hub, "default").when(F.col("is_file"), "path").when(F.col("named").isNotNull(), "registry").otherwise("raw")
+    voice = F.when(is_hub, F.coalesce("downloaded", F.lit(default))).when(F.col("is_file"), F.col("identifier")).otherwise(F.coalesce("named", "identifier"))
+    return rows.select("identifier", kind.alias("kind"), voice.alias("voice"))
+
+
+def ordered_voices(voices: DataFrame) -> DataFrame:
+    """`place` within a source: by file name, bundled ones by name."""
+    return voices.withColumn("place", F.row_number().over(Window.partitionBy("source_ord").orderBy(F.coalesce("file_path", "name"), "name")))
+
+
+def exclude_voice(excluded: Column, name: str) -> Column:
+    """A list of excluded voices with one more, unless it is there."""
+    return F.when(F.array_contains(excluded, name), excluded).otherwise(F.array_append(excluded, name))
+
+
+def include_voice(excluded: Column, name: str) -> Column:
+    return F.array_remove(excluded, name)
+
+
+def chapter_voice(overrides: Column, chapter_idx: Column, voice: Column) -> Column:
+    """A chapter's own voice, by its number as text, else the book's."""
+    return F.coalesce(F.nullif(F.try_element_at(overrides, chapter_idx.cast("string")), F.lit("")), voice)
+
+
+def speaker_voice(cast: Column, speaker: Column, narrator: Column, default: str = DEFAULT_VOICE) -> Column:
+    """A speaker's voice in a map of the cast, else the narrator's, else the default; an empty voice is none."""
+    return F.coalesce(F.nullif(F.try_element_at(cast, speaker), F.lit("")), F.nullif(narrator, F.lit("")), F.lit(default))
+
+
 def list_voices(voices: DataFrame, excluded: DataFrame) -> DataFrame:
     marks = excluded.select("name").distinct().withColumn("excluded", F.lit(True))
     return voices.join(marks, "name", "left").withColumn("excluded", F.coalesce("excluded", F.lit(False)))
 
 
 def pool_exhausted(listed: DataFrame) -> DataFrame:
-    """Genders all of whose voices are excluded."""
+    """Of each gender, whether all of its voices are excluded."""
     return listed.filter("gender is not null").groupBy("gender").agg(F.min(F.col("excluded").cast("int")).cast("boolean").alias("exhausted"))
 
 
@@ -120,8 +165,9 @@ def simple_cast(characters: DataFrame, male: str, female: str, narrator: str) ->
     return characters.select("book_id", "character_id", F.when(g == "male", male).when(g == "female", female).otherwise(narrator).alias("voice"))
 
 
-def dominant_voice(characters: DataFrame, voices: DataFrame, default_voice: str) -> DataFrame:
-    """By the most prominent character with a gender: the first voice of it; else the first male voice, else the default."""
+def dominant_voice(characters: DataFrame, voices: DataFrame, default_voice: str, excluded: list[str] = ()) -> DataFrame:
+    """By the most prominent character with a gender: the first voice of it that is not excluded; else the first male voice, else the default."""
+    voices = voices.filter(~F.col("name").isin(*excluded)) if excluded else voices
     g = pronoun_gender(F.col("pronoun"))
     top = characters.groupBy("book_id").agg(F.min_by(g, F.when(g != "they", F.struct(-F.col("prominence"), "ord"))).alias("gender"), F.max(F.when(g != "they", F.col("prominence"))).alias("most"))
     first = voices.agg(F.min_by("name", F.when(F.lower("gender") == "male", F.col("voice_ord"))).alias("m"), F.min_by("name", F.when(F.lower("gender") == "female", F.col("voice_ord"))).alias("f"))
@@ -129,48 +175,76 @@ def dominant_voice(characters: DataFrame, voices: DataFrame, default_voice: str)
     return rows.select("book_id", F.when((F.col("gender") == "female") & (F.col("most") > 0) & F.col("f").isNotNull(), F.col("f")).otherwise(F.coalesce("m", F.lit(default_voice))).alias("voice"))
 
 
+# Speakers that are no characters.
+NO_CHARACTERS = (NARRATOR, "SCENE_BREAK", "Unknown")
+
+
+def chapter_speakers(segments: DataFrame) -> DataFrame:
+    """Characters (book_id, chapter_idx, character_id) heard in each chapter of segments(..., speaker)."""
+    return segments.filter(F.col("speaker").isNotNull() & ~F.col("speaker").isin("", *NO_CHARACTERS)).select("book_id", "chapter_idx", F.col("speaker").alias("character_id")).distinct()
+
+
 def cooccurrence(segments: DataFrame, cast: DataFrame) -> DataFrame:
-    """Pairs of speakers that share a chapter and a voice: (book_id, chapter_idx, voice, a, b) with a < b."""
-    heard = segments.select("book_id", "chapter_idx", F.col("speaker").alias("character_id")).distinct().join(cast, ["book_id", "character_id"])
+    """Pairs of characters that share a chapter and a voice: (book_id, chapter_idx, voice, a, b) with a < b. The pairs are the result; only those
+    of one chapter and voice meet."""
+    heard = chapter_speakers(segments).join(cast, ["book_id", "character_id"])
     left = heard.withColumnRenamed("character_id", "a")
     right = heard.withColumnRenamed("character_id", "b")
     return left.join(right, ["book_id", "chapter_idx", "voice"]).filter("a < b")
 
 
-def resolve_conflicts(cast: DataFrame, chapters: DataFrame, characters: DataFrame, voice_pools: DataFrame, narrator: str) -> DataFrame:
-    """Gives speakers that share a chapter and a voice another one: the most prominent keeps it, each other takes the first
-    voice of its pool that no one in the chapter has and that is not the narrator's. Repeats until nothing changes.
-
-    chapters: (book_id, chapter_idx, character_id). A book's cast is small, so a book is one pandas group.
-    """
+def _settled(cast: DataFrame, chapters: DataFrame, characters: DataFrame, voice_pools: DataFrame, narrator: str) -> DataFrame:
+    """(book_id, character_id, voice, other, chapter_idx): the cast, with `other` null, and a row for each conflict that no voice was left for."""
     pool = voice_pools.first()  # one row
     male, female = list(pool["male"]), list(pool["female"])
     rows = chapters.distinct().join(cast, ["book_id", "character_id"]).join(characters.select("book_id", "character_id", "prominence", "ord", pronoun_gender(F.col("pronoun")).alias("gender")), ["book_id", "character_id"])
 
     def book(pdf: pd.DataFrame) -> pd.DataFrame:
-        voice = dict(zip(pdf["character_id"], pdf["voice"]))
+        pdf = pdf.sort_values(["chapter_idx", "prominence", "ord"], ascending=[True, False, True])
+        voice, gender = dict(zip(pdf["character_id"], pdf["voice"])), dict(zip(pdf["character_id"], pdf["gender"]))
+        scenes = [(chapter, list(group)) for chapter, group in pdf.groupby("chapter_idx", sort=True)["character_id"]]
+        unsolved: dict[frozenset, tuple] = {}
         for _ in range(len(voice) + 1):
             changed = False
-            for _, chapter in pdf.sort_values(["chapter_idx"]).groupby("chapter_idx", sort=True):
-                present = chapter.sort_values(["prominence", "ord"], ascending=[False, True])
-                used: set[str] = set()
-                for ch, gender in zip(present["character_id"], present["gender"]):
-                    if voice[ch] in used:
-                        taken = {voice[c] for c in present["character_id"]} | {narrator}
-                        own = female if gender == "female" else male if gender == "male" else male + female
-                        if free := next((v for v in own if v not in taken), None):
+            for chapter, present in scenes:
+                sharing: dict[str, list] = {}
+                for ch in present:
+                    sharing.setdefault(voice[ch], []).append(ch)
+                used = {*sharing, narrator}
+                for shared, (first, *others) in sharing.items():
+                    for ch in others:
+                        if free := next((v for v in (male if gender[ch] == "male" else female) if v not in used), None):
                             voice[ch], changed = free, True
-                    used.add(voice[ch])
+                            used.add(free)
+                        else:
+                            unsolved.setdefault(frozenset((first, ch)), (ch, shared, first, chapter))
             if not changed:
                 break
-        return pd.DataFrame({"book_id": pdf["book_id"].iloc[0], "character_id": list(voice), "voice": list(voice.values())})
+        out = [(ch, v, None, None) for ch, v in voice.items()] + list(unsolved.values())
+        return pd.DataFrame([(pdf["book_id"].iloc[0], *r) for r in out], columns=["book_id", "character_id", "voice", "other", "chapter_idx"]).astype({"chapter_idx": "Int64"})
 
     kinds = dict(cast.dtypes)
-    fixed = rows.groupBy("book_id").applyInPandas(book, f"book_id {kinds['book_id']}, character_id {kinds['character_id']}, voice string")
-    out = cast.join(fixed.withColumnRenamed("voice", "new"), ["book_id", "character_id"], "left")
+    return rows.groupBy("book_id").applyInPandas(book, f"book_id {kinds['book_id']}, character_id {kinds['character_id']}, voice string, other {kinds['character_id']}, chapter_idx long")
+
+
+def resolve_conflicts(cast: DataFrame, chapters: DataFrame, characters: DataFrame, voice_pools: DataFrame, narrator: str) -> DataFrame:
+    """Gives characters that share a chapter and a voice another one: of those with a voice the most prominent (by ord on ties) keeps it, each other takes
+    the first voice of its pool that no one in the chapter has and that is not the narrator's: males of the male pool, all others of the female
+    one. Chapters are passed in order until nothing changes, at most once more than there are characters.
+
+    chapters: (book_id, chapter_idx, character_id). A book's cast is small, so a book is one pandas group.
+    """
+    fixed = _settled(cast, chapters, characters, voice_pools, narrator).filter("other is null").select("book_id", "character_id", F.col("voice").alias("new"))
+    out = cast.join(fixed, ["book_id", "character_id"], "left")
     return out.select("book_id", "character_id", F.coalesce("new", "voice").alias("voice"))
 
 
+def conflict_warnings(cast: DataFrame, chapters: DataFrame, characters: DataFrame, voice_pools: DataFrame, narrator: str) -> DataFrame:
+    """Pairs (book_id, chapter_idx, voice, character_id, other) that resolve_conflicts() leaves with one voice, each once, where they first meet."""
+    left = _settled(cast, chapters, characters, voice_pools, narrator).filter("other is not null")
+    return left.select("book_id", "chapter_idx", "voice", "character_id", "other")
+
+
 def merge_casts(auto: DataFrame, inherited: DataFrame, narrator: DataFrame) -> DataFrame:
     """Later ones win: narrator, then auto, then inherited; all (book_id, character_id, voice)."""
     keys = ["book_id", "character_id"]

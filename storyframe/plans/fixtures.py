@@ -18,6 +18,10 @@ PRONOUNS = ("he/him", "she/her", "they/them", "")
 STATUS = {"signup": "pending", "view": "processing", "click": None, "purchase": "completed", "error": "failed"}
 
 
+#: Chapters of a book.
+BOOK = 100
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -27,20 +31,22 @@ def sql_list(values: tuple[str, ...]) -> str:
 
 
 def chapters(spark: SparkSession, sf: str) -> DataFrame:
-    """A chapter for each document: (book_id, chapter_idx, title, paragraphs), with scene marks set in."""
-    d = table(spark, sf, "documents").select("doc_id", "source", "text")
+    """A chapter for each document, a hundred to a book: (book_id, chapter_idx, title, paragraphs), with scene marks set in."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
     mark = lambda i: F.get(strings(MARKS), F.floor((F.col("doc_id") + i) / 17) % 4)
     marked = F.flatten(F.transform(F.split("text", "\n"), lambda p, i: F.when((F.col("doc_id") + i) % 17 == 0, F.array(p, mark(i))).otherwise(F.array(p))))
-    return d.select(F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_idx"), F.get(strings(TITLES), F.col("doc_id") % 24).alias("title"), marked.alias("paragraphs"))
+    return d.select(F.floor(F.col("doc_id") / BOOK).alias("book_id"), F.col("doc_id").alias("chapter_idx"), F.get(strings(TITLES), F.col("doc_id") % 24).alias("title"), marked.alias("paragraphs"))
 
 
 CHAPTERS = f"""
     fx1 as (
-        select source as book_id, doc_id as chapter_idx, ({sql_list(TITLES)})[doc_id % 24 + 1] as title,
+        select doc_id // {BOOK} as book_id, doc_id as chapter_idx, ({sql_list(TITLES)})[doc_id % 24 + 1] as title,
                flatten(list_transform(range(len(l)), lambda i: case when (doc_id + i) % 17 = 0 then [l[i + 1], ({sql_list(MARKS)})[((doc_id + i) // 17) % 4 + 1]] else [l[i + 1]] end)) as paragraphs
         from (select *, string_split(text, chr(10)) as l from documents)
     )
 """
+#: White space of Unicode and the separators of ASCII, for DuckDB.
+SPACES = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\pZ]"
 WORDS = "len(list_filter(string_split_regex({0}, '\\s+'), lambda w: w <> ''))"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -56,8 +57,8 @@ def p1_classify_titles(spark: SparkSession, sf: str) -> DataFrame:
     return _tagged(spark, sf).select("book_id", "chapter_idx", "tags.*")
 
 
-@query(f"""{_TAGGED} select book_id, chapter_idx, array_to_string(list_filter([case when is_front_matter then 'front_matter' end, case when is_back_matter then 'back_matter' end,
-    case when is_title_page then 'title_page' end, case when is_part_divider then 'part_divider' end, case when is_chapter then 'chapter' end], lambda x: x is not null), ',') as tag_list from tagged""")
+@query(f"""{_TAGGED} select book_id, chapter_idx, array_to_string(list_filter([case when is_front_matter then 'front-matter' end, case when is_back_matter then 'back-matter' end,
+    case when is_title_page then 'title-page' end, case when is_part_divider then 'part-divider' end, case when is_chapter then 'chapter' end], lambda x: x is not null), ',') as tag_list from tagged""")
 def p2_tag_list(spark: SparkSession, sf: str) -> DataFrame:
     return _tagged(spark, sf).select("book_id", "chapter_idx", F.array_join(chapters.tag_list(F.col("tags")), ",").alias("tag_list"))
 
@@ -90,16 +91,19 @@ def p8_selection_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _PARAS = f"with {X.CHAPTERS}, p as (select book_id, chapter_idx, unnest(paragraphs) as text, unnest(range(len(paragraphs))) as para_idx from fx1)"
-_BREAK = "regexp_matches(trim({0}), '^(\\s*|\\*[\\s*]*\\*|[-—]{{2,}}|#)$')"
+_BREAK = "regexp_matches({0}, '^\\s*((\\*\\s*){{2,}}|[-—]{{2,}}|#)?\\s*$')"
 
 
 def _paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     return X.chapters(spark, sf).select("book_id", "chapter_idx", F.posexplode("paragraphs").alias("para_idx", "text"))
 
 
-@query(f"{_PARAS} select book_id, chapter_idx, para_idx from p where {_BREAK.format('text')}")
+@query(f"""{_PARAS}, v as (select *, case para_idx % 4 when 0 then chr(9) || text || ' ' when 1 then replace(text, '*', '* ') when 2 then text || chr(10) else replace(text, '-', '—') end as shown from p)
+    select book_id, chapter_idx, para_idx from v where {_BREAK.format('shown')}""")
 def p9_scene_breaks(spark: SparkSession, sf: str) -> DataFrame:
-    return _paragraphs(spark, sf).filter(T.is_scene_break(F.col("text"))).select("book_id", "chapter_idx", "para_idx")
+    text, k = F.col("text"), F.col("para_idx") % 4
+    shown = F.when(k == 0, F.concat(F.lit("\t"), text, F.lit(" "))).when(k == 1, F.replace(text, F.lit("*"), F.lit("* "))).when(k == 2, F.concat(text, F.lit("\n"))).otherwise(F.replace(text, F.lit("-"), F.lit("\u2014")))
+    return _paragraphs(spark, sf).filter(T.is_scene_break(shown)).select("book_id", "chapter_idx", "para_idx")
 
 
 @query(f"""{_PARAS}, g as (select *, {_BREAK.format('text')} as b, sum({_BREAK.format('text')}::int) over (partition by book_id, chapter_idx order by para_idx) as island from p),
@@ -164,9 +168,10 @@ def a2_book_totals(spark: SparkSession, sf: str) -> DataFrame:
     return chapters.totals(chapters.with_tags(X.chapters(spark, sf)))
 
 
-@query("select doc_id, sha256(trim(regexp_replace(text, '[ \\t-\\r]+', ' ', 'g'))) as clean_sha256 from documents")
+@query(f"select doc_id, sha256(trim(regexp_replace(chr(160) || text || chr(8195) || chr(28) || 'end' || chr(11), '{X.SPACES}+', ' ', 'g'))) as clean_sha256 from documents")
 def f1_clean_text(spark: SparkSession, sf: str) -> DataFrame:
-    return X.table(spark, sf, "documents").select("doc_id", F.sha2(T.clean_text(F.col("text")), 256).alias("clean_sha256"))
+    text = F.concat(F.lit("\u00a0"), "text", F.lit("\u2003\x1cend\x0b"))
+    return X.table(spark, sf, "documents").select("doc_id", F.sha2(T.clean_text(text), 256).alias("clean_sha256"))
 
 
 @query("select page_id, regexp_replace(url, '[\\\\/*?:\"<>|]', '', 'g') as file_name from pages")
@@ -183,11 +188,11 @@ def _contraction_sql() -> str:
     return out
 
 
-@query(f"""with s as (select part.p_partkey, upper(substr(k, 1, 1)) as h, k, n_name from part join (select unnest({X.sql_list(tuple(T.CONTRACTIONS))}) as k) on true join nation on n_nationkey = p_partkey % 25 where p_partkey < 100),
+@query(f"""with s as (select part.p_partkey, upper(substr(k, 1, 1)) as h, k, n_name from part join (select unnest({X.sql_list(tuple(T.CONTRACTIONS))}) as k) on true join nation on n_nationkey = p_partkey % 25),
     t as (select p_partkey, k, n_name || ' ' || k || ' ' || upper(k) || ', ' || h || substr(k, 2) || '! ' || replace(k, '''', '’') as said from s)
     select p_partkey, k, {_contraction_sql()} as expanded from t""")
 def f3_contractions(spark: SparkSession, sf: str) -> DataFrame:
-    p = X.table(spark, sf, "part").filter("p_partkey < 100").select("p_partkey", F.explode(T.strings(tuple(T.CONTRACTIONS))).alias("k"))
+    p = X.table(spark, sf, "part").select("p_partkey", F.explode(T.strings(tuple(T.CONTRACTIONS))).alias("k"))
     rows = p.join(X.table(spark, sf, "nation"), F.col("n_nationkey") == F.col("p_partkey") % 25)
     k = F.col("k")
     said = F.concat("n_name", F.lit(" "), k, F.lit(" "), F.upper(k), F.lit(", "), F.upper(F.substring(k, 1, 1)), F.substring(k, 2, 99), F.lit("! "), F.replace(k, F.lit("'"), F.lit("’")))
@@ -220,10 +225,10 @@ def f14_hash(spark: SparkSession, sf: str) -> DataFrame:
     return X.table(spark, sf, "pages").select("page_id", T.book_hash(F.col("url"), F.concat(F.col("page_id").cast("string"), F.lit(".5"))).alias("book_id"))
 
 
-@query("""select s, case when s <= 0 then '—' when s >= 3600 then (s // 3600) || 'h ' || lpad(((s % 3600) // 60)::varchar, 2, '0') || 'm' when s >= 60 then (s // 60) || 'm ' || lpad((s % 60)::varchar, 2, '0') || 's' else s || 's' end as shown,
-    lpad((s // 3600)::varchar, 2, '0') || ':' || lpad(((s % 3600) // 60)::varchar, 2, '0') || ':' || lpad((s % 60)::varchar, 2, '0') as clock from (select distinct (o_totalprice / 3)::bigint as s from orders)""")
+@query("""select s, case when s <= 0 then '—' when s >= 3600 then (s // 3600) || 'h ' || ((s % 3600) // 60) || 'm' when s >= 60 then (s // 60) || 'm ' || (s % 60) || 's' else s || 's' end as shown,
+    lpad((s // 3600)::varchar, 2, '0') || ':' || lpad(((s % 3600) // 60)::varchar, 2, '0') || ':' || lpad((s % 60)::varchar, 2, '0') as clock from (select distinct (o_totalprice / 3)::bigint % (array[5, 70, 4000, 1000000])[o_orderkey % 4 + 1] as s from orders)""")
 def f15_eta(spark: SparkSession, sf: str) -> DataFrame:
-    s = F.rint(F.col("o_totalprice") / 3).cast("long")
+    s = F.rint(F.col("o_totalprice") / 3).cast("long") % F.get(F.array(*map(F.lit, (5, 70, 4000, 1000000))), (F.col("o_orderkey") % 4).cast("int"))
     return X.table(spark, sf, "orders").select(s.alias("s")).distinct().select("s", T.eta_text(F.col("s")).alias("shown"), T.clock(F.col("s")).alias("clock"))
 
 
@@ -346,10 +351,16 @@ def w15_frames(spark: SparkSession, sf: str) -> DataFrame:
     return X.table(spark, sf, "documents").select("doc_id", batching.frames_after_eos(F.col("text"), F.when(F.col("doc_id") % 3 == 0, 7)).alias("frames"))
 
 
-@query()
+@query(f"""with {X.CHAPTERS},
+    c as (select book_id, chapter_idx, paragraphs, list_filter(paragraphs, lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(13)) <> '') as full_, coalesce(list_sum(list_transform(paragraphs, lambda p: {X.WORDS.format("p")})), 0) as words from fx1),
+    l as (select *, greatest(1, len(full_) // 5) as size from c where words > 200),
+    p as (select book_id, chapter_idx, size, unnest(full_) as text, unnest(range(len(full_))) as i from l),
+    b as (select *, i // size as bucket, coalesce(sum({X.WORDS.format("text")}) over (partition by book_id, chapter_idx, i // size order by i rows between unbounded preceding and 1 preceding), 0) as before from p where i // size < 5),
+    j as (select book_id, chapter_idx, bucket, string_agg(text, chr(10) || chr(10) order by i) as text from b where before < 40 group by all),
+    s as (select book_id, chapter_idx, string_agg(text, chr(10) || chr(10) || '[...]' || chr(10) || chr(10) order by bucket) as text from j group by all)
+    select book_id, chapter_idx, sha256(text) as text_sha256 from s union all select book_id, chapter_idx, sha256(array_to_string(paragraphs, chr(10) || chr(10))) from c where words <= 200""")
 def w17_excerpts(spark: SparkSession, sf: str) -> DataFrame:
-    e = batching.excerpt(F.col("paragraphs"), 200)
-    return X.chapters(spark, sf).select("book_id", "chapter_idx", F.size(e).alias("n_paragraphs"), F.sha2(F.array_join(e, "\n"), 256).alias("text_sha256"))
+    return X.chapters(spark, sf).select("book_id", "chapter_idx", F.sha2(batching.excerpt(F.col("paragraphs"), 200), 256).alias("text_sha256"))
 
 
 _SPEAKER_GROUPS = (("Ann Archer", ("Ann Archer", "Ann", "Mr. Archer")), ("Bob Baker", ("Bob Baker", "Bob")), ("Cy Cole", ("Cy Cole", "Dr. Cole")), ("Dee Dunn", ("Dee Dunn", "Dee")), ("Eve", ("Eve",)), ("Finn Fox", ("Finn Fox", "Fox")))
@@ -374,10 +385,23 @@ def a4_quote_counts(spark: SparkSession, sf: str) -> DataFrame:
     return attribution.quote_counts(_attributed(spark, sf)[2])
 
 
-@query()
+_HITS = "string_split_regex(text, pattern) as gaps, regexp_extract_all(text, pattern) as hits"
+
+
+@query(f"""with {X.DIALOGUE}, {_ALIASES},
+    t as (select book_id, chapter_idx, string_agg(text || ' She said so to him; they left.', ' ' order by para_idx) as text from fx2 group by all),
+    pt as (select canonical, '(?i)\\b(?:' || string_agg(replace(alias, '.', '\\.'), '|' order by length(alias) desc, alias) || ')\\b' as pattern from al group by canonical),
+    m as (select book_id, canonical, text, {_HITS} from t, pt),
+    i as (select *, unnest(range(1, len(hits) + 1)) as i from m),
+    e as (select *, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::bigint as p0 from i),
+    w as (select book_id, canonical, substr(text, greatest(0, p0 - 300) + 1, p0 + length(hits[i]) + 300 - greatest(0, p0 - 300)) as win from e),
+    n as (select book_id, canonical, len(regexp_extract_all(win, '(?i)\\b(he|him|his)\\b')) as he, len(regexp_extract_all(win, '(?i)\\b(she|her|hers)\\b')) as she, len(regexp_extract_all(win, '(?i)\\b(they|them|their|theirs)\\b')) as they from w),
+    s as (select b.book_id, c.canonical, coalesce(sum(he), 0)::bigint as he, coalesce(sum(she), 0)::bigint as she, coalesce(sum(they), 0)::bigint as they
+          from (select unnest(range(5)) as book_id) b cross join (select distinct canonical from al) c left join n on n.book_id = b.book_id and n.canonical = c.canonical group by all)
+    select *, case when she > he and she > they then 'she/her' when he > she and he > they then 'he/him' when they > 0 and they >= he and they >= she then 'they/them' else '' end as pronoun from s""")
 def a5_gender(spark: SparkSession, sf: str) -> DataFrame:
     people = _aliases(spark).groupBy("book_id", "canonical").agg(F.collect_list("alias").alias("aliases"))
-    texts = X.dialogue(spark, sf).select("book_id", F.concat("text", F.lit(" She said so to him; they left.")).alias("text"))
+    texts = roster.joined(X.dialogue(spark, sf).withColumn("text", F.concat("text", F.lit(" She said so to him; they left."))))
     return roster.infer_pronouns(people, texts)
 
 
@@ -393,9 +417,17 @@ def c1_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return roster.cluster_names(X.names(spark, sf))
 
 
-@query()
+@query(f"""with raw as (select distinct doc_id // {X.BOOK} as book_id, unnest(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7f\\pP\\pS\\pZ\\pC]', '0', 'g'), '\\b([A-Z][a-z]+(?: [A-Z][a-z]+){{0,3}})\\b')) as name from documents),
+    n as (select book_id, name, list_transform(string_split(name, ' '), lambda x: lower(x)) as w from raw),
+    o as (select book_id, name, row_number() over (partition by book_id order by len(w) desc, length(name) desc, name) - 1 as ord, {_SIG.format("name")} as sig from n
+          where w[1] not in {T.PHRASE_STARTERS} and not (len(w) = 1 and w[1] in {T.COMMON_NOUNS}) and not list_has_any(w, {list(T.RELATIVE_WORDS)})),
+    x as (select book_id, name, ord, sig, unnest(list_distinct(sig)) as k from o),
+    f as (select a.book_id, a.name, arg_min(c.name, c.ord) as owner, min(c.ord) as owner_ord from o a join x c on c.book_id = a.book_id and c.k = a.sig[1]
+          where len(a.sig) > 0 and len(a.sig) < len(list_distinct(c.sig)) and list_has_all(c.sig, a.sig) group by all),
+    g as (select o.*, coalesce(owner, o.name) as canonical from o left join f using (book_id, name))
+    select book_id, canonical, string_agg(name, '|' order by ord) as aliases from g group by book_id, canonical""")
 def c3_roster(spark: SparkSession, sf: str) -> DataFrame:
-    texts = X.table(spark, sf, "documents").select(F.col("source").alias("book_id"), "text")
+    texts = X.table(spark, sf, "documents").select(F.floor(F.col("doc_id") / X.BOOK).alias("book_id"), "text")
     out = roster.roster(roster.cluster_names(roster.extract_names(texts)))
     return out.select("book_id", "canonical", F.array_join("aliases", "|").alias("aliases"))
 
@@ -440,23 +472,65 @@ def j7_normalise(spark: SparkSession, sf: str) -> DataFrame:
     return attribution.normalize_speakers(said, aliases, names)
 
 
-@query(f"""{_QUOTES}, k as (select *, quote_id // 2 as chunk_idx, case when kind = 'dialogue' then speaker else 'Unknown' end as who from quotes),
+@query(f"""{_QUOTES}, k as (select *, quote_id // 5 as chunk_idx, case when kind = 'dialogue' then speaker else 'Unknown' end as who from quotes),
     l as (select a.book_id, a.chapter_idx, a.chunk_idx, b.who, b.quote_id, row_number() over (partition by a.book_id, a.chapter_idx, a.chunk_idx order by b.quote_id desc) as back
-          from (select distinct book_id, chapter_idx, chunk_idx from k) a left join k b on b.book_id = a.book_id and b.chapter_idx = a.chapter_idx and b.chunk_idx < a.chunk_idx)
+          from (select distinct book_id, chapter_idx, chunk_idx from k) a left join k b on b.book_id = a.book_id and b.chapter_idx = a.chapter_idx and b.chunk_idx = a.chunk_idx - 1)
     select book_id, chapter_idx, chunk_idx, coalesce(string_agg(who, '|' order by quote_id) filter (where back <= 4 and who <> 'Unknown'), '') as carried from l group by all""")
 def w10_carried_speakers(spark: SparkSession, sf: str) -> DataFrame:
-    said = _attributed(spark, sf)[2].withColumn("chunk_idx", F.floor(F.col("quote_id") / 2).cast("int"))
+    said = _attributed(spark, sf)[2].withColumn("chunk_idx", F.floor(F.col("quote_id") / 5).cast("int"))
     return attribution.carried_speakers(said).withColumn("carried", F.array_join("carried", "|"))
 
 
-@query()
-def c12_attribute(spark: SparkSession, sf: str) -> DataFrame:
+def _chunk_sql(source: str, target: int, overlap: int) -> str:
+    """r: chunks [s, e) of the paragraphs of `source`."""
+    return f"""
+    cc as (select book_id, chapter_idx, paragraphs, list_transform(paragraphs, lambda p: {X.WORDS.format("p")}) as counts from {source}),
+    cs as (select *, len(counts) as n, list_transform(range(len(counts) + 1), lambda i: coalesce(list_sum(counts[1:i]), 0)) as sums from cc),
+    r(book_id, chapter_idx, chunk_idx, s, e) as (
+        select book_id, chapter_idx, 0, 0::bigint, coalesce(list_min(list_filter(range(1, n + 1), lambda x: sums[x + 1] - sums[1] >= {target})), n) from cs
+        union all
+        select book_id, chapter_idx, chunk_idx + 1, f, coalesce(list_min(list_filter(range(f + 1, n + 1), lambda x: sums[x + 1] - sums[f + 1] >= {target})), n)
+        from (select r.*, cs.n, cs.sums, case when r.e = r.s + 1 then r.e else coalesce(list_max(list_filter(range(r.s + 1, r.e), lambda k: cs.sums[r.e + 1] - cs.sums[k + 1] >= {overlap})), r.s + 1) end as f
+              from r join cs using (book_id, chapter_idx) where r.e < cs.n)
+    )"""
+
+
+_DIALOGUE_CHUNKS = _QUOTES.replace("with ", "with recursive ", 1) + ", dc as (select book_id, chapter_idx, list(text order by para_idx) as paragraphs from fx2 group by all)," + _chunk_sql("dc", 60, 15)
+
+
+def _dialogue_chunks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Overlapping chunks of dialogues, and the quotes in each."""
     d = X.dialogue(spark, sf)
-    q = quotes.extract_quotes(d)
-    texts = d.groupBy("book_id", "chapter_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_idx", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
-    asked = q.groupBy("book_id", "chapter_idx").agg(F.array_sort(F.collect_list(F.struct("quote_id", "text"))).alias("quotes"))
-    chunked = texts.join(asked, ["book_id", "chapter_idx"]).select("book_id", "chapter_idx", F.lit(0).alias("chunk_idx"), "text", T.strings(X.SPEAKERS).alias("names"), "quotes")
-    return attribution.attribute(chunked)
+    order = F.transform(F.array_sort(F.collect_list(F.struct("para_idx", "text"))), lambda p: p["text"])
+    chunked = batching.chunks(d.groupBy("book_id", "chapter_idx").agg(order.alias("paragraphs")), 60, 15)
+    return chunked, batching.chunk_quotes(chunked.drop("text"), quotes.extract_quotes(d))
+
+
+@query(f"{_DIALOGUE_CHUNKS} select r.book_id, r.chapter_idx, chunk_idx, quote_id from r join quotes q on q.book_id = r.book_id and q.chapter_idx = r.chapter_idx and q.para_idx >= s and q.para_idx < e")
+def j3_chunk_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    return _dialogue_chunks(spark, sf)[1].select("book_id", "chapter_idx", "chunk_idx", "quote_id")
+
+
+def _first_name(prompt: str) -> str:
+    """A reviewer that gives every quote to the first name, surer than no answer and less sure than nearest_name()."""
+    task = json.loads(prompt)
+    return json.dumps([{"quote_id": q["quote_id"], "speaker": task["names"][0], "emotion": "sad", "confidence": 2} for q in task["quotes"]])
+
+
+@query(f"""{_DIALOGUE_CHUNKS},
+    ct as (select r.book_id, r.chapter_idx, chunk_idx, s, e, array_to_string(paragraphs[s + 1:e], chr(10) || chr(10)) as passage from r join dc using (book_id, chapter_idx)),
+    q as (select c.book_id, c.chapter_idx, c.chunk_idx, q.quote_id, q.text, passage, strpos(passage, q.text) - 1 as p0 from ct c join quotes q on q.book_id = c.book_id and q.chapter_idx = c.chapter_idx and q.para_idx >= s and q.para_idx < e),
+    k as (select q.*, unnest({X.sql_list(X.SPEAKERS)}) as name, unnest(range({len(X.SPEAKERS)})) as i from q),
+    h as (select *, greatest(0, p0 - 200) as low from k where p0 >= 0 and contains(substr(passage, greatest(0, p0 - 200) + 1, p0 + length(text) + 200 - greatest(0, p0 - 200)), name)),
+    b as (select book_id, chapter_idx, chunk_idx, quote_id, name, row_number() over (partition by book_id, chapter_idx, chunk_idx, quote_id order by abs(low + strpos(substr(passage, low + 1), name) - 1 - p0), i) as k from h),
+    a as (select q.book_id, q.chapter_idx, q.quote_id, q.chunk_idx, b.name from q left join b on b.book_id = q.book_id and b.chapter_idx = q.chapter_idx and b.chunk_idx = q.chunk_idx and b.quote_id = q.quote_id and b.k = 1),
+    l as (select book_id, chapter_idx, quote_id, max(chunk_idx) as chunk_idx from a group by all)
+    select book_id, chapter_idx, quote_id, coalesce(name, '{X.SPEAKERS[0]}') as speaker, case when name is null then 'sad' else 'neutral' end as emotion, case when name is null then 2 else 3 end as confidence from a join l using (book_id, chapter_idx, quote_id, chunk_idx)""")
+def c12_attribute(spark: SparkSession, sf: str) -> DataFrame:
+    chunked, asked = _dialogue_chunks(spark, sf)
+    asked = asked.groupBy("book_id", "chapter_idx", "chunk_idx").agg(F.array_sort(F.collect_list(F.struct("quote_id", "text"))).alias("quotes"))
+    rows = chunked.join(asked, ["book_id", "chapter_idx", "chunk_idx"]).select("book_id", "chapter_idx", "chunk_idx", "text", T.strings(X.SPEAKERS).alias("names"), "quotes")
+    return attribution.last_chunk_wins(attribution.attribute(rows, threshold=2, reviewer=_first_name))
 
 
 _SERIES = f"""
@@ -476,9 +550,9 @@ _SERIES = f"""
 def _series(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     p = X.table(spark, sf, "part").select(F.initcap("p_name").alias("n")).distinct().select(F.substring_index("n", " ", 1).alias("a"), F.substring_index("n", " ", -1).alias("b"))
     people = p.select(F.lit("s").alias("series"), F.concat_ws(" ", "a", "b").alias("character_id"), F.array(F.concat(F.substring("a", 1, 3), F.lit(". "), "b")).alias("aliases"))
-    words = p.select("b").distinct()
+    words = p.select(F.lit("s").alias("series"), "b").distinct()  # one series of a few dozen names
     entries = words.select(
-        F.lit("s").alias("series"), (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("b")) - 1).alias("char_ord"), F.col("b").alias("canonical"), F.array(F.concat(F.lit("Old "), "b")).alias("aliases"),
+        "series", (F.row_number().over(Window.partitionBy("series").orderBy("b")) - 1).alias("char_ord"), F.col("b").alias("canonical"), F.array(F.concat(F.lit("Old "), "b")).alias("aliases"),
         F.when(F.length("b") % 2 == 0, "").otherwise(F.concat(F.lit("voice-"), "b")).alias("voice"),
     )
     return people, entries
@@ -489,18 +563,34 @@ def j9_series_match(spark: SparkSession, sf: str) -> DataFrame:
     return series.match_series(*_series(spark, sf))
 
 
-@query(f"""{_SERIES},
-    cast_ as (select character_id, na, row_number() over (order by character_id) - 1 as ord from ch),
-    known as (select distinct character_id from best where score >= 0.7)
-    select canonical, 'Old ' || canonical || case when canonical = 'Bolt' then '|Bolty' else '' end as aliases, case when canonical = 'Bolt' then 'new' else voice end as voice from en
-    union all select character_id, upper(substr(na[2], 1, 1)) || substr(na[2], 2, 4) || upper(substr(na[2], 6, 1)) || substr(na[2], 7), 'v' from ch where character_id not in (select character_id from known)""")
+@query(f"""with recursive {_SERIES.split("with ", 1)[1]},
+    known as (select distinct character_id from sc where score >= 0.7 and (length(canonical) % 2 = 1 or canonical = 'Bolt')),
+    own as (select character_id as name, na, 0 as twin, (row_number() over (order by character_id)) * 2 as ord from ch
+            union all select 'Twin ' || character_id, [lower('Twin ' || character_id), lower(character_id)], 1, (row_number() over (order by character_id)) * 2 + 1 from ch),
+    cand as (select *, row_number() over (order by ord) as k, case when twin = 0 then name else substr(name, 6) end in (select character_id from known) as old from own
+             where not (twin = 0 and ord % 6 = 0)),
+    cw as (select k, unnest(na) as x from cand),
+    pr2 as (select a.k as k, b.k as l, a.x, b.x as y, list_distinct(string_split(a.x, ' ')) as xs, list_distinct(string_split(b.x, ' ')) as ys from cw a, cw b where b.k < a.k),
+    fr as (select k, l from (select k, l, x, y, case when len(xs) <= len(ys) then xs else ys end as short, case when len(xs) <= len(ys) then ys else xs end as long from pr2)
+           group by all having max(case when x = y then 1.0 else len(list_filter(short, lambda w: list_contains(long, w) or (length(w) >= 3 and len(list_filter(long, lambda v: starts_with(v, w))) > 0))) / len(short) end) >= 0.7),
+    fl as materialized (select cand.*, coalesce((select list(l) from fr where fr.k = cand.k), []) as friends from cand),
+    st(k, added) as (select 0::bigint, []::bigint[] union all select st.k + 1, case when fl.old or list_has_any(added, friends) then added else list_append(added, fl.k) end from st join fl on fl.k = st.k + 1),
+    fin as (select unnest(added) as k from st order by len(added) desc, st.k desc limit (select max(len(added)) from st))
+    select canonical, 'Old ' || canonical || case when canonical = 'Bolt' then '|Bolty' else '' end as aliases, case when canonical = 'Bolt' then 'new' else voice end as voice from en where length(canonical) % 2 = 1 or canonical = 'Bolt'
+    union all select name, case when twin = 0 then upper(substr(na[2], 1, 1)) || substr(na[2], 2, 4) || upper(substr(na[2], 6, 1)) || substr(na[2], 7) else substr(name, 6) end, 'v' from cand join fin using (k)""")
 def j12_series_upsert(spark: SparkSession, sf: str) -> DataFrame:
     people, entries = _series(spark, sf)
-    free = people.withColumn("voice", F.lit("v")).withColumn("pinned", F.lit(False)).withColumn("ord", F.row_number().over(Window.partitionBy("series").orderBy("character_id")) - 1)
-    pinned = people.limit(0).select("series", "character_id", "aliases").unionByName(
-        spark.range(1).select(F.lit("s").alias("series"), F.lit("Bolt").alias("character_id"), F.array(F.lit("OLD BOLT"), F.lit("Bolty")).alias("aliases"))
-    ).withColumn("voice", F.lit("new")).withColumn("pinned", F.lit(True)).withColumn("ord", F.lit(0))
-    out = series.upsert_series(entries, free.unionByName(pinned))
+    entries = entries.filter("length(canonical) % 2 = 1 or canonical = 'Bolt'")  # the others are new
+    place = F.row_number().over(Window.partitionBy("series").orderBy("character_id")) * 2
+    # each newcomer has a twin that comes after it and is known by its name; some have no voice, so that the twin is the new one
+    free = people.withColumn("ord", place).withColumn("voice", F.when(F.col("ord") % 6 == 0, "").otherwise("v"))
+    twins = free.select("series", F.concat(F.lit("Twin "), "character_id").alias("character_id"), F.array("character_id").alias("aliases"), F.col("ord") + 1, F.lit("v").alias("voice"))
+    cast = free.unionByName(twins.withColumnRenamed("(ord + 1)", "ord")).withColumn("pinned", F.lit(False))
+    pinned = spark.range(2).select(
+        F.lit("s").alias("series"), F.when(F.col("id") == 0, "bOLT").otherwise("Nobody").alias("character_id"), F.array(F.lit("OLD BOLT"), F.lit("Bolty")).alias("aliases"), F.lit(1 << 30).alias("ord"),
+        F.lit("new").alias("voice"), F.lit(True).alias("pinned"),
+    )
+    out = series.upsert_series(entries, cast.unionByName(pinned))
     return out.select("canonical", F.array_join("aliases", "|").alias("aliases"), "voice")
 
 
@@ -510,14 +600,16 @@ def j12_series_upsert(spark: SparkSession, sf: str) -> DataFrame:
 def j13_cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
     said = _attributed(spark, sf)[1].join(X.dialogue(spark, sf).select("book_id", "chapter_idx", "speaker").distinct(), ["book_id", "chapter_idx"])
     heard = said.select("book_id", (F.col("chapter_idx") % 4).alias("chapter_idx"), "speaker").distinct()
+    heard = heard.unionByName(heard.withColumn("speaker", F.explode(F.array(F.lit("NARRATOR"), F.lit("Unknown")))))
     cast = heard.select("book_id", F.col("speaker").alias("character_id")).distinct().withColumn("voice", F.concat(F.lit("v"), F.length("character_id") % 3))
     return voices.cooccurrence(heard, cast)
 
 
-@query(f"with {X.CHARACTERS} select book_id, character_id, 'v' || ord % 7 as voice, case when ord % 2 = 0 then pronoun else '' end as pronoun, case when ord % 2 = 0 then prominence else 0 end as prominence from fx4 where ord % 3 = 0")
+@query(f"with {X.CHARACTERS} select book_id, character_id, 'v' || ord % 7 as voice, case when ord % 2 = 0 then pronoun else '' end as pronoun, case when ord % 2 = 0 then prominence else 0 end as prominence from fx4")
 def j14_cast_report(spark: SparkSession, sf: str) -> DataFrame:
     c = X.characters(spark, sf)
-    cast = c.filter("ord % 3 = 0").select("book_id", "character_id", F.concat(F.lit("v"), F.col("ord") % 7).alias("voice"))
+    cast = c.select("book_id", "character_id", F.concat(F.lit("v"), F.col("ord") % 7).alias("voice"))
+    # half of the characters are known
     return voices.cast_report(cast, c.filter("ord % 2 = 0"))
 
 
@@ -544,13 +636,18 @@ def j18_merge_casts(spark: SparkSession, sf: str) -> DataFrame:
     return voices.merge_casts(some(2, "auto"), some(3, "old"), narrator)
 
 
+def _builtin(spark: SparkSession, sf: str) -> DataFrame:
+    """Builtin voices with a gender, one for each name and gender; names are few, however many files there are."""
+    v = _voices(spark, sf).filter("source = 'builtin' and gender is not null")
+    return v.groupBy(F.concat_ws("-", "name", F.substring("gender", 1, 1)).alias("name"), "gender").agg(F.min("voice_ord").alias("voice_ord"))
+
+
 def _pools(spark: SparkSession, sf: str) -> DataFrame:
-    v = _voices(spark, sf).filter("source = 'builtin' and gender is not null and voice_ord < 60")
-    return voices.pools(v.withColumn("name", F.concat_ws("-", "name", "voice_ord")), "none")
+    return voices.pools(_builtin(spark, sf), "none")
 
 
-_POOLS = f"""{X.VOICES}, pv as (select voice_ord, name || '-' || voice_ord as name, gender from voices where source = 'builtin' and gender is not null and voice_ord < 60),
-    mp as (select list(name order by voice_ord) as mn from pv where gender = 'Male'), fp as (select list(name order by voice_ord) as fn from pv where gender = 'Female')"""
+_POOLS = f"""{X.VOICES}, pv as (select min(voice_ord) as voice_ord, name || '-' || substr(gender, 1, 1) as name, gender from voices where source = 'builtin' and gender is not null group by 2, 3),
+    mp as (select list(name order by voice_ord, name) as mn from pv where gender = 'Male'), fp as (select list(name order by voice_ord, name) as fn from pv where gender = 'Female')"""
 
 
 @query(f"""with recursive {X.CHARACTERS}, {_POOLS},
@@ -576,20 +673,38 @@ def w12_pools(spark: SparkSession, sf: str) -> DataFrame:
     return _pools(spark, sf).select(F.array_join("male", "|").alias("male"), F.array_join("female", "|").alias("female"))
 
 
-@query()
+_CONFLICTS = f"""with {X.CHARACTERS}, {_POOLS},
+    c as (select *, ord % 4 as chapter_idx, 'v' || ord % 3 as voice, pronoun = 'he/him' as male from fx4),
+    o as (select *, row_number() over (partition by book_id, chapter_idx, voice order by prominence desc, ord) as k, first_value(character_id) over (partition by book_id, chapter_idx, voice order by prominence desc, ord) as first_,
+                 min(-prominence * 1e9 + ord) over (partition by book_id, chapter_idx, voice) as vo from c),
+    d as (select *, row_number() over (partition by book_id, chapter_idx, male order by vo, prominence desc, ord) as draw from o where k > 1),
+    z as (select o.book_id, o.chapter_idx, o.character_id, o.voice, o.first_, d.draw is not null as moved, case when o.male then list_filter(mn, lambda v: v <> mn[2])[d.draw] else list_filter(fn, lambda v: v <> mn[2])[d.draw] end as new
+          from o left join d using (book_id, chapter_idx, character_id), mp, fp)
+"""
+
+
+def _conflicts(spark: SparkSession, sf: str) -> tuple:
+    """Three voices for all, in four scenes; the narrator has the second male voice."""
+    c, pool = X.characters(spark, sf), _pools(spark, sf)
+    cast = c.select("book_id", "character_id", F.concat(F.lit("v"), F.col("ord") % 3).alias("voice"))
+    return cast, c.select("book_id", (F.col("ord") % 4).alias("chapter_idx"), "character_id"), c, pool, pool.first()["male"][1]
+
+
+@query(f"{_CONFLICTS} select book_id, character_id, coalesce(new, voice) as voice from z")
 def w13_conflicts(spark: SparkSession, sf: str) -> DataFrame:
-    c = X.characters(spark, sf)
-    pool = _pools(spark, sf)
-    cast = voices.suggest_cast(c, pool, "none")
-    together = c.select("book_id", (F.col("ord") % 20).alias("chapter_idx"), "character_id")
-    return voices.resolve_conflicts(cast, together, c, pool, "none")
+    return voices.resolve_conflicts(*_conflicts(spark, sf))
+
+
+@query(f"{_CONFLICTS} select book_id, chapter_idx, voice, character_id, first_ as other from z where moved and new is null")
+def w13_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    return voices.conflict_warnings(*_conflicts(spark, sf))
 
 
 @query(f"""with {X.CHARACTERS}, {_POOLS}, t as (select book_id, case pronoun when 'he/him' then 'm' else 'f' end as g, row_number() over (partition by book_id order by prominence desc, ord) as r from fx4 where pronoun in ('he/him', 'she/her'))
-    select b.book_id, case when g = 'f' then fn[1] else mn[1] end as voice from (select distinct book_id from fx4) b left join t on t.book_id = b.book_id and r = 1, mp, fp""")
+    select b.book_id, coalesce(case when g = 'f' then (case when one = fn[1] then fn[2] else fn[1] end) end, case when one = mn[1] then mn[2] else mn[1] end, 'none') as voice from (select arg_min(name, voice_ord) as one from pv), (select distinct book_id from fx4) b left join t on t.book_id = b.book_id and r = 1, mp, fp""")
 def a10_dominant_voice(spark: SparkSession, sf: str) -> DataFrame:
-    v = _voices(spark, sf).filter("source = 'builtin' and gender is not null and voice_ord < 60").withColumn("name", F.concat_ws("-", "name", "voice_ord"))
-    return voices.dominant_voice(X.characters(spark, sf), v, "none")
+    v = _builtin(spark, sf)
+    return voices.dominant_voice(X.characters(spark, sf), v, "none", v.agg(F.min_by("name", "voice_ord")).first())
 
 
 @query(f"""with {X.CHARACTERS}, c as (select book_id, character_id from fx4 union all select distinct book_id, 'NARRATOR' from fx4)
@@ -629,11 +744,15 @@ def a14_rate(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("l_orderkey", F.round(F.when(F.col("n") < 2, 0.0).otherwise(jobs.rate(F.col("n"), F.col("done"), rates)), 6).alias("rate"))
 
 
-@query("select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x)) / len(embedding)), 6) as rms, round(greatest(-24, least(24, 20 * log10(0.1 / sqrt(list_sum(list_transform(embedding, lambda x: x::double * x)) / len(embedding))))), 4) as gain_db from embeddings")
+_RMS = "sqrt(list_sum(list_transform(e, lambda x: x::double * x)) / len(e))"
+
+
+@query(f"""select vec_id, round({_RMS}, 6) as rms, case when {_RMS} < 1e-8 then 0 else round(greatest(-24, least(24, 20 * log10(0.1 / {_RMS}))), 4) end as gain_db
+    from (select vec_id, case when vec_id % 7 = 0 then list_transform(embedding, lambda x: 0::float) else embedding end as e from embeddings)""")
 def a15_rms(spark: SparkSession, sf: str) -> DataFrame:
-    sums = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    rms = F.sqrt(sums / F.size("embedding"))
-    return X.table(spark, sf, "embeddings").select("vec_id", F.round(rms, 6).alias("rms"), F.round(F.greatest(F.lit(-24.0), F.least(F.lit(24.0), 20 * F.log10(0.1 / rms))), 4).alias("gain_db"))
+    samples = F.when(F.col("vec_id") % 7 == 0, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("embedding"))
+    level = batching.rms(samples)
+    return X.table(spark, sf, "embeddings").select("vec_id", F.round(level, 6).alias("rms"), F.round(batching.gain_db(level), 4).alias("gain_db"))
 
 
 def _html_sql() -> str:

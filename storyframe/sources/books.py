@@ -1,4 +1,4 @@
-"""Ebook files as tables: discovery, a registry of formats, and readers for EPUB, FB2 and unpacked MOBI HTML.
+"""Ebook files as tables: discovery, a registry of formats, and readers for EPUB, FB2, MOBI and single HTML files.
 
 Files are read by Spark's binaryFile source, so any store that Spark reads will do; parsing runs in mapInPandas, one
 file at a time. Metadata queries leave out `content`.
@@ -11,17 +11,19 @@ import io
 import posixpath
 import re
 import zipfile
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyframe.sources.html import parse
+from storyframe.sources.html import Node, parse, prose, tree
 
 MAX_DEPTH, LEAST_CHARS, COVER_BYTES = 10, 50, 5000
+_IMAGES = (".jpg", ".jpeg", ".png")
 BOOKS = "book_id string, path string, mtime string, format string, title string, author string, language string, publisher string, description string, cover binary, error string"
 TOC = "book_id string, toc_idx int, title string, href string, anchor string, level int"
 CHAPTERS = "book_id string, chapter_idx int, toc_idx int, title string, paragraphs array<string>"
@@ -225,7 +227,12 @@ def split_by_headings(paragraphs: list[tuple[str, str]]) -> list[dict]:
     return out
 
 
-def _chapters(toc: list[dict], documents: dict[str, dict]) -> list[dict]:
+def _repeats(title: str, text: str) -> bool:
+    """Whether a first paragraph (of its first 50 characters) is the end of the title."""
+    return bool(title) and title.lower().endswith(text.lower()[:50])
+
+
+def _chapters(toc: list[dict], documents: dict[str, Node]) -> list[dict]:
     """Entries of a file are cut at their anchors in order of place; entries without text stay, short texts go."""
     out = []
     by_file: dict[str, list[int]] = {}
@@ -235,12 +242,13 @@ def _chapters(toc: list[dict], documents: dict[str, dict]) -> list[dict]:
         doc = documents.get(href)
         if doc is None:
             continue
-        places = sorted((doc["anchors"].get(toc[i]["anchor"], 0) if len(entries) > 1 else 0, i) for i in entries)
+        place = {n.id: n.order for n in doc.walk() if n.id}
+        places = sorted((place.get(toc[i]["anchor"], 0) if len(entries) > 1 else 0, i) for i in entries)
         for n, (begin, i) in enumerate(places):
-            end = places[n + 1][0] if n + 1 < len(places) else len(doc["paragraphs"])
-            texts = [t for _, t in doc["paragraphs"][begin:end]]
+            end = places[n + 1][0] if n + 1 < len(places) else float("inf")
+            texts = prose(doc, begin, end) if end > begin else []
             title = toc[i]["title"]
-            if texts and title and title.lower().endswith(texts[0].lower()):
+            if texts and _repeats(title, texts[0]):
                 texts = texts[1:]
             if not texts or sum(map(len, texts)) >= LEAST_CHARS:
                 out.append({"toc_idx": i, "title": title, "paragraphs": texts})
@@ -267,11 +275,11 @@ def read_epub(path: str, content: bytes) -> Book:
             for t in toc:
                 t["href"] = posixpath.normpath(posixpath.join(posixpath.dirname(toc_file), t["href"]))
         wanted = [f for f in dict.fromkeys([*(t["href"] for t in toc), *([] if toc else spine)]) if f in names]
-        documents = {f: parse(z.read(f).decode("utf-8", "replace")) for f in wanted}
-        chapters = _chapters(toc, documents) if toc else split_by_headings([p for d in documents.values() for p in d["paragraphs"]])
+        texts = {f: z.read(f).decode("utf-8", "replace") for f in wanted}
+        chapters = _chapters(toc, {f: tree(t) for f, t in texts.items()}) if toc else split_by_headings([p for t in texts.values() for p in parse(t)["paragraphs"]])
         cover_id = next((x.get("content") for x in _all(opf, "meta") if x.get("name") == "cover"), None)
         cover = next((x.get("href") for x in (items.get(cover_id), *(i for i in items.values() if "cover-image" in (i.get("properties") or ""))) if x is not None), None)
-        cover = full(cover) if cover else next((n for n in sorted(names) if re.search(r"cover.*\.(jpe?g|png|gif|webp)$", n, re.IGNORECASE)), None)
+        cover = full(cover) if cover else next((n for n in sorted(names) if "cover" in n.lower() and n.lower().endswith(_IMAGES)), None)
         return {
             "meta": {"title": field("title"), "author": field("creator"), "language": field("language"), "publisher": field("publisher"), "description": field("description")},
             "toc": toc,
@@ -282,8 +290,10 @@ def read_epub(path: str, content: bytes) -> Book:
 
 @register(".fb2", ".fb2.zip")
 def read_fb2(path: str, content: bytes) -> Book:
+    cover = None
     if content[:2] == b"PK":
         with zipfile.ZipFile(io.BytesIO(content)) as z:
+            cover = next((z.read(n) for n in z.namelist() if "cover" in n.lower() and n.lower().endswith(_IMAGES)), None)
             content = z.read(next(n for n in z.namelist() if n.lower().endswith(".fb2")))
     root = ElementTree.fromstring(content)
     info = next(iter(_all(root, "title-info")), root)
@@ -315,10 +325,20 @@ def read_fb2(path: str, content: bytes) -> Book:
         "meta": {"title": one(info, "book-title"), "author": ", ".join(filter(None, authors)) or None, "language": one(info, "lang"), "publisher": one(root, "publisher"), "description": "\n".join(notes) or None},
         "toc": toc,
         "chapters": chapters,
-        "cover": None,
+        "cover": cover,
     }
 
 
+def sidecar_covers(books: DataFrame, images: DataFrame) -> DataFrame:
+    """Covers (path, image_path) of books(path) that lie beside them among images(path): name-cover.jpg or cover.jpg, then .jpeg, then .png."""
+    folder, name = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1), F.regexp_extract("path", r"([^/]*)$", 1)
+    mine = books.select("path", folder.alias("folder"), F.regexp_replace(name, r"(?i)(\.fb2)?\.[^.]*$", "").alias("stem")).distinct()
+    ends = F.array(*[F.struct(F.lit(2 * i + own).alias("rank"), F.concat(F.col("stem") if not own else F.lit(""), F.lit(f"{'' if own else '-'}cover{e}")).alias("image")) for i, e in enumerate(_IMAGES) for own in (0, 1)])
+    wanted = mine.select("path", "folder", F.explode(ends).alias("w")).select("path", "folder", "w.rank", F.col("w.image").alias("image"))
+    found = images.select(F.col("path").alias("image_path"), folder.alias("folder"), name.alias("image"))
+    return wanted.join(found, ["folder", "image"]).groupBy("path").agg(F.min_by("image_path", "rank").alias("image_path"))
+
+
 @register(".html", ".htm", ".xhtml")
 def read_html(path: str, content: bytes) -> Book:
     """An unpacked MOBI part: superscripts and footers stay, chapters are found by headings."""
@@ -331,18 +351,219 @@ def read_html(path: str, content: bytes) -> Book:
     return {"meta": {"title": doc["title"], "author": m.get("author") or m.get("creator") or m.get("dc.creator"), "language": m.get("language")}, "toc": toc, "chapters": chapters, "cover": None}
 
 
+# Parts of file names that are no chapters, by what asks.
+_NO_CHAPTERS = ("cover", "copyright", "toc", "nav", "title", "dedication", "acknowledg")
+_NO_TEXT = ("cover", "copyright", "toc", "nav", "titlepage", "dedication")
+# Headings of a text without contents.
+_VOLUME = re.compile(r"^(volume|part)\s+[ivxlcdm\d]+", re.IGNORECASE)
+_BOOK = re.compile(r"^book\s+(?:the\s+)?(?:[ivxlcdm\d]+|[a-z]+)", re.IGNORECASE)
+_CHAPTER = re.compile(r"^(chapter\s+[ivxlcdm\d]+|(?=[IVXLCDM]+\.)[IVXLCDM]+)([.\-\u2014\s:]+)(.*)$", re.IGNORECASE)
+
+
+def parts_toc(parts: list[tuple[str, str]]) -> list[dict]:
+    """Contents of an unpacked book: the links of its first toc file that has any, else the names of its files as titles."""
+    for name, html in parts:
+        if "toc" in name.lower():
+            links = [(c.id, " ".join("".join(c.texts(0, float("inf"), False)).split())) for c in tree(_HREF_AS_ID.sub(r"<a id=", html), ()).walk() if c.tag == "a" and c.id]
+            if found := [_entry(title, href, 0) for href, title in links if title]:
+                return found
+    out = []
+    for name, _ in parts:
+        stem = posixpath.splitext(posixpath.basename(name))[0]
+        title = re.sub(r"^[0-9]+\.?", "", stem).replace("_", " ").replace("-", " ").strip()
+        if title and not any(x in stem.lower() for x in _NO_CHAPTERS):
+            out.append({"title": title.title(), "href": name, "anchor": None, "level": 0})
+    return out
+
+
+_HREF_AS_ID = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?=[\"'])", re.IGNORECASE)
+
+
+def part_of(entry: dict, parts: list[tuple[str, str]]) -> str | None:
+    """The first part whose name contains the entry's file or is contained in it, else whose squashed name contains its squashed title."""
+    href, title = entry["href"], entry["title"].lower().replace(" ", "")
+    for name, html in parts:
+        for key in (name, posixpath.basename(name)):
+            if href in key or key in href:
+                return html
+    return next((html for name, html in parts for key in (name, posixpath.basename(name)) if title in key.lower().replace(" ", "").replace("_", "")), None)
+
+
+def split_parts(parts: list[tuple[str, str]]) -> list[dict]:
+    """Chapters of parts without contents: a part begins one named like its file, headings of chapters the next; volumes and books go before their titles."""
+    out: list[dict] = []
+    volume = book = ""
+    for name, html in parts:
+        if any(x in posixpath.basename(name).lower() for x in _NO_TEXT):
+            continue
+        title, held = posixpath.splitext(posixpath.basename(name))[0], []
+
+        def close(title: str, held: list[str]) -> None:
+            if len(" ".join(held)) >= LEAST_CHARS:
+                title = title or f"Chapter {len(out) + 1}"
+                out.append({"toc_idx": None, "title": title, "paragraphs": held[1:] if _repeats(title, held[0]) else held})
+
+        for _, text in parse(html)["paragraphs"]:
+            if _VOLUME.match(text):
+                volume = text
+            elif _BOOK.match(text):
+                book = text
+            elif m := _CHAPTER.match(text):
+                close(title, held)
+                rest, held = m[3].strip(), []
+                if len(rest) > 200 and "." in rest:
+                    rest, *held = re.split(r"(?<=\.)\s+", rest, maxsplit=1)
+                title = f"{volume + ', ' if volume else ''}{book + ', ' if book else ''}{m[1]}: {rest}"
+            else:
+                held.append(text)
+        close(title, held)
+    return out
+
+
+def parts_chapters(toc: list[dict], parts: list[tuple[str, str]]) -> list[dict]:
+    """A chapter for each entry whose part has enough text; entries without a part stay, without text."""
+    out = []
+    for i, entry in enumerate(toc):
+        html = part_of(entry, parts)
+        texts = prose(tree(html)) if html else []
+        if html and len(" ".join(texts)) < LEAST_CHARS:
+            continue
+        out.append({"toc_idx": i, "title": entry["title"], "paragraphs": texts[1:] if texts and _repeats(entry["title"], texts[0]) else texts})
+    return out
+
+
+def _trailing(record: bytes, flags: int) -> int:
+    """Bytes at the end of a text record that are no text."""
+    n = 0
+    for bit in range(15, 0, -1):
+        if flags >> bit & 1:
+            size = 0
+            for i, c in enumerate(reversed(record[max(0, len(record) - n - 4) : len(record) - n])):
+                size |= (c & 0x7F) << 7 * i
+                if c & 0x80:
+                    break
+            n += size
+    if flags & 1 and len(record) > n:
+        n += (record[len(record) - n - 1] & 3) + 1
+    return n
+
+
+def _palmdoc(record: bytes) -> bytes:
+    """Expands a record: runs of literals, copies of what came before, and blanks joined to a character."""
+    out, i = bytearray(), 0
+    while i < len(record):
+        c = record[i]
+        i += 1
+        if 1 <= c <= 8:
+            out += record[i : i + c]
+            i += c
+        elif c < 0x80:
+            out.append(c)
+        elif c >= 0xC0:
+            out += bytes((32, c ^ 0x80))
+        elif i < len(record):
+            pair = (c << 8 | record[i]) & 0x3FFF
+            i += 1
+            for _ in range((pair & 7) + 3):
+                out.append(out[-(pair >> 3)])
+    return bytes(out)
+
+
+_PAGE = re.compile(rb"<mbp:pagebreak[^>]*>", re.IGNORECASE)
+_FILEPOS = re.compile(rb"<a\b[^>]*?\bfilepos\s*=\s*[\"']?(\d+)[\"']?", re.IGNORECASE)
+
+
+def unpack_mobi(content: bytes) -> tuple[dict, list[tuple[str, str]], bytes | None]:
+    """(metadata, parts, cover) of a Palm database with a MOBI text that is plain or PalmDOC-compressed.
+
+    The text is cut at page breaks into parts in reading order; the first part with two or more links to places is named as contents.
+    """
+    count = int.from_bytes(content[76:78])
+    starts = [int.from_bytes(content[78 + 8 * i : 82 + 8 * i]) for i in range(count)] + [len(content)]
+    record = lambda i: content[starts[i] : starts[i + 1]]
+    head = record(0)
+    word = lambda at, size=4: int.from_bytes(head[at : at + size])
+    kind, pages, is_mobi = word(0, 2), word(8, 2), head[16:20] == b"MOBI"
+    if kind not in (1, 2) or word(12, 2):
+        raise ValueError("the text is encrypted, or compressed in another way than PalmDOC")
+    length = word(20) if is_mobi else 0
+    flags = word(242, 2) if length >= 228 else 0
+    text = b""
+    for i in range(1, pages + 1):
+        r = record(i)
+        r = r[: len(r) - _trailing(r, flags)]
+        text += _palmdoc(r) if kind == 2 else r
+    encoding = "cp1252" if is_mobi and word(28) == 1252 else "utf-8"
+    extra: dict[int, bytes] = {}
+    if is_mobi and word(128) & 0x40:
+        at = 16 + length
+        n, at = word(at + 8), at + 12
+        for _ in range(n):
+            extra.setdefault(word(at), head[at + 8 : at + word(at + 4)])
+            at += max(8, word(at + 4))
+    said = lambda k: extra[k].decode(encoding, "replace").strip() or None if k in extra else None
+    full = head[word(84) : word(84) + word(88)].decode(encoding, "replace").strip() if is_mobi else ""
+    meta = {"title": said(503) or full or None, "author": said(100), "publisher": said(101), "description": said(103), "language": said(524)}
+    cuts = [0, *(m.end() for m in _PAGE.finditer(text))]
+    ends = [*(m.start() for m in _PAGE.finditer(text)), len(text)]
+    names = [f"part{i:04d}.html" for i in range(len(cuts))]
+    contents = next((i for i, (a, b) in enumerate(zip(cuts, ends)) if len(_FILEPOS.findall(text[a:b])) > 1), None)
+    if contents is not None:
+        names[contents] = f"part{contents:04d}-toc.html"
+    place = lambda m: b'<a href="' + names[max(0, bisect_right(cuts, int(m[1])) - 1)].encode() + b'"'
+    parts = [(n, _FILEPOS.sub(place, text[a:b]).decode(encoding, "replace")) for n, a, b in zip(names, cuts, ends)]
+    first = word(108) if is_mobi else 0
+    images = [record(i) for i in range(first, count) if record(i)[:3] == b"\xff\xd8\xff" or record(i)[:8] == b"\x89PNG\r\n\x1a\n"] if 0 < first < count else []
+    at = first + int.from_bytes(extra[201]) if 201 in extra else count
+    cover = record(at) if at < count else next((x for x in images if len(x) > COVER_BYTES), None)
+    return meta, parts, cover
+
+
+@register(".mobi", ".azw", ".azw3", ".prc")
+def read_mobi(path: str, content: bytes) -> Book:
+    meta, parts, cover = unpack_mobi(content)
+    page = parse("".join(html for _, html in parts[:1]))
+    known = page["meta"]
+    meta["title"] = page["title"] or meta["title"]
+    meta["author"] = known.get("dc.creator") or known.get("author") or known.get("creator") or meta["author"]
+    toc = parts_toc(parts)
+    if toc and all(re.fullmatch(r"Part\d+", t["title"]) for t in toc):  # nothing but the names that unpacking gave
+        toc = []
+    chapters = parts_chapters(toc, parts) if toc else split_parts(parts)
+    if not toc:
+        toc = [{"title": c["title"], "href": "", "anchor": None, "level": 0} for c in chapters]
+        for i, c in enumerate(chapters):
+            c["toc_idx"] = i
+    return {"meta": meta, "toc": toc, "chapters": chapters, "cover": cover}
+
+
+def _grams(text: Column, mark: str) -> Column:
+    """All runs of one to three characters."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    runs = F.flatten(F.transform(at, lambda i: F.array(*[F.substring(text, i, F.lit(n)) for n in (1, 2, 3)])))
+    return F.transform(runs, lambda g: F.concat(F.lit(mark), g))
+
+
 def match_contents(toc: DataFrame, parts: DataFrame) -> DataFrame:
-    """The first part (book_id, part_ord, title) for each contents entry (book_id, toc_idx, title) by containment either way.
+    """The first part (book_id, part_ord, title) for each contents entry (book_id, toc_idx, title) by containment either way, in any case, of
+    the titles or of their letters and digits alone.
 
-    Titles meet on a shared word; titles that share none but contain each other when squashed meet on their squashed first
-    letters.
+    A title that contains another has all its runs of three characters, so it meets it on the first one (a shorter title on the whole);
+    titles without a letter or digit meet as they are. No pair that matches is missed, and no others than those that share a run are compared.
     """
 
-    def keyed(df: DataFrame, as_: str) -> DataFrame:
+    def forms(df: DataFrame, as_: str) -> DataFrame:
         low = F.lower("title")
-        squashed = F.regexp_replace(low, r"[\W_]+", "")
-        return df.withColumn(as_, low).withColumn(f"{as_}_sq", squashed).withColumn("key", F.explode(F.array_distinct(F.split(low, r"\W+")))).filter("key <> ''")
+        return df.select("book_id", df.columns[1], low.alias(as_), F.regexp_replace(low, r"(?U)[\W_]+", "").alias(f"{as_}_sq")).filter(F.col(as_) != "")
+
+    def short(df: DataFrame, as_: str) -> DataFrame:
+        sq = F.col(f"{as_}_sq")
+        return df.withColumn("key", F.when(sq != "", F.concat(F.lit("s"), F.substring(sq, 1, 3))).otherwise(F.concat(F.lit("r"), F.substring(as_, 1, 3))))
+
+    def long(df: DataFrame, as_: str) -> DataFrame:
+        return df.withColumn("key", F.explode(F.array_distinct(F.concat(_grams(F.col(f"{as_}_sq"), "s"), _grams(F.col(as_), "r")))))
 
-    pairs = keyed(toc.select("book_id", "toc_idx", "title"), "a").drop("title").join(keyed(parts.select("book_id", "part_ord", "title"), "b").drop("title"), ["book_id", "key"])
-    hit = F.contains("a", "b") | F.contains("b", "a") | F.contains("a_sq", "b_sq") | F.contains("b_sq", "a_sq")
-    return pairs.filter(hit).groupBy("book_id", "toc_idx").agg(F.min("part_ord").alias("part_ord"))
+    a, b = forms(toc.select("book_id", "toc_idx", "title"), "a"), forms(parts.select("book_id", "part_ord", "title"), "b")
+    pairs = short(a, "a").join(long(b, "b"), ["book_id", "key"]).unionByName(long(a, "a").join(short(b, "b"), ["book_id", "key"]))
+    within = lambda x, y: F.contains(x, y) | ((F.col(f"{y}_sq") != "") & F.contains(f"{x}_sq", f"{y}_sq"))
+    return pairs.filter(within("a", "b") | within("b", "a")).groupBy("book_id", "toc_idx").agg(F.min("part_ord").alias("part_ord"))

@@ -33,7 +33,10 @@ def job_states(events: DataFrame) -> DataFrame:
 
 
 def live_tasks(tasks: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
-    """Latest status of tasks(task_id, status, created_at); a state goes when event time is `ttl` seconds past its creation."""
+    """Latest status of tasks(task_id, status, created_at, updated_at); a state goes when event time is `ttl` seconds past its creation.
+
+    It is shown as evicted then, and so is a task that is heard of for the first time after its end, which leaves no state.
+    """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -45,8 +48,12 @@ def live_tasks(tasks: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
         if state.exists:
             created = min(created, state.get[0])
         status = rows.sort_values("updated_at")["status"].iloc[-1]
-        state.update((created, status))
-        if created + ttl * 1000 > state.getCurrentWatermarkMs():
+        if created + ttl * 1000 <= state.getCurrentWatermarkMs():
+            if state.exists:
+                state.remove()
+            status = "evicted"
+        else:
+            state.update((created, status))
             state.setTimeoutTimestamp(created + ttl * 1000)
         yield pd.DataFrame({"task_id": [key[0]], "status": [status]})
 
@@ -54,11 +61,35 @@ def live_tasks(tasks: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
     return marked.groupBy("task_id").applyInPandasWithState(update, "task_id long, status string", "created long, status string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
+PROGRESS = "pid long, title string, total long, current long, completed_batches long, completed_chapters long, errors long"
+
+
+def worker_progress(events: DataFrame) -> DataFrame:
+    """States of workers as events(pid, seq, event, title, total, batches) arrive, in update mode; see progress_by_worker()."""
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        title, total, current, made, chapters, errors = state.get if state.exists else (None, None, 0, 0, 0, 0)
+        for row in pd.concat(batches).sort_values("seq").itertuples():
+            if row.event == "START":
+                title, total, current = row.title, int(row.total), 0
+            elif row.event == "UPDATE":
+                made += int(row.batches)
+                current += int(row.batches) if title is not None else 0
+            elif row.event == "DONE":
+                title, total, current, chapters = None, None, 0, chapters + 1
+            elif row.event == "ERROR":
+                errors += 1
+        state.update((title, total, current, made, chapters, errors))
+        yield pd.DataFrame([(key[0], title, total, current, made, chapters, errors)], columns=[c.split()[0] for c in PROGRESS.split(", ")]).astype({"total": "Int64"})
+
+    return events.groupBy("pid").applyInPandasWithState(update, PROGRESS, PROGRESS.split(", ", 1)[1], "update", GroupStateTimeout.NoTimeout)
+
+
 def chapter_rates(progress: DataFrame) -> DataFrame:
     """Characters a second of each job, live and blended with the mean of finished chapters."""
     sums = progress.groupBy("job_id").agg(F.sum("chars").alias("chars"), F.sum("seconds").alias("seconds"), F.avg(F.when(F.col("finished"), F.col("chars") / F.col("seconds"))).alias("mean"))
     live = F.col("chars") / F.col("seconds")
-    return sums.select("job_id", F.when(F.col("seconds") < 1, 0.0).when(F.col("mean").isNull(), live).otherwise(LIVE_SHARE * live + (1 - LIVE_SHARE) * F.col("mean")).alias("rate"))
+    return sums.select("job_id", F.when((F.col("seconds") < 1) | (F.col("chars") == 0), 0.0).when(F.col("mean").isNull(), live).otherwise(LIVE_SHARE * live + (1 - LIVE_SHARE) * F.col("mean")).alias("rate"))
 
 
 def _watermarked(events: DataFrame, late: str) -> DataFrame:
