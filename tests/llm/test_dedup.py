@@ -220,6 +220,73 @@ def test_sf_components(spark, sf):
     assert all(c == lowest[groups[f]] for f, c in found.values())
 
 
+def shingles(text: str, width: int = 5) -> set[str]:
+    w = lower(text).split()
+    return {" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def jaccard(a: set, b: set) -> float:
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_similar_groups_against_all_pairs(spark, odd, none):
+    """Copies with words changed here and there, one crowded group among them: links of 0.8 or more, and hardly one missed."""
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(2, 9)))) for _ in range(3000)]
+    table = []
+    for g in range(60):
+        base = list(rng.choice(words, int(rng.integers(60, 400))))
+        for _ in range(150 if g == 0 else int(rng.integers(1, 7))):
+            copy = list(base)
+            for _ in range(int(rng.integers(0, 1 + len(copy) // 40))):
+                copy[int(rng.integers(len(copy)))] = str(rng.choice(words))
+            table.append((len(table), " ".join(copy)))
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["component_id"] for r in simhash_dedup(docs, width=5, similarity=0.8).collect()}
+    sets = [shingles(t) for _, t in table]
+    near = [(i, j) for i in range(len(table)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    assert len(near) > 1000
+    up = list(range(len(table)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in near:
+        up[max(root(i), root(j))] = min(root(i), root(j))
+    # nothing is joined that a chain of similar texts does not join
+    assert all(root(c) == root(d) for d, c in found.items())
+    assert sum(found[i] == found[j] for i, j in near) >= 0.97 * len(near)
+    kept = keep_one_of_each(docs, width=5, similarity=0.8)
+    assert {r["doc_id"] for r in kept.collect()} == set(found.values())
+    assert keep_one_of_each(odd, width=5, similarity=0.8).columns == odd.columns
+    assert keep_one_of_each(none, width=5, similarity=0.8).count() == 0
+
+
+def test_trees_reach_all(monkeypatch):
+    from storyframe.llm import simhash
+
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    x, y, bits = simhash._tree(fps)
+    far = np.bitwise_count(fps[:, None] ^ fps[None, :]).astype(int)
+    edges = sorted((far[i, j], i, j) for i in range(200) for j in range(i))
+    up = list(range(200))
+
+    def root(v):
+        while up[v] != v:
+            v = up[v]
+        return v
+
+    least = 0
+    for d, i, j in edges:
+        if root(i) != root(j):
+            up[root(i)] = root(j)
+            least += d
+    assert least == bits.sum() == sum(far[i, j] for i, j in zip(x, y))
+
+
 def test_empty_tables(none):
     for f in (exact_dedup, line_dedup, simhash_dedup, keep_distinct, keep_one_of_each):
         assert f(none).count() == 0
