@@ -23,8 +23,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates the smallest doc_id stays: five-word shingles, and the most differing bits that three parts surely find."""
-    return keep_one_of_each(docs, threshold=5, width=5)
+    """Of near duplicates, with five-word shingles of a Jaccard similarity of 0.8 or more, the smallest doc_id stays."""
+    return keep_one_of_each(docs, width=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
