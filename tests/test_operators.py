@@ -25,7 +25,7 @@ def kind(v):
 
 @pytest.mark.parametrize(
     ("title", "tags"),
-    [("Preface", "front_matter"), ("1. Introduction", "front_matter"), ("Index", "back_matter"), ("Acknowledgements", "chapter"), ("Cover", "title_page"), ("Part I", "part_divider,chapter"), ("Chapter 1", "chapter"), ("", ""), ("Author's Note", "back_matter")],
+    [("Preface", "front-matter"), ("1. Introduction", "front-matter"), ("Index", "back-matter"), ("Acknowledgements", "chapter"), ("Cover", "title-page"), ("Part I", "part-divider,chapter"), ("Chapter 1", "chapter"), ("", ""), ("Author's Note", "back-matter")],
 )
 def test_classifier(spark, title, tags):
     assert one(spark, F.array_join(chapters.tag_list(chapters.Classifier().tags(F.col("t"))), ","), t=title) == tags
@@ -187,9 +187,9 @@ def test_merge_and_rename(spark):
 
 
 def test_external_roster(spark):
-    good = '{"characters":[{"id":1,"g":{"argmax":"he/him/his"},"mentions":{"proper":[{"n":"Harry","c":9},{"n":"the man","c":2}],"common":[]}},{"id":2,"mentions":{"proper":[],"common":[{"n":"boy","c":3}]}}]}'
+    good = '{"characters":[{"id":1,"g":{"argmax":"her"},"mentions":{"proper":[{"n":"Harry","c":9},{"n":"the man","c":2}],"common":[]}},{"id":2,"mentions":{"proper":[],"common":[{"n":"boy","c":3}]}}]}'
     df = spark.createDataFrame([("b", good), ("c", "{broken")], "book_id string, json string")
-    assert [(r["book_id"], r["name"], r["pronoun"], r["n"]) for r in roster.external_roster(df).collect()] == [("b", "Harry", "he/him", 9)]
+    assert [(r["book_id"], r["name"], r["pronoun"], r["n"]) for r in roster.external_roster(df).collect()] == [("b", "Harry", "she/her", 9)]
 
 
 def test_provider_failures_give_unknown(spark):
@@ -219,7 +219,7 @@ def test_voice_names(spark):
     assert (v["name"], v["gender"], v["accent"]) == ("Ann", "Female", "English-North")
     assert one(spark, voices.parse_voice_name(F.col("s")), s="Ann")["gender"] is None
     assert one(spark, voices.plain_voice_name(F.col("s")), s="/x/y/Bob.wav") == "Bob"
-    assert one(spark, T.split_hf_url(F.col("s")), s="hf://me/repo/a/b.wav@main")["path"] == "a/b.wav"
+    assert one(spark, T.split_hf_url(F.col("s")), s="hf://me/repo/a/b.wav")["path"] == "a/b.wav"
 
 
 def test_word_overlap_prefixes(spark):
