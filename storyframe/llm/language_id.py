@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyframe.llm.common import batch, binary, remainder, slices
+from storyframe.llm.common import batch, binary, remainder, slices, trained
 from storyframe.llm.recurrent import Adam, Gru, Tagger, cut, windows
 
 SIZE, WINDOW, PER_LANGUAGE, MOST_DOCUMENTS, SAMPLE_CHARS, BATCHES, BATCH = 8, 96, 300, 60_000, 4096, 160, 256
@@ -132,7 +132,7 @@ def language_id(docs: DataFrame, trained_on: DataFrame | None = None, per_langua
     score is the mean probability of lang_pred over the text's letters. A letter is a character of Unicode category L. Texts of any
     length are read whole; repeated rows are judged alike. Other columns are ignored; an empty table gives no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs if trained_on is None else trained_on, per_language)))
+    model = docs.sparkSession.sparkContext.broadcast(trained("language", sorted(training_rows(docs if trained_on is None else trained_on, per_language)), train))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -149,7 +149,7 @@ def keep_known_language(docs: DataFrame, least: float = 0.3, per_language: int =
     All columns pass unchanged, whatever their names. The model learns from docs as in language_id(). Null, empty and letterless texts
     go; repeated rows stay or go together; without any label all rows go. An empty table gives no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs, per_language)))
+    model = docs.sparkSession.sparkContext.broadcast(trained("language", sorted(training_rows(docs, per_language)), train))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

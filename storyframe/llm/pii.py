@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyframe.llm.common import batch, slices
+from storyframe.llm.common import batch, slices, trained
 from storyframe.llm.recurrent import Adam, Lstm, Tagger, cut, windows
 
 KINDS = ("email", "ip", "card", "phone")
@@ -333,7 +333,7 @@ def find_pii(docs: DataFrame, model: PiiModel | None = None) -> DataFrame:
     it holds, and so do added ones. Other columns are ignored; an empty table gives no rows.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model or train(training_lines(source)))
+    shared = docs.sparkSession.sparkContext.broadcast(model or trained("pii", training_lines(source), train))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:

@@ -66,6 +66,25 @@ def test_language_accuracy_and_rows(spark, odd, none):
     assert {r["lang_pred"] for r in language_id(odd, none).collect()} == {"und"}
 
 
+def test_letters_are_those_of_unicode():
+    from storyframe.llm.language_id import has_letter
+
+    assert not any(map(has_letter, ("", "12 !?", "\u00bd \u00b2 \u2167", "\u0661\u0662", "_", "\U0001f600")))
+    assert all(map(has_letter, ("a", "1\u00e9", "\u4e2d", "\u02b0", "\u0915")))
+
+
+def test_every_labelled_language_can_be_predicted(spark):
+    """More languages than the commonest few hundred: each gives a document to the sample, and the one of a rare label is learned."""
+    from storyframe.llm.language_id import training_rows
+
+    table = [(i, f"text {i} of l{i % 230}", f"l{i % 230}") for i in range(1500)] + [(9000 + i, "x" * 20_000 + "z" * 300, "long") for i in range(8)]
+    df = spark.createDataFrame(table, "doc_id long, text string, lang string").repartition(3)
+    sample = training_rows(df, per_language=4, most_documents=500)
+    have = {lang for i, _, lang in table if crc(i, 4) != 2}
+    assert {lang for lang, _ in sample} == have and len(sample) <= 500
+    assert max(len(t) for _, t in sample) <= 4096 and {t for lang, t in sample if lang == "long"} != {b"x" * 4096} or len(have) == 231
+
+
 def test_exchange_finds_planted_classes():
     rng = np.random.default_rng(5)
     kind = np.array([0] + [1 + i % 3 for i in range(30)])
