@@ -62,9 +62,9 @@ def extract_quotes(paragraphs: DataFrame) -> DataFrame:
 
 
 def paragraph_spans(paragraphs: DataFrame, quotes: DataFrame, attributions: DataFrame) -> DataFrame:
-    """Every paragraph as (para_idx, span_idx, speaker, text, is_break); joined, spans give the paragraph without its marks.
+    """Every paragraph as (para_idx, span_idx, speaker, text, is_break, whole); joined, spans give the paragraph without its marks.
 
-    Paragraphs without an attributed quote are one narrator span. Where a text is quoted twice in a paragraph, the first
+    whole: the paragraph itself, in its first span. Paragraphs without an attributed quote are one narrator span. Where a text is quoted twice in a paragraph, the first
     attribution holds for both.
     """
     said = quotes.join(attributions.select(*CHAPTER, "quote_id", "speaker"), [*CHAPTER, "quote_id"])
@@ -93,7 +93,8 @@ def paragraph_spans(paragraphs: DataFrame, quotes: DataFrame, attributions: Data
     rows = rows.withColumn(
         "pieces", F.when(F.col("is_break"), F.array(piece(F.lit(SCENE_BREAK), F.lit("")))).when(F.col("said").isNull() | (F.size(pieces) == 0), whole).otherwise(pieces)
     )
-    return rows.select(*CHAPTER, "para_idx", "is_break", F.posexplode("pieces").alias("span_idx", "p")).select(*CHAPTER, "para_idx", "span_idx", "is_break", "p.speaker", "p.text")
+    rows = rows.select(*CHAPTER, "para_idx", "is_break", F.col("text").alias("paragraph"), F.posexplode("pieces").alias("span_idx", "p"))
+    return rows.select(*CHAPTER, "para_idx", "span_idx", "is_break", "p.speaker", "p.text", F.when(F.col("span_idx") == 0, F.col("paragraph")).alias("whole"))
 
 
 def build_segments(paragraphs: DataFrame, quotes: DataFrame, attributions: DataFrame) -> DataFrame:
@@ -105,8 +106,7 @@ def build_segments(paragraphs: DataFrame, quotes: DataFrame, attributions: DataF
     spans = paragraph_spans(paragraphs, quotes, attributions)
     quoted = quotes.select(*CHAPTER).distinct().withColumn("quoted", F.lit(True))
     spans = spans.join(quoted, list(CHAPTER), "left")
-    plain = spans.filter("quoted is null").join(paragraphs.select(*CHAPTER, "para_idx", F.col("text").alias("whole")), [*CHAPTER, "para_idx"])
-    plain = plain.groupBy(*CHAPTER).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_idx", "whole"))), lambda s: s["whole"]), "\n\n").alias("text"))
+    plain = spans.filter("quoted is null and span_idx = 0").groupBy(*CHAPTER).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_idx", "whole"))), lambda s: s["whole"]), "\n\n").alias("text"))
     plain = plain.select(*CHAPTER, F.lit(0).alias("seg_idx"), F.lit(NARRATOR).alias("speaker"), F.lit(False).alias("is_scene_break"), "text")
     order = Window.partitionBy(*CHAPTER).orderBy("para_idx", "span_idx")
     new = (F.lag("speaker").over(order).isNull()) | (F.lag("speaker").over(order) != F.col("speaker")) | F.col("is_break")

@@ -48,6 +48,18 @@ def epub(page_id: int, url: str) -> bytes:
     return out.getvalue()
 
 
+def epub_plain(page_id: int, url: str) -> bytes:
+    """No contents: a part and two chapters by headings, in two files of the spine, and a line that reads like one."""
+    a = f"<html><body><h1>Part One</h1><h2>Arrival</h2><p>{escape(first_text(url))}</p></body></html>"
+    b = f"<html><body><p>Chapter 2</p><p>{escape(second_text(url))}</p><p>{escape(first_text(url))}</p></body></html>"
+    opf = '<package xmlns="http://www.idpf.org/2007/opf"><manifest><item id="a" href="a.html"/><item id="b" href="b.html"/></manifest><spine><itemref idref="a"/><itemref idref="b"/></spine></package>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in (("book.opf", opf), ("a.html", a), ("b.html", b)):
+            z.writestr(name, text)
+    return out.getvalue()
+
+
 def fb2(page_id: int, url: str) -> bytes:
     return (
         f'<FictionBook xmlns="http://www.gribuser.ru/xml/fictionbook/2.0"><description><title-info><author><first-name>Bo</first-name><last-name>Ek{page_id}</last-name></author>'
@@ -73,14 +85,16 @@ def packed(text: bytes) -> bytes:
     return bytes(out)
 
 
-def mobi(page_id: int, url: str, compressed: bool) -> bytes:
-    """A table of contents with places, two parts and a cover."""
+def mobi(page_id: int, url: str, compressed: bool, linked: bool = True) -> bytes:
+    """A table of contents with places (if linked), two parts and a cover."""
     bodies = [f"<h2>One</h2><p>{escape(first_text(url))}</p>", f"<p>{escape(second_text(url))}</p><p>abcdefghabcdefgh</p>"]
     cut = "<mbp:pagebreak/>"
     head = f'<html><head><title>Mobi {page_id}</title><meta name="author" content="Cy {page_id}"/></head><body>'
     links = "<a filepos=%010d>The One</a> <a filepos=%010d>The Two</a>"
     begin = len((head + links % (0, 0) + cut).encode())
     text = (head + links % (begin, begin + len((bodies[0] + cut).encode())) + cut + cut.join(bodies)).encode()
+    if not linked:
+        text = (head + "<h1>Volume I</h1><h2>Chapter 1. Start</h2>" + bodies[0] + cut + "<h2>Book Two</h2><h2>II. Next</h2>" + bodies[1]).encode()
     pages = [text[i : i + 4096] for i in range(0, len(text), 4096)]
     exth = struct.pack(">III", 100, 8 + 3, 0)[:8] + b"Exa" + struct.pack(">III", 201, 12, 0)
     exth = b"EXTH" + struct.pack(">II", 12 + len(exth), 2) + exth

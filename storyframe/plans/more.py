@@ -10,7 +10,7 @@ from storyframe.operators import analysis, batching, chapters, jobs, roster, ser
 from storyframe.operators.quotes import build_segments
 from storyframe.plans import ebooks
 from storyframe.plans import fixtures as X
-from storyframe.plans.queries import _ALIASES, _CONTENT, _POOLS, _QUOTES, _TAGGED, ORACLES, _aliases, _attributed, _pools, _tagged, _voices, query
+from storyframe.plans.queries import _ALIASES, _CONTENT, _POOLS, _QUOTES, _TAGGED, ORACLES, _aliases, _attributed, _or, _pools, _tagged, _voices, query
 from storyframe.sources import books
 from storyframe.streaming.jobs import chapter_rates
 
@@ -470,6 +470,16 @@ def w16_reassemble(spark: SparkSession, sf: str) -> DataFrame:
     return batching.reassemble(rendered.repartition(7, "seg_idx")).withColumn("parts", F.array_join("parts", "|"))
 
 
+_ROAD = "^the\\s+long"
+
+
+@query(_TAGGED.replace(_or(chapters.BACK_MATTER), _or((*chapters.BACK_MATTER, _ROAD))) + " select book_id, chapter_idx, is_back_matter, is_chapter from tagged")
+def p3_added_pattern(spark: SparkSession, sf: str) -> DataFrame:
+    classifier = chapters.Classifier()
+    classifier.add("back_matter", _ROAD)
+    return chapters.with_tags(X.chapters(spark, sf), classifier).select("book_id", "chapter_idx", "tags.is_back_matter", "tags.is_chapter")
+
+
 @query(f"{_TAGGED} select book_id, chapter_idx from tagged where {_CONTENT}")
 def p7_legacy_apply(spark: SparkSession, sf: str) -> DataFrame:
     return chapters.apply_preset(_tagged(spark, sf), "content-only").select("book_id", "chapter_idx")
@@ -551,6 +561,19 @@ def s11_mobi_chapters(spark: SparkSession, sf: str) -> DataFrame:
     return books.read_chapters(ebooks.files(spark, sf, ".mobi", _mobi)).select("book_id", "chapter_idx", "title", F.array_join("paragraphs", "\n").alias("text"))
 
 
+@query(f"""select {_ID.format('.epub')}, unnest([1, 2]) as chapter_idx, unnest(['Part One: Arrival', 'Part One: Chapter 2']) as title, unnest([{_FIRST}, {_SECOND} || chr(10) || {_FIRST}]) as text from pages""")
+def s8_headings(spark: SparkSession, sf: str) -> DataFrame:
+    found = books.read_chapters(ebooks.files(spark, sf, ".epub", ebooks.epub_plain))
+    return found.select("book_id", "chapter_idx", "title", F.array_join("paragraphs", "\n").alias("text"))
+
+
+@query(f"""select {_ID.format('.mobi')}, unnest([1, 2]) as chapter_idx, unnest(['Volume I, Chapter 1: Start', 'Volume I, Book Two, II: Next']) as title,
+    unnest(['One' || chr(10) || {_FIRST}, {_SECOND} || chr(10) || 'abcdefghabcdefgh']) as text from pages""")
+def s15_mobi_headings(spark: SparkSession, sf: str) -> DataFrame:
+    found = books.read_chapters(ebooks.files(spark, sf, ".mobi", lambda i, u: ebooks.mobi(i, u, True, linked=False)))
+    return found.select("book_id", "chapter_idx", "title", F.array_join("paragraphs", "\n").alias("text"))
+
+
 _TOC_TITLES = """a as (select p_size as book_id, p_partkey as toc_idx, lower(case p_partkey % 4 when 0 then split_part(p_name, ' ', 1) when 1 then replace(p_name, ' ', '') when 2 then '***' else substr(p_name, 2, 4) end) as t from part),
     b as (select s_nationkey + 1 as book_id, p.p_partkey as part_ord, lower(case when p.p_partkey % 5 = 0 then p.p_name || ' *** ' else p.p_name end) as t from part p join supplier on s_suppkey = p.p_partkey % 25 + 1),
     sq as (select 1)"""
