@@ -32,9 +32,11 @@ from storyframe.llm.common import batch, binary, key_of, matched, ranges, writte
 from storyframe.llm.components import SALTS, connected_components
 
 THRESHOLD, SHINGLE = 4, 4
-SAMPLES, SIMILAR_BITS, FEW, CHUNK = 64, 14, 64, 1 << 12
+SAMPLES, SIMILAR_BITS, FEW, CHUNK = 64, 14, 64, 256
 #: Classes that are broadcast; more are shuffled.
 MOST_SENT = 1 << 16
+#: doc_ids of candidates that are broadcast; with more their texts are shuffled.
+MOST_IDS = 1 << 19
 #: First bit and width of the three parts.
 PARTS = ((0, 21), (21, 21), (42, 22))
 _CODE = 15
@@ -277,25 +279,26 @@ def _tree(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _pairs_at(key: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows with equal key, which is sorted, and at most `most` differing bits: all of them where at most FEW rows meet, else trees that
-    reach every row. Rows of a crowded key are worked off in chunks, each with the first FEW rows.
+    """Pairs of rows with equal key, which is sorted, and at most `most` differing bits: all of them where at most FEW rows meet.
+
+    Rows of a crowded key give the edges of smallest trees, in chunks that each have the first FEW rows; their order differs from anchor to anchor,
+    and so do their trees.
     """
     sizes = np.diff(np.append(np.flatnonzero(np.diff(key, prepend=-1)), len(key)))
     few = np.flatnonzero(np.repeat(sizes <= FEW, sizes))
+    none = np.zeros(0, np.int64)
     found = list(_close(fps[few], key[few], most))
-    x, y = [few[a] for a, _ in found], [few[b] for _, b in found]
+    x, y = ([none, *(few[f[i]] for f in found)] for i in (0, 1))
     ends = np.cumsum(sizes)
     for i in np.flatnonzero(sizes > FEW):
         rows = np.arange(ends[i] - sizes[i], ends[i])
-        # another order at each anchor, so that chunks of different anchors mix
         rows = rows[np.argsort((fps[rows] ^ np.uint64(key[rows[0]])) * np.uint64(0x9E3779B97F4A7C15), kind="stable")]
         for c in range(FEW, len(rows), CHUNK):
             part = np.concatenate([rows[:FEW], rows[c : c + CHUNK]])
             a, b, bits = _tree(fps[part])
             x.append(part[a[bits <= most]])
             y.append(part[b[bits <= most]])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *x]), np.concatenate([none, *y])
+    return np.concatenate(x), np.concatenate(y)
 
 
 def candidates(prints: DataFrame, most: int = SIMILAR_BITS) -> DataFrame:
@@ -334,12 +337,14 @@ def candidates(prints: DataFrame, most: int = SIMILAR_BITS) -> DataFrame:
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
-    """Sorted distinct XXH64 values of the shingles that fingerprint() counts."""
+    """Sorted distinct 32-bit hashes of the shingles that fingerprint() counts. Of a thousand shingles two share one in about one text of 9,000,
+    which moves a similarity by a thousandth.
+    """
     words = text.split()
     if not words:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint32)
     found = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
-    return np.sort(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in found), np.uint64, len(found)))
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(x, 42) for x in found), np.uint32, len(found)))
 
 
 def similar_links(docs: DataFrame, classes: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -348,8 +353,9 @@ def similar_links(docs: DataFrame, classes: DataFrame, width: int, similarity: f
     needed = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes.select("fp", "rep"), "fp").select(key_of("rep").alias("_id"), F.col("fp").alias("_fp"))
     needed = written(needed, "candidate-texts")
     texts = docs.select(key_of("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    ids = needed.select("_id").distinct()
-    ids = F.broadcast(ids) if needed.count() <= MOST_SENT else ids
+    if needed.count() <= MOST_IDS:
+        needed = F.broadcast(needed)
+    ids = needed.select("_id")
     schema = pa.schema([("id", pa.string()), ("fp", pa.int64()), ("hashes", pa.binary())])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,15 +364,15 @@ def similar_links(docs: DataFrame, classes: DataFrame, width: int, similarity: f
             yield batch(schema, id=rows["id"], fp=[fingerprint(t, width) for t in low], hashes=[shingle_hashes(t, width).tobytes() for t in low])
 
     found = texts.join(ids, F.col("id") == F.col("_id"), "left_semi").mapInArrow(hashed, "id string, fp long, hashes binary")
-    found = found.join(needed, (F.col("id") == F.col("_id")) & (F.col("fp") == F.col("_fp")), "left_semi").dropDuplicates(["fp"]).select("fp", "hashes")
-    found = written(found, "candidate-shingles")
+    # dealt by fingerprint once, for both sides of the pairs
+    found = found.join(needed, (F.col("id") == F.col("_id")) & (F.col("fp") == F.col("_fp")), "left_semi").select("fp", "hashes").dropDuplicates(["fp"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             keep = []
             for x, y in zip(rows["x"].to_pylist(), rows["y"].to_pylist()):
-                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                union = (len(x) + len(y)) // 8 - both
+                both = len(np.intersect1d(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), assume_unique=True))
+                union = (len(x) + len(y)) // 4 - both
                 keep.append(both >= similarity * union)
             yield batch(_LINKS, a=rows["a"], b=rows["b"]).filter(pa.array(keep, pa.bool_()))
 
