@@ -9,7 +9,7 @@ one is within 2 of the other, so both meet there. At an anchor, members are comp
 With a `similarity` more bits may differ than three parts find, so the same code is laid on sampled bits: SAMPLES sets of 15 bits take the
 anchor that covers them (radius 1: exactly one), together with three more bits as they are. Members of an anchor that differ in at most
 SIMILAR_BITS bits are candidates, and only those whose shingles have the Jaccard similarity are linked. Of pairs with 8, 10, 12 and 14 differing
-bits 99.9, 98, 90 and 70 % share an anchor (simulated). A crowded anchor sends the edges of smallest trees, not all pairs.
+bits 99.9, 98, 90 and 70 % share an anchor (simulated). An anchor sends the edges of smallest trees, not all pairs.
 
 Equal fingerprints are one class before, so groups of copies cost one row. An anchor with more than `most_members`
 members is dealt in cells: members are split into g cells and each pair of cells is compared in a task of its own. The
@@ -32,7 +32,7 @@ from storyframe.llm.common import batch, binary, key_of, matched, ranges, writte
 from storyframe.llm.components import SALTS, connected_components
 
 THRESHOLD, SHINGLE = 4, 4
-SAMPLES, SIMILAR_BITS, FEW, CHUNK = 64, 14, 64, 256
+SAMPLES, SIMILAR_BITS, FEW, CHUNK, FORESTS = 64, 14, 64, 1 << 12, 5
 #: Classes that are broadcast; more are shuffled.
 MOST_SENT = 1 << 16
 #: doc_ids of candidates that are broadcast; with more their texts are shuffled.
@@ -278,26 +278,49 @@ def _tree(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, y, bits
 
 
+def _forest(n: int, x: np.ndarray, y: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which of the pairs of n rows are the edges of smallest trees: every tree takes its shortest way out, until none has one."""
+    rank = np.empty(len(x), np.int64)
+    rank[np.lexsort((y, x, bits))] = np.arange(len(x))
+    of = np.argsort(rank)
+    labels, chosen, left = _Labels(n), [np.zeros(0, np.int64)], np.arange(len(x))
+    while True:
+        a, b = labels.root[x[left]], labels.root[y[left]]
+        left, a, b = left[a != b], a[a != b], b[a != b]
+        if not len(left):
+            return np.concatenate(chosen)
+        best = np.full(n, len(x), np.int64)
+        np.minimum.at(best, a, rank[left])
+        np.minimum.at(best, b, rank[left])
+        chosen.append(of[np.unique(best[best < len(x)])])
+        labels.join(x[chosen[-1]], y[chosen[-1]])
+
+
 def _pairs_at(key: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows with equal key, which is sorted, and at most `most` differing bits: all of them where at most FEW rows meet.
+    """Edges of smallest trees over the pairs of rows with equal key, which is sorted, and at most `most` differing bits: FORESTS times, each without
+    the edges before, as an edge can fall short of the similarity. So a group of any size gives a few edges for each of its rows.
 
-    Rows of a crowded key give the edges of smallest trees, in chunks that each have the first FEW rows; their order differs from anchor to anchor,
-    and so do their trees.
+    Rows of a key that more than FEW rows have give one tree, in chunks that each have the first FEW rows; other anchors give them more.
     """
     sizes = np.diff(np.append(np.flatnonzero(np.diff(key, prepend=-1)), len(key)))
     few = np.flatnonzero(np.repeat(sizes <= FEW, sizes))
     none = np.zeros(0, np.int64)
     found = list(_close(fps[few], key[few], most))
-    x, y = ([none, *(few[f[i]] for f in found)] for i in (0, 1))
+    x, y = (np.concatenate([none, *(few[f[i]] for f in found)]) for i in (0, 1))
+    bits, chosen = np.bitwise_count(fps[x] ^ fps[y]), np.zeros(len(x), bool)
+    for _ in range(FORESTS):
+        left = np.flatnonzero(~chosen)
+        chosen[left[_forest(len(key), x[left], y[left], bits[left])]] = True
+    x, y = [x[chosen]], [y[chosen]]
     ends = np.cumsum(sizes)
     for i in np.flatnonzero(sizes > FEW):
         rows = np.arange(ends[i] - sizes[i], ends[i])
-        rows = rows[np.argsort((fps[rows] ^ np.uint64(key[rows[0]])) * np.uint64(0x9E3779B97F4A7C15), kind="stable")]
+        rows = rows[np.argsort(fps[rows] * np.uint64(0x9E3779B97F4A7C15), kind="stable")]
         for c in range(FEW, len(rows), CHUNK):
             part = np.concatenate([rows[:FEW], rows[c : c + CHUNK]])
-            a, b, bits = _tree(fps[part])
-            x.append(part[a[bits <= most]])
-            y.append(part[b[bits <= most]])
+            a, b, far = _tree(fps[part])
+            x.append(part[a[far <= most]])
+            y.append(part[b[far <= most]])
     return np.concatenate(x), np.concatenate(y)
 
 
