@@ -9,7 +9,10 @@ one is within 2 of the other, so both meet there. At an anchor, members are comp
 With a `similarity` more bits may differ than three parts find, so the same code is laid on sampled bits: SAMPLES sets of 15 bits take the
 anchor that covers them (radius 1: exactly one), together with three more bits as they are. Members of an anchor that differ in at most
 SIMILAR_BITS bits are candidates, and only those whose shingles have the Jaccard similarity are linked. Of pairs with 8, 10, 12 and 14 differing
-bits 99.9, 98, 90 and 70 % share an anchor (simulated). An anchor sends the edges of smallest trees, not all pairs.
+bits 99.9, 98, 90 and 70 % share an anchor (simulated). First an anchor sends the edges of a smallest tree, so every candidate sends one or more.
+Those that have the similarity make classes. Then each pair of candidates in different classes meets again at its anchors, where a tree had three rows or
+more, and is compared, all but those that their parities rule out: sets with the similarity differ in few shingles, and the parities of their numbers in
+each of 512 buckets differ in no more.
 
 Equal fingerprints are one class before, so groups of copies cost one row. An anchor with more than `most_members`
 members is dealt in cells: members are split into g cells and each pair of cells is compared in a task of its own. The
@@ -32,7 +35,7 @@ from storyframe.llm.common import batch, binary, key_of, matched, ranges, writte
 from storyframe.llm.components import SALTS, connected_components
 
 THRESHOLD, SHINGLE = 4, 4
-SAMPLES, SIMILAR_BITS, FEW, CHUNK, FORESTS = 64, 14, 64, 1 << 12, 5
+SAMPLES, SIMILAR_BITS, FEW, MANY, BUCKETS = 64, 14, 64, 1 << 12, 512
 #: Classes that are broadcast; more are shuffled.
 MOST_SENT = 1 << 16
 #: doc_ids of candidates that are broadcast; with more their texts are shuffled.
@@ -44,6 +47,7 @@ _PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 _AT = pa.schema([("anchor", pa.int64()), ("cell", pa.int32()), ("fp", pa.int64())])
 _COUNTS = pa.schema([("anchor", pa.int64()), ("n", pa.int64())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_EDGES = pa.schema([*_LINKS, ("samples", pa.int64())])
 
 
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
@@ -296,53 +300,125 @@ def _forest(n: int, x: np.ndarray, y: np.ndarray, bits: np.ndarray) -> np.ndarra
         labels.join(x[chosen[-1]], y[chosen[-1]])
 
 
-def _pairs_at(key: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of smallest trees over the pairs of rows with equal key, which is sorted, and at most `most` differing bits: FORESTS times, each without
-    the edges before, as an edge can fall short of the similarity. So a group of any size gives a few edges for each of its rows.
+def _stars(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (row, row) of at most `most` differing bits, one or more for each row that has any; of rows that are all close, a few for each."""
+    left, x, y = np.arange(len(fps)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(left):
+        near = np.flatnonzero(np.bitwise_count(fps ^ fps[left[0]]) <= most)
+        near = near[near != left[0]]
+        x.append(np.full(len(near), left[0]))
+        y.append(near)
+        left = left[1:][~np.isin(left[1:], near)]
+    return np.concatenate(x), np.concatenate(y)
+
 
-    Rows of a key that more than FEW rows have give one tree, in chunks that each have the first FEW rows; other anchors give them more.
+def _pairs_at(key: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (row, row, whether their tree has more rows than these) of smallest trees over the pairs of rows with equal key, which is sorted, and at
+    most `most` differing bits. A key that more than MANY rows have gives stars instead. Every row of such a pair has an edge; trees of more than two
+    rows can leave out pairs, for _rest_at() to find.
     """
     sizes = np.diff(np.append(np.flatnonzero(np.diff(key, prepend=-1)), len(key)))
     few = np.flatnonzero(np.repeat(sizes <= FEW, sizes))
     none = np.zeros(0, np.int64)
     found = list(_close(fps[few], key[few], most))
     x, y = (np.concatenate([none, *(few[f[i]] for f in found)]) for i in (0, 1))
-    bits, chosen = np.bitwise_count(fps[x] ^ fps[y]), np.zeros(len(x), bool)
-    for _ in range(FORESTS):
-        left = np.flatnonzero(~chosen)
-        chosen[left[_forest(len(key), x[left], y[left], bits[left])]] = True
+    chosen = _forest(len(key), x, y, np.bitwise_count(fps[x] ^ fps[y]))
     x, y = [x[chosen]], [y[chosen]]
     ends = np.cumsum(sizes)
     for i in np.flatnonzero(sizes > FEW):
         rows = np.arange(ends[i] - sizes[i], ends[i])
+        # in an order that is the same at all anchors
         rows = rows[np.argsort(fps[rows] * np.uint64(0x9E3779B97F4A7C15), kind="stable")]
-        for c in range(FEW, len(rows), CHUNK):
-            part = np.concatenate([rows[:FEW], rows[c : c + CHUNK]])
-            a, b, far = _tree(fps[part])
-            x.append(part[a[far <= most]])
-            y.append(part[b[far <= most]])
-    return np.concatenate(x), np.concatenate(y)
+        if len(rows) > MANY:
+            a, b = _stars(fps[rows], most)
+        else:
+            a, b, far = _tree(fps[rows])
+            a, b = a[far <= most], b[far <= most]
+        x.append(rows[a])
+        y.append(rows[b])
+    x, y, trees = np.concatenate(x), np.concatenate(y), _Labels(len(key))
+    trees.join(x, y)
+    return x, y, np.bincount(trees.root, minlength=len(key))[trees.root[x]] > 2
+
+
+def parities(hashes: np.ndarray) -> bytes:
+    """A bit for each bucket: whether the number of hashes in it is odd."""
+    return np.packbits(np.bincount(hashes % BUCKETS, minlength=BUCKETS).astype(np.uint8) & 1).tobytes()
+
+
+def _can_be_alike(x: np.ndarray, y: np.ndarray, n: np.ndarray, odd: np.ndarray, similarity: float) -> np.ndarray:
+    """False for pairs of rows whose shingles, by their number n and their parities, differ in more than sets with the Jaccard similarity do."""
+    out = np.empty(len(x), bool)
+    for i in range(0, len(x), 1 << 14):
+        a, b = x[i : i + (1 << 14)], y[i : i + (1 << 14)]
+        apart = np.maximum(np.abs(n[a] - n[b]), np.bitwise_count(odd[a] ^ odd[b]).sum(axis=1, dtype=np.int64))
+        out[i : i + (1 << 14)] = apart <= (n[a] + n[b]) * (1 - similarity) / (1 + similarity) + 1e-6
+    return out
 
 
-def candidates(prints: DataFrame, most: int = SIMILAR_BITS) -> DataFrame:
-    """For prints(fp long) without repeats: pairs (a, b), a < b, of fingerprints that share a sampled anchor and differ in at most `most` bits."""
+def _rest_at(key: np.ndarray, fps: np.ndarray, label: np.ndarray, n: np.ndarray, odd: np.ndarray, most: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows with equal key, which is sorted, different labels and at most `most` differing bits that can have the similarity."""
+    sizes = np.diff(np.append(np.flatnonzero(np.diff(key, prepend=-1)), len(key)))
+    few = np.flatnonzero(np.repeat(sizes <= FEW, sizes))
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def add(x: np.ndarray, y: np.ndarray) -> None:
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+        ok = _can_be_alike(x, y, n, odd, similarity)
+        xs.append(x[ok])
+        ys.append(y[ok])
+
+    for x, y in _close(fps[few], key[few], most):
+        add(few[x], few[y])
+    ends = np.cumsum(sizes)
+    for i in np.flatnonzero(sizes > FEW):
+        rows = np.arange(ends[i] - sizes[i], ends[i])
+        labels, of, members = np.unique(label[rows], return_inverse=True, return_counts=True)
+        # rows of the largest class meet no other of it
+        largest = of == members.argmax()
+        rows = np.concatenate([rows[~largest], rows[largest]])
+        for k in range(int((~largest).sum())):
+            later = rows[k + 1 :]
+            later = later[np.bitwise_count(fps[later] ^ fps[rows[k]]) <= most]
+            add(np.full(len(later), rows[k]), later)
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows with a fingerprint, fp, by its sampled anchors; with a column samples only by those of the samples whose bits it has."""
+    names = rows.columns
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            fps = rows["fp"].to_numpy(zero_copy_only=False)
-            for a in range(0, len(fps), 1 << 12):
-                f = fps[a : a + (1 << 12)]
-                anchor = sampled_anchors(f.view(np.uint64)).ravel()
-                yield batch(_AT, anchor=anchor, cell=np.zeros(len(anchor), np.int32), fp=np.tile(f, SAMPLES))
+        for b in batches:
+            for a in range(0, b.num_rows, 1 << 10):
+                part = b.slice(a, 1 << 10)
+                fps = part["fp"].to_numpy(zero_copy_only=False).view(np.uint64)
+                wanted = part["samples"].to_numpy(zero_copy_only=False).view(np.uint64) if "samples" in names else np.full(len(fps), 2**64 - 1, np.uint64)
+                for anchor in np.split(sampled_anchors(fps), SAMPLES // 4):
+                    at, row = np.nonzero((wanted >> (anchor[:, :1] >> 14).astype(np.uint64)) & np.uint64(1))
+                    some = part.take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[at, row]), *some.columns], names=["anchor", *names])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = T.StructType([T.StructField("anchor", T.LongType()), *rows.schema.fields])
+    return rows.mapInArrow(replicate, schema).repartition(parts, "anchor").sortWithinPartitions("anchor")
+
+
+def candidates(prints: DataFrame, most: int = SIMILAR_BITS) -> DataFrame:
+    """For prints(fp long) without repeats: pairs (a, b), a < b, of fingerprints that share a sampled anchor and differ in at most `most` bits; of each
+    fingerprint that has such pairs one or more, not all. samples: bits of the samples at whose anchors there can be others for a and b.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by anchor; the last group of a batch waits for the next."""
         key, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
         def pairs(n: int) -> pa.RecordBatch:
-            x, y = (fps[:n][i].view(np.int64) for i in _pairs_at(key[:n], fps[:n], most))
-            both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-            return batch(_LINKS, a=both[:, 0].copy(), b=both[:, 1].copy())
+            x, y, more = _pairs_at(key[:n], fps[:n], most)
+            samples = np.where(more, np.uint64(1) << (key[x] >> 14).astype(np.uint64), np.uint64(0)).view(np.int64)
+            x, y = fps[x].view(np.int64), fps[y].view(np.int64)
+            return batch(_EDGES, a=np.minimum(x, y), b=np.maximum(x, y), samples=samples)
 
         for rows in batches:
             key = np.concatenate([key, rows["anchor"].to_numpy(zero_copy_only=False)])
@@ -354,9 +430,37 @@ def candidates(prints: DataFrame, most: int = SIMILAR_BITS) -> DataFrame:
         if len(key):
             yield pairs(len(key))
 
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = prints.select("fp").mapInArrow(replicate, "anchor long, cell int, fp long").select("anchor", "fp")
-    return at.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long").distinct()
+    edges = _dealt(prints.select("fp")).mapInArrow(compare, "a long, b long, samples long")
+    return edges.groupBy("a", "b").agg(F.bit_or("samples").alias("samples"))
+
+
+def other_candidates(rows: DataFrame, similarity: float, most: int = SIMILAR_BITS) -> DataFrame:
+    """For rows(fp long, label long, n long, odd binary, samples long) without repeats: all pairs (a, b), a < b, of fingerprints that share an anchor of a sample
+    of both, differ in at most `most` bits, have different labels and by their numbers of shingles, n, and parities, odd, can have the similarity.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by anchor; the last group of a batch waits for the next."""
+        held = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BUCKETS // 64), np.uint64)]
+
+        def pairs(n: int) -> pa.RecordBatch:
+            x, y = (held[1][i].view(np.int64) for i in _rest_at(*(x[:n] for x in held), most, similarity))
+            both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+            return batch(_LINKS, a=both[:, 0].copy(), b=both[:, 1].copy())
+
+        for b in batches:
+            fresh = [b[c].to_numpy(zero_copy_only=False) for c in ("anchor", "fp", "label", "n")]
+            fresh[1] = fresh[1].view(np.uint64)
+            fresh.append(np.frombuffer(b"".join(b["odd"].to_pylist()), np.uint64).reshape(-1, BUCKETS // 64))
+            held = [np.concatenate(x) for x in zip(held, fresh)]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if cut >= 1 << 14:
+                yield pairs(cut)
+                held = [x[cut:] for x in held]
+        if len(held[0]):
+            yield pairs(len(held[0]))
+
+    return _dealt(rows.select("fp", "label", "n", "odd", "samples")).mapInArrow(compare, "a long, b long").distinct()
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -371,7 +475,9 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
 
 
 def similar_links(docs: DataFrame, classes: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links (a, b) between fingerprints of classes(fp, rep) whose texts (of docs, with doc_id rep) have the Jaccard similarity of shingles."""
+    """Links (a, b) between fingerprints of classes(fp, rep) whose texts (of docs, with doc_id rep) have the Jaccard similarity of shingles: of candidates() those
+    that have it, which make classes, and of pairs in different classes all that have it.
+    """
     pairs = written(candidates(classes.select("fp")), "candidates")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes.select("fp", "rep"), "fp").select(key_of("rep").alias("_id"), F.col("fp").alias("_fp"))
     needed = written(needed, "candidate-texts")
@@ -379,16 +485,17 @@ def similar_links(docs: DataFrame, classes: DataFrame, width: int, similarity: f
     if needed.count() <= MOST_IDS:
         needed = F.broadcast(needed)
     ids = needed.select("_id")
-    schema = pa.schema([("id", pa.string()), ("fp", pa.int64()), ("hashes", pa.binary())])
+    schema = pa.schema([("id", pa.string()), ("fp", pa.int64()), ("n", pa.int64()), ("odd", pa.binary()), ("hashes", pa.binary())])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             low = [t.lower() for t in binary(rows["text"])]
-            yield batch(schema, id=rows["id"], fp=[fingerprint(t, width) for t in low], hashes=[shingle_hashes(t, width).tobytes() for t in low])
+            found = [shingle_hashes(t, width) for t in low]
+            yield batch(schema, id=rows["id"], fp=[fingerprint(t, width) for t in low], n=[len(h) for h in found], odd=[parities(h) for h in found], hashes=[h.tobytes() for h in found])
 
-    found = texts.join(ids, F.col("id") == F.col("_id"), "left_semi").mapInArrow(hashed, "id string, fp long, hashes binary")
-    # dealt by fingerprint once, for both sides of the pairs
-    found = found.join(needed, (F.col("id") == F.col("_id")) & (F.col("fp") == F.col("_fp")), "left_semi").select("fp", "hashes").dropDuplicates(["fp"])
+    found = texts.join(ids, F.col("id") == F.col("_id"), "left_semi").mapInArrow(hashed, "id string, fp long, n long, odd binary, hashes binary")
+    found = found.join(needed, (F.col("id") == F.col("_id")) & (F.col("fp") == F.col("_fp")), "left_semi").drop("id").dropDuplicates(["fp"])
+    found = written(found, "candidate-shingles")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -399,8 +506,15 @@ def similar_links(docs: DataFrame, classes: DataFrame, width: int, similarity: f
                 keep.append(both >= similarity * union)
             yield batch(_LINKS, a=rows["a"], b=rows["b"]).filter(pa.array(keep, pa.bool_()))
 
-    met = pairs.join(found.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a").join(found.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b")
-    return met.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+    def linked(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(found.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a").join(found.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b")
+        return met.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+
+    links = written(linked(pairs), "tree-links")
+    labels = connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("label"))
+    open_ = pairs.filter("samples <> 0").select(F.explode(F.array("a", "b")).alias("fp"), "samples").groupBy("fp").agg(F.bit_or("samples").alias("samples"))
+    labelled = found.select("fp", "n", "odd").join(open_, "fp").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    return links.unionByName(linked(written(other_candidates(labelled, similarity), "other-candidates")))
 
 
 def simhash_dedup(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE, similarity: float | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from storyframe.llm.common import documents, matched, written
 from storyframe.llm.components import connected_components
 from storyframe.llm.exact_dedup import exact_dedup, keep_distinct
 from storyframe.llm.line_dedup import line_dedup
-from storyframe.llm.simhash import anchors, fingerprint, keep_one_of_each, simhash_dedup, simhash_links
+from storyframe.llm.simhash import _rest_at, anchors, fingerprint, keep_one_of_each, parities, sampled_anchors, simhash_dedup, simhash_links
 
 from .conftest import rows
 
@@ -265,6 +265,46 @@ def test_similar_groups_against_all_pairs(spark, odd, none):
     assert keep_one_of_each(none, width=5, similarity=0.8).count() == 0
 
 
+def test_no_candidate_with_the_similarity_is_left_out(spark):
+    """Near the similarity most edges of smallest trees fall short of it; every pair that meets at an anchor and has it is joined all the same."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(2, 9)))) for _ in range(3000)]
+    table = []
+    for _ in range(4):
+        base = list(rng.choice(words, 150))
+        for _ in range(300):
+            copy = list(base)
+            for at in rng.choice(len(copy), int(rng.integers(2, 5)), replace=False):
+                copy[at] = str(rng.choice(words))
+            table.append((len(table), " ".join(copy)))
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["component_id"] for r in simhash_dedup(docs, width=5, similarity=0.8).collect()}
+    fps = np.array([fingerprint(t.encode(), 5) for _, t in table], np.int64).view(np.uint64)
+    at, sets = sampled_anchors(fps), [shingles(t) for _, t in table]
+    far = np.bitwise_count(fps[:, None] ^ fps[None, :])
+    meet = [(i, j) for i, j in zip(*map(list, np.nonzero(np.triu(far <= 14, 1)))) if (at[:, i] == at[:, j]).any() and jaccard(sets[i], sets[j]) >= 0.8]
+    assert len(meet) > 500
+    assert [(i, j) for i, j in meet if found[i] != found[j]] == []
+
+
+def test_all_pairs_of_different_classes():
+    """Small and large groups at an anchor give each pair of different labels that can be alike, and only such pairs."""
+    rng = np.random.default_rng(9)
+    key = np.sort(np.concatenate([rng.integers(0, 40, 300), np.full(200, 40)]))
+    fps = np.uint64(0x123456789ABCDEF) ^ (np.uint64(1) << rng.integers(0, 64, (5, 500)).astype(np.uint64)).sum(axis=0, dtype=np.uint64)
+    label = np.where(rng.random(500) < 0.7, 1, rng.integers(2, 30, 500))
+    sets = [rng.choice(1 << 32, int(rng.integers(1, 300)), replace=False) if i % 3 else np.arange(100 + i % 7) for i in range(500)]
+    n = np.array([len(s) for s in sets])
+    odd = np.array([np.frombuffer(parities(s), np.uint64) for s in sets])
+    x, y = _rest_at(key, fps, label, n, odd, 14, 0.8)
+    pairs = {(min(i, j), max(i, j)) for i, j in zip(x.tolist(), y.tolist())}
+    assert len(pairs) == len(x)
+    want = {(i, j) for j in range(500) for i in range(j) if key[i] == key[j] and label[i] != label[j] and int(fps[i] ^ fps[j]).bit_count() <= 14}
+    assert pairs <= want
+    alike = {(i, j) for i, j in want if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert alike and alike <= pairs
+
+
 def test_trees_reach_all(monkeypatch):
     from storyframe.llm import simhash
 
