@@ -130,10 +130,12 @@ def manifest_from(characters: DataFrame, cast: DataFrame) -> DataFrame:
     )
 
 
-def roster_candidates(rosters: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Rosters (book_hash) with the title of their completed job, else the first 8 digits of the hash."""
-    done = jobs.filter("status = 'completed'").groupBy("book_hash").agg(F.max("title").alias("title"))
-    return rosters.join(done, "book_hash", "left").withColumn("title", F.coalesce("title", F.substring("book_hash", 1, 8)))
+def roster_candidates(rosters: DataFrame, jobs: DataFrame, key: str = "book_hash") -> DataFrame:
+    """Rosters (book_hash) with the title of their completed job, else the first 8 digits of the hash. key: what rosters and jobs meet on, if
+    rosters of one hash have jobs of their own.
+    """
+    done = jobs.filter("status = 'completed'").groupBy(key).agg(F.max("title").alias("title"))
+    return rosters.join(done, key, "left").withColumn("title", F.coalesce("title", F.substring("book_hash", 1, 8)))
 
 
 def not_inherited(characters: DataFrame, inherited: DataFrame) -> DataFrame:
