@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,32 +134,49 @@ def suggest_cast(characters: DataFrame, voice_pools: DataFrame, default_voice: s
 
     The k-th male gets male voice k modulo the pool, females likewise; others take from the pool whose characters have
     had less prominence so far (male on ties), and add to it. An empty pool gives the other one to others, else the default.
-    One fold over the ordered characters of a book.
+    One fold over the ordered characters of a book, in an Arrow stage: arrays that grow by a character at each step take time of their square.
+    Once a prominence is null, others count as the female pool's.
     """
     ordered = characters.withColumn("gender", pronoun_gender(F.col("pronoun")))
-    books = ordered.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("prominence")).alias("low"), "ord", "character_id", "gender", "prominence"))).alias("cast"))
-    books = books.crossJoin(F.broadcast(voice_pools))  # a single row
-    nm, nf = F.size("male"), F.size("female")
-
-    def assign(acc: Column, ch: Column) -> Column:
-        other = ~ch["gender"].isin("male", "female")
-        as_male = (ch["gender"] == "male") | (other & (acc["mq"] <= acc["fq"]))
-        take_male = F.when(other, F.when(as_male, nm > 0).otherwise(nf == 0)).otherwise(as_male)
-        voice = F.when(take_male & (nm > 0), F.get("male", acc["m"] % nm)).when(~take_male & (nf > 0), F.get("female", acc["f"] % nf)).otherwise(default_voice)
-        return F.struct(
-            (acc["m"] + F.when(take_male & (nm > 0), 1).otherwise(0)).alias("m"),
-            (acc["f"] + F.when(~take_male & (nf > 0), 1).otherwise(0)).alias("f"),
-            (acc["mq"] + F.when(as_male, ch["prominence"]).otherwise(0)).cast("long").alias("mq"),
-            (acc["fq"] + F.when(~as_male, ch["prominence"]).otherwise(0)).cast("long").alias("fq"),
-            F.concat(acc["out"], F.array(F.struct(ch["character_id"].alias("character_id"), voice.alias("voice")))).alias("out"),
-        )
-
-    kind = dict(characters.dtypes)["character_id"]
-    start = F.struct(
-        F.lit(0).alias("m"), F.lit(0).alias("f"), F.lit(0).cast("long").alias("mq"), F.lit(0).cast("long").alias("fq"), F.array().cast(f"array<struct<character_id:{kind},voice:string>>").alias("out")
-    )
-    out = books.select("book_id", F.explode(F.aggregate("cast", start, assign, lambda acc: acc["out"])).alias("c"))
-    return out.select("book_id", "c.character_id", "c.voice")
+    books = ordered.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("prominence")).alias("low"), "ord", "character_id", "gender", F.col("prominence").cast("long").alias("prominence")))).alias("cast"))
+    books = books.select("book_id", F.col("cast.character_id").alias("ids"), F.col("cast.gender").alias("genders"), F.col("cast.prominence").alias("prominences"))
+    books = books.crossJoin(F.broadcast(voice_pools.select("male", "female")))  # a single row
+    kinds = dict(characters.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for i in range(rows.num_rows):
+                book, ids, genders, prominences, male, female = (rows[c].slice(i, 1) for c in ("book_id", "ids", "genders", "prominences", "male", "female"))
+                voices = _in_turn(genders.flatten().to_pylist(), prominences.flatten().to_pylist(), male[0].as_py() or [], female[0].as_py() or [], default_voice)
+                yield pa.RecordBatch.from_arrays([book.take(pa.array([0] * len(voices), pa.int64())), ids.flatten(), pa.array(voices, pa.string())], names=["book_id", "character_id", "voice"])
+
+    return books.mapInArrow(run, f"book_id {kinds['book_id']}, character_id {kinds['character_id']}, voice string")
+
+
+def _in_turn(genders: list[str], prominences: list[int | None], male: list[str], female: list[str], default_voice: str) -> list[str]:
+    """The fold of one book."""
+    m = f = 0
+    mq: int | None = 0
+    fq: int | None = 0
+    out = []
+    for gender, prominence in zip(genders, prominences):
+        other = gender not in ("male", "female")
+        # None: not known, as nulls are compared
+        as_male = (None if mq is None or fq is None else mq <= fq) if other else gender == "male"
+        take_male = (bool(male) if as_male else not female) if other else as_male
+        if take_male and male:
+            out.append(male[m % len(male)])
+            m += 1
+        elif not take_male and female:
+            out.append(female[f % len(female)])
+            f += 1
+        else:
+            out.append(default_voice)
+        if as_male:
+            mq = None if mq is None or prominence is None else mq + prominence
+        elif as_male is not None:
+            fq = None if fq is None or prominence is None else fq + prominence
+    return out
 
 
 def simple_cast(characters: DataFrame, male: str, female: str, narrator: str) -> DataFrame:

@@ -404,3 +404,32 @@ def test_equal_titles_are_compared_once(spark):
     found = books.match_contents(rows.withColumnRenamed("n", "toc_idx"), rows.withColumnRenamed("n", "part_ord")).groupBy("part_ord").count().collect()
     assert [tuple(r) for r in found] == [(0, 20_000)]
     assert time.time() - begin < 30
+
+
+def test_casts_of_large_books_take_time_in_proportion(spark):
+    """Twelve thousand characters of a book by a plain walk; a fold that copies what it has so far takes minutes."""
+    import time
+
+    n = 12_000
+    male, female = ["m1", "m2", "m3"], ["f1", "f2"]
+    people = spark.range(n).selectExpr("'b' as book_id", "concat('C', id) as character_id", "element_at(array('he', 'she', 'they', ''), cast(id * 7 % 4 + 1 as int)) as pronoun", "id * 31 % 101 as prominence", "id as ord")
+    pool = spark.createDataFrame([(male, female)], "male array<string>, female array<string>")
+    begin = time.time()
+    found = {r["character_id"]: r["voice"] for r in voices.suggest_cast(people, pool, "n").collect()}
+    assert time.time() - begin < 20
+    expected, m, f, mq, fq = {}, 0, 0, 0, 0
+    for i in sorted(range(n), key=lambda i: (-(i * 31 % 101), i)):
+        kind = ("he", "she", "they", "")[i * 7 % 4]
+        if kind == "he" or kind != "she" and mq <= fq:
+            expected[f"C{i}"], m, mq = male[m % 3], m + 1, mq + i * 31 % 101
+        else:
+            expected[f"C{i}"], f, fq = female[f % 2], f + 1, fq + i * 31 % 101
+    assert found == expected
+
+
+def test_casts_with_unknown_prominence(spark):
+    people = spark.createDataFrame([(1, "A", "he", None, 0), (1, "B", "", 5, 1), (1, "C", "she", 3, 2)], "book_id long, character_id string, pronoun string, prominence long, ord long")
+    for male, female, expected in (["m"], ["f"], "mff"), (["m"], [], "mmn"), ([], ["f"], "nff"):
+        pool = spark.createDataFrame([(male, female)], "male array<string>, female array<string>")
+        found = {r["character_id"]: r["voice"] for r in voices.suggest_cast(people, pool, "n").collect()}
+        assert "".join(found[c] for c in "ABC") == expected
