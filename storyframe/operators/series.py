@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,27 +19,46 @@ def _names(canonical: Column, aliases: Column) -> Column:
     return F.array_distinct(F.transform(F.concat(F.array(canonical), F.coalesce(aliases, F.array().cast("array<string>"))), F.lower))
 
 
-def candidates(characters: DataFrame, entries: DataFrame) -> DataFrame:
-    """Scores over 0 of characters(series, character_id, aliases) against entries(series, char_ord, canonical, aliases, voice).
+def _keyed(df: DataFrame, id_: str, names: Column, least: float, mine: bool) -> DataFrame:
+    """(series, id_, key): pairs of both sides that can score `least`, and over 0, have an equal key.
 
-    Two names score only if they are equal or a word of one begins a word of the other. Words of three letters and more are keyed by
-    their first three letters, shorter ones by themselves, so pairs meet by an equality join, not by a cross join of casts.
+    Of the shorter name's n words so many hit that any n - hits + 1 of them have a hit; the longest are taken. They meet the words
+    of the other side and their beginnings of three letters or more.
     """
 
-    def keyed(df: DataFrame, names: Column) -> DataFrame:
-        keys = F.array_union(names, F.transform(F.flatten(F.transform(names, words)), lambda w: F.concat(F.lit("\x1f"), F.substring(w, 1, 3))))
-        return df.withColumn("names", names).withColumn("key", F.explode(F.array_distinct(keys)))
+    def some(name: Column) -> Column:
+        w = F.array_distinct(words(name))
+        most = F.size(w) - F.greatest(F.lit(1), F.ceil(F.size(w) * least - 1e-9)).cast("int") + 1
+        by_length = F.transform(F.array_sort(F.transform(w, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("w")))), lambda x: x["w"])
+        return F.slice(by_length, 1, F.greatest(F.lit(0), F.least(F.size(w), most)))
+
+    every = F.array_distinct(F.flatten(F.transform("names", words)))
+    begins = F.flatten(F.transform(every, lambda w: F.when(F.length(w) > 3, F.transform(F.sequence(F.lit(3), F.length(w) - 1), lambda n: F.left(w, n))).otherwise(F.array().cast("array<string>"))))
+    chosen, all_ = F.array_distinct(F.flatten(F.transform("names", some))), F.array_distinct(F.concat(every, begins))
+    tag = lambda n, a: F.transform(a, lambda x: F.xxhash64(F.lit(n), x))  # noqa: E731  equal hashes of different keys only add pairs that do not score
+    keys = F.concat(tag(0, F.col("names")), tag(1, chosen if mine else all_), tag(2, all_ if mine else chosen))
+    return df.withColumn("names", names).select("series", id_, F.explode(F.array_distinct(keys)).alias("key"))
+
 
-    mine = keyed(characters.select("series", "character_id", "aliases"), _names(F.col("character_id"), F.col("aliases"))).select("series", "character_id", F.col("names").alias("a"), "key")
-    theirs = keyed(entries.select("series", "char_ord", "canonical", "aliases", "voice"), _names(F.col("canonical"), F.col("aliases"))).select("series", "char_ord", "canonical", "voice", F.col("names").alias("b"), "key")
-    pairs = mine.join(theirs, ["series", "key"]).dropDuplicates(["series", "character_id", "char_ord"])
-    return pairs.select("series", "character_id", "char_ord", "canonical", "voice", name_score(F.col("a"), F.col("b")).alias("score")).filter("score > 0")
+def candidates(characters: DataFrame, entries: DataFrame, least: float = 0.0) -> DataFrame:
+    """Scores over 0, and of `least` or more, of characters(series, character_id, aliases) against entries(series, char_ord, canonical, aliases, voice).
+
+    Two names score only if they are equal or a word of one is or begins a word of the other, so pairs meet by an equality join on words
+    and beginnings, not by a cross join of casts.
+    """
+    mine, theirs = _names(F.col("character_id"), F.col("aliases")), _names(F.col("canonical"), F.col("aliases"))
+    met = _keyed(characters, "character_id", mine, least, True).join(_keyed(entries, "char_ord", theirs, least, False), ["series", "key"])
+    pairs = met.select("series", "character_id", "char_ord").distinct()
+    pairs = pairs.join(characters.select("series", "character_id", mine.alias("a")), ["series", "character_id"])
+    pairs = pairs.join(entries.select("series", "char_ord", "canonical", "voice", theirs.alias("b")), ["series", "char_ord"])
+    scored = pairs.select("series", "character_id", "char_ord", "canonical", "voice", name_score(F.col("a"), F.col("b")).alias("score"))
+    return scored.filter((F.col("score") > 0) & (F.col("score") >= least))
 
 
 def match_series(characters: DataFrame, entries: DataFrame, least: float = MATCH) -> DataFrame:
     """Inherited voices: of each character's entries the best, the first on ties; it needs a score of `least` and a voice."""
-    best = candidates(characters, entries).groupBy("series", "character_id").agg(F.min_by(F.struct("canonical", "voice", "score"), F.struct(-F.col("score"), "char_ord")).alias("b"))
-    best = best.filter((F.col("b.score") >= least) & (F.coalesce("b.voice", F.lit("")) != ""))
+    best = candidates(characters, entries, least).groupBy("series", "character_id").agg(F.min_by(F.struct("canonical", "voice", "score"), F.struct(-F.col("score"), "char_ord")).alias("b"))
+    best = best.filter(F.coalesce("b.voice", F.lit("")) != "")
     return best.select("series", "character_id", F.col("b.canonical").alias("canonical"), F.col("b.voice").alias("voice"), F.col("b.score").alias("score"))
 
 
@@ -58,25 +81,50 @@ def score(mine: set[str], theirs: set[str]) -> float:
     return 1.0 if mine & theirs else max((overlap(set(x.split()), set(y.split())) for x in mine for y in theirs), default=0.0)
 
 
-def _keys(names: set[str]) -> set[str]:
-    """Two sets that score over 0 share one of these."""
-    return names | {"\x1f" + w[:3] for n in names for w in n.split()}
+def _begins(words_: set[str]) -> set[str]:
+    """The words and their beginnings of three letters or more."""
+    return {w[:n] for w in words_ for n in range(3, len(w))} | words_
+
+
+class _Near:
+    """Finds the entries that can score `least` with names. Of the shorter name's n words so many hit that any n - hits + 1 have a hit: the rarest are looked up."""
+
+    def __init__(self, names: Iterator[str], least: float) -> None:
+        self.least, self.count = least, Counter(w for n in names for w in set(n.split()))
+        self.by_name: dict[str, list[int]] = {}
+        self.by_begin: dict[str, list[int]] = {}
+        self.by_rare: dict[str, list[int]] = {}
+
+    def _rare(self, name: str) -> list[str]:
+        words_ = sorted(set(name.split()), key=lambda w: (self.count[w], w))
+        return words_[: len(words_) - max(1, math.ceil(len(words_) * self.least - 1e-9)) + 1]
+
+    def add(self, i: int, names: set[str]) -> None:
+        for index, keys in ((self.by_name, names), (self.by_begin, _begins({w for n in names for w in n.split()})), (self.by_rare, {w for n in names for w in self._rare(n)})):
+            for k in keys:
+                index.setdefault(k, []).append(i)
+
+    def find(self, names: set[str]) -> Iterator[int]:
+        seen: set[int] = set()
+        for index, keys in ((self.by_name, names), (self.by_begin, {w for n in names for w in self._rare(n)}), (self.by_rare, _begins({w for n in names for w in n.split()}))):
+            for k in keys:
+                for i in index.get(k, ()):
+                    if i not in seen:
+                        seen.add(i)
+                        yield i
 
 
 def _entries_after(entries: list[dict], cast: list[dict], least: float) -> list[dict]:
-    """The fold of one series; entries and newcomers meet by their keys."""
+    """The fold of one series; entries and newcomers meet by their words."""
     out: list[dict] = []
     by_name: dict[str, int] = {}
-    by_key: dict[str, set[int]] = {}
-
-    def known(i: int) -> None:
-        for k in _keys({x.lower() for x in (out[i]["canonical"], *out[i]["aliases"])}):
-            by_key.setdefault(k, set()).add(i)
+    lowered = lambda c, aliases: {x.lower() for x in (c, *aliases)}
+    near = _Near((n for rows, c in ((entries, "canonical"), (cast, "character_id")) for r in rows for n in lowered(r[c], r["aliases"])), least)
 
     def add(canonical: str, aliases: list[str], voice: str | None) -> None:
         out.append({"canonical": canonical, "aliases": aliases, "voice": voice})
         by_name.setdefault(canonical.lower(), len(out) - 1)
-        known(len(out) - 1)
+        near.add(len(out) - 1, lowered(canonical, aliases))
 
     for e in entries:
         add(e["canonical"], list(e["aliases"]), e["voice"])
@@ -88,12 +136,12 @@ def _entries_after(entries: list[dict], cast: list[dict], least: float) -> list[
             if (i := by_name.get(c["character_id"].lower())) is not None:
                 had = {a.lower() for a in out[i]["aliases"]}
                 out[i]["voice"] = c["voice"]
-                out[i]["aliases"] += [a for a in aliases if a.lower() not in had]
-                known(i)
+                more = [a for a in aliases if a.lower() not in had]
+                out[i]["aliases"] += more
+                near.add(i, {a.lower() for a in more})
             continue
-        names = {x.lower() for x in (c["character_id"], *aliases)}
-        near = set().union(*(by_key.get(k, set()) for k in _keys(names)))
-        if not any(score(names, {x.lower() for x in (out[i]["canonical"], *out[i]["aliases"])}) >= least for i in near):
+        names = lowered(c["character_id"], aliases)
+        if not any(score(names, lowered(out[i]["canonical"], out[i]["aliases"])) >= least for i in near.find(names)):
             add(c["character_id"], aliases, c["voice"])
     return out
 

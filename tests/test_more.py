@@ -433,3 +433,42 @@ def test_casts_with_unknown_prominence(spark):
         pool = spark.createDataFrame([(male, female)], "male array<string>, female array<string>")
         found = {r["character_id"]: r["voice"] for r in voices.suggest_cast(people, pool, "n").collect()}
         assert "".join(found[c] for c in "ABC") == expected
+
+
+def test_series_meet_by_the_words_that_can_score(spark, monkeypatch):
+    """Names with a common word, and words with a common beginning, are not compared in all pairs."""
+    calls = []
+    own = series.score
+    monkeypatch.setattr(series, "score", lambda a, b: calls.append(1) or own(a, b))
+    entries = [{"canonical": f"Customer#{i:06}", "aliases": [f"Old Customer#{i:06}"], "voice": "v"} for i in range(0, 3000, 3)]
+    cast = [{"character_id": f"Customer#{i:06}", "aliases": [f"Old Customer#{i:06}"], "voice": "w", "pinned": False} for i in range(3000)]
+    out = series._entries_after(entries, cast, series.MATCH)
+    assert sorted(e["canonical"] for e in out) == [f"Customer#{i:06}" for i in range(3000)] and len(calls) < 10_000
+    rows = [("s", c["character_id"], c["aliases"]) for c in cast]
+    people = spark.createDataFrame(rows, "series string, character_id string, aliases array<string>")
+    known = spark.createDataFrame([("s", i, e["canonical"], e["aliases"], "v") for i, e in enumerate(entries)], "series string, char_ord int, canonical string, aliases array<string>, voice string")
+    keys = series._keyed(people, "character_id", series._names(F.col("character_id"), F.col("aliases")), series.MATCH, True)
+    met = keys.join(series._keyed(known, "char_ord", series._names(F.col("canonical"), F.col("aliases")), series.MATCH, False), ["series", "key"])
+    assert met.count() < 20_000
+    assert {r["character_id"] for r in series.match_series(people, known).collect()} == {f"Customer#{i:06}" for i in range(0, 3000, 3)}
+
+
+def test_series_candidates_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    words = ["ann", "anna", "annabel", "bo", "b", "bobby", "cole", "de", "of", "the", "fox", "foxglove", "été", "étéa"]
+    name = lambda: " ".join(rng.sample(words, rng.randrange(1, 6))).title()
+    mine = [("s", f"{name()} {i}" if i % 3 else name() + "  " * (i % 2) + f"\t{i}", [name() for _ in range(rng.randrange(3))]) for i in range(60)]
+    theirs = [("s", i, name(), [name() for _ in range(rng.randrange(3))], "v") for i in range(40)]
+    a = spark.createDataFrame(mine, "series string, character_id string, aliases array<string>")
+    b = spark.createDataFrame(theirs, "series string, char_ord int, canonical string, aliases array<string>, voice string")
+
+    def plain(x, y):
+        x, y = {n.lower() for n in x}, {n.lower() for n in y}
+        return 1.0 if x & y else max(plain_overlap(p, q) for p in x for q in y)
+
+    scores = {(c, i): plain((c, *al), (d, *bl)) for _, c, al in mine for _, i, d, bl, _ in theirs}
+    for least in (0.0, 0.5, 0.7, 1.0):
+        found = {(r["character_id"], r["char_ord"]): r["score"] for r in series.candidates(a, b, least).collect()}
+        assert found == {k: v for k, v in scores.items() if v > 0 and v >= least}
