@@ -4,10 +4,11 @@ Every source's documents, in the order of md5(doc_id), are cut into blocks of `b
 integers a of a hyperperiod P = sum of all a, so weight = a / P. Block j of a source is released at slot floor(j * P / a) and due at
 slot ceil((j + 1) * P / a). Each slot goes to the released block with the earliest deadline. As weights sum to one, all
 deadlines are met: after every slot each source has had its share of blocks, give or take less than one block.
-The schedule repeats every P slots, so only one hyperperiod is computed (a fold over P slots); block j takes the slot of
+The schedule repeats every P slots, so only one hyperperiod is computed (by heaps on the driver, in time and memory of P and the sources); block j takes the slot of
 block j mod a in hyperperiod j div a.
 
-That is so for at most MOST_SOURCES sources, each with a weight of one quantum or more. Otherwise weights w stay exact and no
+Without given weights that is so for any number of sources, each of which gets one of about 1000 slots or more, as the SQL of op8 says. If given
+weights are less than a quantum (or 0) for a source they stay exact, whatever the input's size, and no
 hyperperiod is made: block j of a source stands at slot floor((j + u) / w), with a phase u in [0, 1) from md5 of the source. Up to any slot
 each source has had its weight times the slots in blocks, give or take one block; several blocks may share a slot. Sources
 of weight 0 follow after all others.
@@ -18,39 +19,29 @@ md5), then over those buckets, so no task sees a whole source.
 
 from __future__ import annotations
 
+import heapq
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_CHARS, QUANTA, ALPHA, MOST_SOURCES = 20_000, 1000, 0.5, 4096
+BLOCK_CHARS, QUANTA, ALPHA = 20_000, 1000, 0.5
 
 
-def _due(k: Column, a: Column, period: Column) -> Column:
-    return F.floor(((k + 1) * period + a - 1) / a).cast("long")
-
-
-def _hyperperiod(a: Column, period: Column) -> Column:
-    """The source (its place in the array a) that has each slot of a hyperperiod."""
-    far = F.lit(2**62).cast("long")
-
-    def step(state: Column, slot: Column) -> Column:
-        ready = F.transform(
-            state["done"],
-            lambda k, i: F.struct(
-                # integers far below 2^53, so that the quotients are exact enough to floor
-                F.when(F.floor(k * period / a[i]) <= slot, _due(k, a[i], period)).otherwise(far).alias("due"),
-                i.cast("int").alias("who"),
-            ),
-        )
-        who = F.array_min(ready)["who"]
-        return F.struct(
-            F.transform(state["done"], lambda k, i: k + F.when(i == who, 1).otherwise(0).cast("long")).alias("done"),
-            F.concat(state["slots"], F.array(who)).alias("slots"),
-        )
-
-    start = F.struct(F.transform(a, lambda x: F.lit(0).cast("long")).alias("done"), F.array().cast("array<int>").alias("slots"))
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), period - 1), start, step, lambda s: s["slots"])
+def _hyperperiod(a: list[int]) -> list[list[int]]:
+    """The slots of a hyperperiod that each source has, in time of the slots. Of equal deadlines the first source's comes first."""
+    period, done, slots = sum(a), [0] * len(a), [[] for _ in a]
+    released, ready = [(0, i) for i in range(len(a))], []
+    for slot in range(period):
+        while released and released[0][0] <= slot:
+            i = heapq.heappop(released)[1]
+            heapq.heappush(ready, (((done[i] + 1) * period + a[i] - 1) // a[i], i))
+        i = heapq.heappop(ready)[1]
+        slots[i].append(slot)
+        done[i] += 1
+        heapq.heappush(released, (done[i] * period // a[i], i))
+    return slots
 
 
 def schedule(totals: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, quanta: int = QUANTA, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -68,22 +59,15 @@ def schedule(totals: DataFrame, weights: dict[str, float] | None = None, alpha:
         raw = F.coalesce(F.create_map([F.lit(x) for k, w in weights.items() for x in (f"={k}", float(w))])[F.col("key")], F.lit(0.0))
     each = totals.select("key", "chars", raw.alias("raw"))
     n, total, least = each.agg(F.count(F.lit(1)), F.sum("raw"), F.min("raw")).first()
-    if n and (n > MOST_SOURCES or 0 < total and least * quanta / total < 1):
+    if weights is not None and n and (not total or least * quanta / total < 1):
         return _exact(each, total, block_chars)
-    row = each.agg(F.array_sort(F.collect_list(F.struct("key", "chars", "raw"))).alias("s"), F.sum("raw").alias("all"))
-    row = row.withColumn("a", F.transform("s", lambda x: F.greatest(F.lit(1), F.round(x["raw"] * quanta / F.col("all"))).cast("long")))
-    row = row.withColumn("period", F.aggregate("a", F.lit(0).cast("long"), lambda x, y: x + y)).filter("period > 0")
-    row = row.withColumn("order", _hyperperiod(F.col("a"), F.col("period")))
-    rows = row.select("period", "order", F.posexplode(F.arrays_zip("s", "a")).alias("i", "x"))
-    rows = rows.select(
-        F.col("x.s.key").alias("key"),
-        F.col("x.a").alias("a"),
-        "period",
-        F.filter(F.transform("order", lambda w, t: F.when(w == F.col("i"), t.cast("long"))), lambda t: t.isNotNull()).alias("slots"),
-        F.greatest(F.lit(1), F.ceil(F.col("x.s.chars") / block_chars)).cast("long").alias("blocks"),
-    )
-    rows = rows.withColumn("out", _slot(F.col("blocks"), F.col("a"), F.col("period"), F.col("slots")))
-    return rows.withColumn("horizon", F.min("out").over(Window.partitionBy("period"))).select("key", "a", "period", "slots", "horizon")
+    grid = each.select("key", "chars", F.greatest(F.lit(1), F.round(F.col("raw") * quanta / F.lit(total))).cast("long").alias("a")).orderBy("key").toArrow()
+    a, chars = grid["a"].to_pylist(), grid["chars"].to_pylist()
+    period, slots = sum(a), _hyperperiod(a)
+    blocks = [max(1, -(-n // block_chars)) for n in chars]
+    horizon = min(((n // x) * period + s[n % x] for n, x, s in zip(blocks, a, slots)), default=0)
+    same = lambda x: pa.array([x] * len(a), pa.int64())
+    return totals.sparkSession.createDataFrame(pa.table({"key": grid["key"], "a": pa.array(a, pa.int64()), "period": same(period), "slots": pa.array(slots, pa.list_(pa.int64())), "horizon": same(horizon)}))
 
 
 def _exact(each: DataFrame, total: float, block_chars: int) -> DataFrame:
@@ -134,10 +118,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     within = F.sum("n_chars").over(Window.partitionBy("key", "bucket").orderBy("h", "doc_id", "n_chars").rowsBetween(Window.unboundedPreceding, -1))
     at = base.withColumn("within_bucket", F.coalesce(within, F.lit(0)))
     exact = "weight" in plan.columns
-    if exact:  # any number of sources: met by the sums, of which a large source has many
-        before = before.join(plan, F.col("k") == F.col("p"))
+    before = before.join(plan, F.col("k") == F.col("p"))  # any number of sources: met by the sums, of which a large source has many
     at = at.join(before, (F.col("key") == F.col("k")) & (F.col("bucket") == F.col("b"))).withColumn("start_char", F.col("before") + F.col("within_bucket"))
-    at = at if exact else at.join(F.broadcast(plan), F.col("key") == F.col("p"))  # MOST_SOURCES rows at most
     at = at.withColumn("block", F.floor(F.col("start_char") / block_chars))
     at = at.withColumn("slot", _exact_slot(F.col("block"), F.col("from_slot")) if exact else _slot(F.col("block"), F.col("a"), F.col("period"), F.col("slots")))
     return at.select("doc_id", "source", "text", "n_chars", "block", "slot", "start_char", (F.col("slot") < F.col("horizon")).alias("in_target"))

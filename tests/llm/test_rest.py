@@ -282,3 +282,13 @@ def test_registered_queries(spark, sf):
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_mix_has_one_rule_whatever_the_number_of_sources(spark):
+    """Without given weights: whole parts of about 1000, one each at least, and the earliest deadline first, as the SQL of op8 has it."""
+    for n in (3, 700, 5000):
+        totals = spark.range(n).selectExpr("concat('=', id) as key", "id * 7919 % 1000 * 100 + 1 as chars")
+        rows = {r["key"]: r for r in mixing.schedule(totals).collect()}
+        raw = {f"={i}": (i * 7919 % 1000 * 100 + 1) ** 0.5 for i in range(n)}
+        assert {k: r["a"] for k, r in rows.items()} == {k: max(1, int(x * 1000 / sum(raw.values()) + 0.5)) for k, x in raw.items()}
+        assert sorted(s for r in rows.values() for s in r["slots"]) == list(range(sum(r["a"] for r in rows.values())))
