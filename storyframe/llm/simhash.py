@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storyframe.llm.common import batch, binary, key_of, matched, ranges, written
-from storyframe.llm.components import SALTS, connected_components
+from storyframe.llm.components import SALTS, connected_components, joined_components
 
 THRESHOLD, SHINGLE = 4, 4
 SAMPLES, SIMILAR_BITS, FEW, MANY, BUCKETS = 64, 14, 64, 1 << 12, 512
@@ -474,9 +474,9 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh32_intdigest(x, 42) for x in found), np.uint32, len(found)))
 
 
-def similar_links(docs: DataFrame, classes: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links (a, b) between fingerprints of classes(fp, rep) whose texts (of docs, with doc_id rep) have the Jaccard similarity of shingles: of candidates() those
-    that have it, which make classes, and of pairs in different classes all that have it.
+def similar_components(docs: DataFrame, classes: DataFrame, width: int, similarity: float) -> DataFrame:
+    """connected_components() of the links between fingerprints of classes(fp, rep) whose texts (of docs, with doc_id rep) have the Jaccard similarity of shingles: of
+    candidates() those that have it, which make classes, and of pairs in different classes all that have it, which join classes.
     """
     pairs = written(candidates(classes.select("fp")), "candidates")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes.select("fp", "rep"), "fp").select(key_of("rep").alias("_id"), F.col("fp").alias("_fp"))
@@ -510,11 +510,11 @@ def similar_links(docs: DataFrame, classes: DataFrame, width: int, similarity: f
         met = pairs.join(found.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a").join(found.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b")
         return met.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
 
-    links = written(linked(pairs), "tree-links")
-    labels = connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("label"))
+    joined = connected_components(written(linked(pairs), "tree-links"))
+    labels = joined.select(F.col("node").alias("fp"), F.col("component").alias("label"))
     open_ = pairs.filter("samples <> 0").select(F.explode(F.array("a", "b")).alias("fp"), "samples").groupBy("fp").agg(F.bit_or("samples").alias("samples"))
     labelled = found.select("fp", "n", "odd").join(open_, "fp").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    return links.unionByName(linked(written(other_candidates(labelled, similarity), "other-candidates")))
+    return joined_components(joined, linked(written(other_candidates(labelled, similarity), "other-candidates")))
 
 
 def simhash_dedup(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE, similarity: float | None = None) -> DataFrame:
@@ -530,7 +530,7 @@ def simhash_dedup(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHIN
     """
     prints = written(fingerprints(docs, width), "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
-    links = connected_components(simhash_links(classes.select("fp"), threshold) if similarity is None else similar_links(docs, classes, width, similarity))
+    links = connected_components(simhash_links(classes.select("fp"), threshold)) if similarity is None else similar_components(docs, classes, width, similarity)
     links = links.unionByName(links.select("component").distinct().withColumn("node", F.col("component")))  # the least node has no row of its own
     linked = classes.join(links, F.col("fp") == F.col("node"))
     # a component may hold a large share of all classes: they meet its least doc_id by salts

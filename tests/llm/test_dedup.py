@@ -201,6 +201,32 @@ def test_chain_component(spark):
     assert all(found.get(i, 0) == 0 for i in range(201)) and found[501] == 500
 
 
+def test_components_join_classes_and_not_their_members_again(spark, monkeypatch):
+    """Edges laid later between classes give the components of all edges, and only as many rows as there are joins of classes."""
+    from storyframe.llm import components
+
+    rng = np.random.default_rng(3)
+    first = [(a, a + k) for a in range(0, 3000, 100) for k in range(1, 60)] + [(int(a), int(b)) for a, b in rng.integers(5000, 5400, (150, 2))]
+    later = [(a + k, a + 100 + k) for a in range(0, 1000, 200) for k in range(60)] + [(4999, 4900), (4999, 59), (5000, 4000)]
+    whole, frame = {}, lambda edges: spark.createDataFrame(edges, "a long, b long")
+
+    def top(x):
+        while whole.setdefault(x, x) != x:
+            x = whole[x]
+        return x
+
+    for a, b in first + later:
+        a, b = sorted((top(a), top(b)))
+        whole[b] = a
+    rows, write = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, name: rows.append((name, (out := write(df, name)).count())) or out)
+    joined = connected_components(frame(first))
+    begin = len(rows)
+    found = [tuple(r) for r in components.joined_components(joined, frame(later)).collect()]
+    assert sorted(found) == sorted((x, top(x)) for x in whole if top(x) != x)
+    assert rows[begin] == ("links", 5 + 3)
+
+
 def test_simhash_on_odd_rows(odd):
     found = simhash_dedup(odd).collect()
     assert len(found) == len(rows())
